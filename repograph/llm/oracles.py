@@ -16,4 +16,24 @@ WITH v AS (
 SELECT query_id, CAST(r AS INTEGER) AS rank, vec_id, score FROM ranked WHERE r <= 5
 """
 
-SQL: dict[str, str] = {"op1_vafile_topk": OP1}
+# Base 32 of SHA-1: every five hex digits are four characters.
+OP10 = """
+WITH p AS (
+  SELECT page_id, encode(coalesce(html, '')) AS payload FROM pages
+), d AS (
+  SELECT page_id, octet_length(payload) AS payload_bytes, sha1(payload) AS hex FROM p
+), b AS (
+  SELECT page_id, payload_bytes, hex,
+         list_aggregate(list_transform(range(8), lambda g: list_aggregate(list_transform([15, 10, 5, 0],
+           lambda s: substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', 1 + ((CAST('0x' || substr(hex, 5 * g + 1, 5) AS INTEGER) >> s) & 31), 1)), 'string_agg', '')),
+         'string_agg', '') AS payload_digest,
+         max(page_id) OVER (PARTITION BY hex) AS first_id
+  FROM d
+)
+SELECT page_id, payload_bytes, payload_digest,
+       CASE WHEN page_id = first_id THEN 'response' ELSE 'revisit' END AS record_type,
+       CASE WHEN page_id = first_id THEN NULL ELSE first_id END AS refers_to
+FROM b
+"""
+
+SQL: dict[str, str] = {"op1_vafile_topk": OP1, "op10_warc": OP10}

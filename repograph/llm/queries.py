@@ -7,13 +7,29 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import vafile
+from . import tokencount, vafile, warc
 from .support import load
 
+TOKENIZER = "byte_bpe_50k.json"
+
+
+def tokenizer_path(name: str = TOKENIZER) -> str:
+    import public_tokenizers
+
+    return public_tokenizers.path(name)
+
 
 def op1_vafile_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     return vafile.topk(load(spark, sf_dir, "embeddings"), F.col("vec_id") % 50 == 0, k=5)
 
 
+def op3_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return tokencount.count(load(spark, sf_dir, "documents"), tokenizer_path(), limit=1024)
+
+
+def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc.archive(load(spark, sf_dir, "pages"), least_bytes=0).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op1_vafile_topk": op1_vafile_topk}
+    return {"op1_vafile_topk": op1_vafile_topk, "op3_token_counts": op3_token_counts, "op10_warc": op10_warc}
