@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import tokencount, vafile, warc
+from . import jpeg, packing, tokencount, vafile, warc
 from .support import load
 
 TOKENIZER = "byte_bpe_50k.json"
@@ -27,9 +27,17 @@ def op3_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokencount.count(load(spark, sf_dir, "documents"), tokenizer_path(), limit=1024)
 
 
+def op4_jpeg_media(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jpeg.features(jpeg.to_media(load(spark, sf_dir, "documents")))
+
+
+def op6_mixture_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack(load(spark, sf_dir, "documents"), tokenizer_path(), sequence=1024)
+
+
 def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.archive(load(spark, sf_dir, "pages"), least_bytes=0).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op1_vafile_topk": op1_vafile_topk, "op3_token_counts": op3_token_counts, "op10_warc": op10_warc}
+    return {"op1_vafile_topk": op1_vafile_topk, "op3_token_counts": op3_token_counts, "op4_jpeg_media": op4_jpeg_media, "op6_mixture_packing": op6_mixture_packing, "op10_warc": op10_warc}
