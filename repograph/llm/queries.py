@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import jpeg, packing, tokencount, vafile, warc
+from . import jpeg, packing, pii, quality, secrets, tokencount, vafile, warc
 from .support import load
 
 TOKENIZER = "byte_bpe_50k.json"
@@ -23,6 +23,10 @@ def op1_vafile_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     return vafile.topk(load(spark, sf_dir, "embeddings"), F.col("vec_id") % 50 == 0, k=5)
 
 
+def op2_pii_weak_supervision(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.find(load(spark, sf_dir, "documents"))
+
+
 def op3_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokencount.count(load(spark, sf_dir, "documents"), tokenizer_path(), limit=1024)
 
@@ -35,9 +39,17 @@ def op6_mixture_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(load(spark, sf_dir, "documents"), tokenizer_path(), sequence=1024)
 
 
+def op7_nbsvm_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.classify(load(spark, sf_dir, "documents"), load(spark, sf_dir, "labels"), threshold=0.7)
+
+
+def op9_markov_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secrets.scan(load(spark, sf_dir, "documents"))
+
+
 def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.archive(load(spark, sf_dir, "pages"), least_bytes=0).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op1_vafile_topk": op1_vafile_topk, "op3_token_counts": op3_token_counts, "op4_jpeg_media": op4_jpeg_media, "op6_mixture_packing": op6_mixture_packing, "op10_warc": op10_warc}
+    return {f.__name__: f for f in (op1_vafile_topk, op2_pii_weak_supervision, op3_token_counts, op4_jpeg_media, op6_mixture_packing, op7_nbsvm_quality, op9_markov_secrets, op10_warc)}
