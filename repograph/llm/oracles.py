@@ -16,6 +16,39 @@ WITH v AS (
 SELECT query_id, CAST(r AS INTEGER) AS rank, vec_id, score FROM ranked WHERE r <= 5
 """
 
+# Words, distinct 3-word shingles, pairs that share one, links, and the least document that links reach.
+OP5 = r"""
+WITH RECURSIVE w AS (
+  SELECT doc_id, list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+           '[\x20\x09-\x0D]+'), lambda x: x <> '') AS words
+  FROM documents
+), s AS (
+  SELECT doc_id, CASE WHEN len(words) = 0 THEN [] WHEN len(words) < 3 THEN [array_to_string(words, ' ')]
+    ELSE list_distinct(list_transform(range(1, len(words) - 1), lambda i: words[i] || ' ' || words[i + 1] || ' ' || words[i + 2])) END AS shingles
+  FROM w
+), c AS (
+  SELECT doc_id, len(shingles) AS n, hash(list_sort(shingles)) AS h FROM s
+), e AS (
+  SELECT doc_id, unnest(shingles) AS shingle FROM s
+), f AS (
+  SELECT shingle FROM e GROUP BY shingle HAVING count(*) > 1
+), p AS (
+  SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS shared
+  FROM e a JOIN f USING (shingle) JOIN e b USING (shingle) WHERE a.doc_id < b.doc_id GROUP BY 1, 2
+), l AS (
+  SELECT p.a, p.b FROM p JOIN c x ON x.doc_id = p.a JOIN c y ON y.doc_id = p.b
+  WHERE 100 * shared >= 90 * (x.n + y.n - shared)
+), ways AS (
+  SELECT a, b FROM l UNION SELECT b, a FROM l
+), reach AS (
+  SELECT doc_id, doc_id AS there FROM documents
+  UNION
+  SELECT r.doc_id, ways.b FROM reach r JOIN ways ON ways.a = r.there
+)
+SELECT c.doc_id, c.n AS n_shingles, m.component_id
+FROM c JOIN (SELECT doc_id, min(there) AS component_id FROM reach GROUP BY doc_id) m USING (doc_id)
+"""
+
 # Base 32 of SHA-1: every five hex digits are four characters.
 OP10 = """
 WITH p AS (
@@ -36,4 +69,4 @@ SELECT page_id, payload_bytes, payload_digest,
 FROM b
 """
 
-SQL: dict[str, str] = {"op1_vafile_topk": OP1, "op10_warc": OP10}
+SQL: dict[str, str] = {"op1_vafile_topk": OP1, "op5_ngram_jaccard_join": OP5, "op10_warc": OP10}

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import jpeg, packing, pii, quality, secrets, tokencount, vafile, warc
+from . import jpeg, packing, pii, quality, secrets, setjoin, tokencount, vafile, warc
 from .support import load
 
 TOKENIZER = "byte_bpe_50k.json"
@@ -35,6 +35,10 @@ def op4_jpeg_media(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jpeg.features(jpeg.to_media(load(spark, sf_dir, "documents")))
 
 
+def op5_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return setjoin.join(load(spark, sf_dir, "documents"), setjoin.Rule(width=3, num=90, den=100))
+
+
 def op6_mixture_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(load(spark, sf_dir, "documents"), tokenizer_path(), sequence=1024)
 
@@ -52,4 +56,4 @@ def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_vafile_topk, op2_pii_weak_supervision, op3_token_counts, op4_jpeg_media, op6_mixture_packing, op7_nbsvm_quality, op9_markov_secrets, op10_warc)}
+    return {f.__name__: f for f in (op1_vafile_topk, op2_pii_weak_supervision, op3_token_counts, op4_jpeg_media, op5_ngram_jaccard_join, op6_mixture_packing, op7_nbsvm_quality, op9_markov_secrets, op10_warc)}
