@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import jpeg, packing, pii, quality, secrets, setjoin, tokencount, vafile, warc
+from . import jpeg, packing, pii, quality, secrets, setjoin, spm, tokencount, vafile, warc
 from .support import load
 
 TOKENIZER = "byte_bpe_50k.json"
@@ -47,6 +47,10 @@ def op7_nbsvm_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.classify(load(spark, sf_dir, "documents"), load(spark, sf_dir, "labels"), threshold=0.7)
 
 
+def op8_streaming_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spm.digest(load(spark, sf_dir, "documents"), tokenizer_path("piece_bpe_32k.model"))
+
+
 def op9_markov_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.scan(load(spark, sf_dir, "documents"))
 
@@ -56,4 +60,4 @@ def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_vafile_topk, op2_pii_weak_supervision, op3_token_counts, op4_jpeg_media, op5_ngram_jaccard_join, op6_mixture_packing, op7_nbsvm_quality, op9_markov_secrets, op10_warc)}
+    return {f.__name__: f for f in (op1_vafile_topk, op2_pii_weak_supervision, op3_token_counts, op4_jpeg_media, op5_ngram_jaccard_join, op6_mixture_packing, op7_nbsvm_quality, op8_streaming_sentencepiece, op9_markov_secrets, op10_warc)}
