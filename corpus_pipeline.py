@@ -1,10 +1,57 @@
-"""The corpus pipeline: stages over documents, each written and read again by the next."""
+"""The corpus pipeline: documents that are good, told apart, free of secrets, and packed.
+
+Each stage takes (spark, docs, sf_dir) and returns a DataFrame, which is written as Parquet and
+read again as the next stage's ``docs``.  All but the last return the columns of documents.
+"""
 
 from __future__ import annotations
 
-STAGES: list = []
+from pyspark.sql import DataFrame, SparkSession
+
+from repograph.llm import stages, support
+from repograph.llm.queries import tokenizer_path
+
+
+def quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the quality classifier rejects (score below 0.7) go."""
+    support.ready(spark)
+    return stages.keep_good(docs, support.load(spark, sf_dir, "labels"), threshold=0.7)
+
+
+def ngram_jaccard_join(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of near copies (five-word shingles, similarity of 0.8 or more) stays."""
+    support.ready(spark)
+    return stages.keep_one_of_each(docs)
+
+
+def secret_scans(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Secrets in the texts are replaced; every document stays."""
+    support.ready(spark)
+    return stages.redacted(docs)
+
+
+def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The documents' tokens are packed into sequences of 1024 in proportion to their sources."""
+    support.ready(spark)
+    return stages.packed(docs, tokenizer_path(), sequence=1024)
+
+
+STAGES = [
+    ("quality classifier", quality_classifier),
+    ("n-gram Jaccard join", ngram_jaccard_join),
+    ("secret scans", secret_scans),
+    ("packing", packing),
+]
+
+#: The classifier, the Markov models and the tokenizer are beyond SQL; tests hold the pipeline against plain Python.
 ORACLE_SQL = None
 
 
-def run(spark, sf_dir):
-    raise NotImplementedError
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All stages over documents; each stage's result is written to the shared folder and read again."""
+    docs = support.load(spark, sf_dir, "documents")
+    for i, (_, stage) in enumerate(STAGES):
+        docs = stage(spark, docs, sf_dir)
+        if i < len(STAGES) - 1:
+            docs = support.table(docs, f"stage{i}")
+    return docs

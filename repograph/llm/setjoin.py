@@ -418,3 +418,14 @@ def join(docs: DataFrame, rule: Rule = Rule()) -> DataFrame:
     copies = classes.where("not bare").groupBy("digest").agg(F.min("doc_id").alias("node"), F.max("doc_id").alias("other")).where("node <> other").select("digest", "node")
     placed = counted.join(copies, "digest", "left").withColumn("node", F.coalesce("node", "doc_id"))
     return placed.join(found, "node", "left").select("doc_id", "n_shingles", F.coalesce("comp", "node").alias("component_id"))
+
+
+def later_members(rows: DataFrame, rule: Rule) -> DataFrame:
+    """doc_id of every document that is not the least of its group; rows has doc_id (not null) and text."""
+    found = linked(rows, rule)
+    classes = rows.select("doc_id", F.unhex(F.md5("text")).alias("digest")).where(F.length(F.regexp_replace("text", r"[\x20\x09-\x0D]+", "")) > 0)
+    # Copies beyond the first of each text, and nodes whose component begins with another one.
+    copies = classes.groupBy("digest").agg(F.min("doc_id").alias("node"), F.max("doc_id").alias("other")).where("node <> other").select("digest", "node")
+    copied = classes.join(copies, "digest").where("doc_id <> node").select("doc_id")
+    merged = found.where("node <> comp").select(F.col("node").alias("doc_id"))
+    return support.cut(copied.unionAll(merged).distinct())
