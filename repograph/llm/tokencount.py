@@ -72,37 +72,40 @@ def cut_by_library(path: str):
         tokenizer = Tokenizer.from_file(path)
         for batch in batches:
             encoded = tokenizer.encode_batch_fast(batch.column(3).to_pylist(), add_special_tokens=False)
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), batch.column(2), pa.array([len(e) for e in encoded], pa.int64())], ["doc_id", "digest", "n_bytes", "n_tokens"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), batch.column(2), pa.array([len(e) for e in encoded], pa.int64())], ["doc_id", "text_hash", "n_bytes", "n_tokens"])
 
     return task
 
 
-def count(docs: DataFrame, tokenizer_path: str, limit: int = 1024, head: int = 65_536) -> DataFrame:
+def count(docs: DataFrame, tokenizer_path: str, limit: int = 1024, head: int = 262_144) -> DataFrame:
     """doc_id, n_bytes, n_tokens and over_limit (more than ``limit`` tokens) for each row."""
     support.ready(docs.sparkSession)
     specials = special_strings(tokenizer_path)
     splitter = "|".join(escaped(s) for s in specials) if specials else "(?!)"
-    keyed = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text")).withColumn("digest", F.unhex(F.md5("text"))).withColumn("n_bytes", F.octet_length("text").cast("long"))
+    # A row is told from others of its doc_id by a hash of its text.
+    key = ["doc_id", "text_hash"]
+    keyed = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text")).withColumn("text_hash", F.hash("text")).withColumn("n_bytes", F.octet_length("text").cast("long"))
     odd = F.col("text").rlike(UNKNOWN)
     pieces = F.split("text", splitter, -1)
-    cut = F.flatten(F.transform(pieces, lambda s: F.regexp_extract_all(s, F.lit(PATTERN), 0)))
+    cut = F.flatten(F.transform(pieces, lambda s: F.regexp_extract_all(s, F.lit(PATTERN), F.lit(0))))
     known = keyed.where(~odd)
-    words = known.select("doc_id", "digest", F.explode(cut).alias("word"))
+    words = known.select(*key, F.explode(cut).alias("word"))
 
     # Distinct pre-tokens with their frequency, each tokenised once.
     pieces_by_word = support.table(words.groupBy("word").agg(F.count(F.lit(1)).alias("freq")).mapInArrow(pieces_of(tokenizer_path), "word string, freq long, pieces long"), "pieces")
-    top = pieces_by_word.where(F.length("word") <= HEAD_CHARS).orderBy(F.desc("freq"), "word").limit(head).select("word", "pieces")
-    top = support.cut(top)
-
-    frequent = words.join(F.broadcast(top), "word", "left")
-    by_head = frequent.where("pieces is not null").groupBy("doc_id", "digest").agg(F.sum("pieces").alias("n_tokens"))
-    rest = words.join(F.broadcast(top), "word", "left_anti").groupBy("word", "doc_id", "digest").agg(F.count(F.lit(1)).alias("freq"))
-    by_rest = rest.join(pieces_by_word.join(F.broadcast(top), "word", "left_anti").select("word", "pieces"), "word").groupBy("doc_id", "digest").agg(F.sum(F.col("freq") * F.col("pieces")).alias("n_tokens"))
-    bare = known.select("doc_id", "digest", "n_bytes", (F.size(pieces) - 1).cast("long").alias("n_tokens"))
-    library = keyed.where(odd).select("doc_id", "digest", "n_bytes", "text").mapInArrow(cut_by_library(tokenizer_path), "doc_id long, digest binary, n_bytes long, n_tokens long")
+    top = support.cut(pieces_by_word.where(F.length("word") <= HEAD_CHARS).orderBy(F.desc("freq"), "word").limit(head).select("word", "pieces"))
+
+    # Frequencies by document: frequent pre-tokens are summed where they lie, in the row without a word.
+    met = words.join(F.broadcast(top), "word", "left").withColumn("rare", F.when(F.col("pieces").isNull(), F.col("word")))
+    by_doc = support.table(met.groupBy(*key, "rare").agg(F.sum(F.coalesce("pieces", F.lit(0))).alias("n_tokens"), F.count(F.lit(1)).alias("freq")), "frequencies")
+    by_rare = by_doc.where("rare is not null").join(pieces_by_word.select(F.col("word").alias("rare"), "pieces"), "rare").groupBy(*key).agg(F.sum(F.col("freq") * F.col("pieces")).alias("n_tokens"))
     nothing = F.lit(None).cast("long").alias("n_bytes")
-    parts = bare.unionAll(library).withColumn("rows", F.lit(1)).unionAll(by_head.select("doc_id", "digest", nothing, "n_tokens", F.lit(0))).unionAll(by_rest.select("doc_id", "digest", nothing, "n_tokens", F.lit(0)))
+    bare = known.select(*key, "n_bytes", (F.size(pieces) - 1).cast("long").alias("n_tokens"))
+    library = keyed.where(odd).select(*key, "n_bytes", "text").mapInArrow(cut_by_library(tokenizer_path), "doc_id long, text_hash int, n_bytes long, n_tokens long")
+    parts = bare.unionAll(library).withColumn("rows", F.lit(1))
+    for counted in (by_doc.where("rare is null"), by_rare):
+        parts = parts.unionAll(counted.select(*key, nothing, "n_tokens", F.lit(0)))
     # Rows that repeat a document have been summed together: share the sum out and give each its row.
-    summed = parts.groupBy("doc_id", "digest").agg(F.max("n_bytes").alias("n_bytes"), F.sum("n_tokens").alias("n"), F.sum("rows").alias("rows"))
+    summed = parts.groupBy(*key).agg(F.max("n_bytes").alias("n_bytes"), F.sum("n_tokens").alias("n"), F.sum("rows").alias("rows"))
     each = summed.select("doc_id", "n_bytes", F.expr("n div rows").alias("n_tokens"), F.explode(F.sequence(F.lit(1), F.col("rows").cast("int"))).alias("copy"))
     return each.select("doc_id", "n_bytes", "n_tokens", (F.col("n_tokens") > limit).alias("over_limit"))
