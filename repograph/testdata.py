@@ -110,7 +110,7 @@ def sources(spark: SparkSession, d: str) -> DataFrame:
     ifs = F.array_join(F.transform(F.sequence(F.lit(1), F.col("p_size") % 5 + 1), lambda i: F.concat(F.lit("    if a > "), i, F.lit(":\n        b = run(a)\n"))), "")
     python = F.concat(F.lit("import os\nfrom pkg.util_"), (F.col("p_partkey") % 10).cast("string"), F.lit(' import x\n\nclass Part'), k, F.lit('(Base):\n    """Doc."""\n    def size(self, a):\n        return a\n\ndef get_part(a, b):\n'), ifs, F.lit("    return a and b\n"))
     blocks = F.array_join(F.transform(F.sequence(F.lit(1), F.col("p_size") % 5 + 1), lambda i: F.concat(F.lit("  if (a > "), i, F.lit(") { run(a); }\n"))), "")
-    script = F.concat(F.lit("import { x } from './part_"), k, F.lit("';\nexport class View"), k, F.lit(" extends Base {\n  render(a: number): void {\n    draw(a);\n  }\n}\nexport function load(a, b) {\n"), blocks, F.lit("  return a && b;\n}\n"))
+    script = F.concat(F.lit("import { x } from './part_"), k, F.lit("';\nexport class View"), k, F.lit(" extends Base {\n  render(a: number): void {\n    draw(a);\n  }\n}\n\nexport function load(a, b) {\n"), blocks, F.lit("  return a && b;\n}\n"))
     java = F.concat(F.lit("import com.acme.Base;\npublic class Item"), k, F.lit(" extends Base {\n  public int size(int a, int b) {\n"), blocks, F.lit("    return a;\n  }\n}\n"))
     which = F.col("p_partkey") % 3
     path = F.when(which == 0, F.concat(F.lit("pkg/mod_"), F.col("p_partkey") % 7, F.lit("/util_"), k, F.lit(".py"))).when(which == 1, F.concat(F.lit("web/view_"), k, F.lit(".ts"))).otherwise(F.concat(F.lit("java/acme/Item"), k, F.lit(".java")))
