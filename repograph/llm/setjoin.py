@@ -417,7 +417,7 @@ def join(docs: DataFrame, rule: Rule = Rule()) -> DataFrame:
     # Texts without words are equal but link with nothing.
     copies = classes.where("not bare").groupBy("digest").agg(F.min("doc_id").alias("node"), F.max("doc_id").alias("other")).where("node <> other").select("digest", "node")
     placed = counted.join(copies, "digest", "left").withColumn("node", F.coalesce("node", "doc_id"))
-    return placed.join(found, "node", "left").select("doc_id", "n_shingles", F.coalesce("comp", "node").alias("component_id"))
+    return placed.join(found, "node", "left").select("doc_id", "n_shingles", F.when(F.col("doc_id").isNotNull(), F.coalesce("comp", "node")).alias("component_id"))
 
 
 def later_members(rows: DataFrame, rule: Rule) -> DataFrame:
