@@ -146,7 +146,7 @@ SQL["field_types"] = """WITH n AS (SELECT DISTINCT lower(translate(p_name, ' ',
   SELECT name, CASE WHEN name LIKE '%\\_id' ESCAPE '\\' OR name = 'id' THEN 'String PK' WHEN name LIKE '%\\_at' ESCAPE '\\' OR regexp_matches(name, 'date|time') THEN 'DateTime' WHEN name LIKE '%email%' THEN 'String' WHEN regexp_matches(name, 'count|num|age') THEN 'Integer'
   WHEN regexp_matches(name, 'is_|has_|enabled') THEN 'Boolean' WHEN regexp_matches(name, 'price|amount|salary') THEN 'Decimal' WHEN regexp_matches(name, 'url|path|description') THEN 'Text' ELSE 'String' END AS type FROM n"""
 SQL["import_resolution"] = """WITH f AS (SELECT concat('pkg/mod_', p_partkey % 7, '/util_', p_partkey, '.py') AS target, concat('util_', p_partkey) AS stem FROM part WHERE p_partkey % 3 = 0),
-  a AS (SELECT concat('f', p_partkey) AS source, concat('pkg.util_', p_partkey * 3) AS module, concat('util_', p_partkey * 3) AS last FROM part WHERE p_partkey <= 300),
+  a AS (SELECT concat('f', p_partkey) AS source, concat('pkg.util_', p_partkey * 3) AS module, concat('util_', p_partkey * 3) AS last FROM part),
   e AS (SELECT source, module, target FROM a JOIN f ON stem = last),
   l AS (SELECT source, module, target FROM a JOIN f ON ends_with(stem, module) OR ends_with(module, stem) WHERE source NOT IN (SELECT source FROM e))
   SELECT DISTINCT 'synthetic' AS job_id, source, module, target FROM (SELECT * FROM e UNION ALL SELECT * FROM l)"""
