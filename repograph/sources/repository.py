@@ -11,6 +11,7 @@ from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
 from ..functions import rules
 from ..functions.text import extension
+from ..storage import ready
 
 FILES = "job_id string, path string, name string, size long, content string"
 
@@ -67,7 +68,7 @@ class Tree(DataSource):
 
 
 def register(spark: SparkSession) -> None:
-    spark.dataSource.register(Tree)
+    ready(spark).dataSource.register(Tree)
 
 
 def read_tree(spark: SparkSession, path: str, job_id: str) -> DataFrame:

@@ -2,10 +2,22 @@
 
 from __future__ import annotations
 
+import os
 import tempfile
 
 from pyspark import StorageLevel
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
+
+ROOT = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
+
+
+def ready(spark: SparkSession) -> SparkSession:
+    """Let Python workers import this package when the cluster has not shipped it already."""
+    env = spark.sparkContext.environment
+    parts = [p for p in env.get("PYTHONPATH", "").split(os.pathsep) if p]
+    if ROOT not in parts:
+        env["PYTHONPATH"] = os.pathsep.join([ROOT, *parts])
+    return spark
 
 
 def cut(df: DataFrame) -> DataFrame:

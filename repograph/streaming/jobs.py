@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupStateTimeout
 
 from ..operators.jobs import TRANSITIONS
+from ..storage import ready
 
 EVENTS = "job_id string, at timestamp, seq long, status string"
 STATES = "job_id string, status string, accepted int, rejected int"
@@ -31,6 +32,7 @@ def _fold(key, batches, state):
 
 def states(events: DataFrame) -> DataFrame:
     """The state of every job that a micro-batch touched (output mode update)."""
+    ready(events.sparkSession)
     return events.groupBy("job_id").applyInPandasWithState(_fold, STATES, "status string, accepted int, rejected int", "update", GroupStateTimeout.NoTimeout)
 
 
