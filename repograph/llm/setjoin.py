@@ -12,12 +12,13 @@ How links are found without comparing all pairs, and without losing any:
    (shingles dealt by hash) at least 1 + e are identical.  Each set gives the hash of every non-empty part
    as a key.  A set with more than e empty parts gives keys for the empty ones as well, so two sets that
    agree only in empty parts still meet.
-3. Sets that share a key are a group.  Rounds of stars join each group's members to one of them: candidate pairs
-   in number as the members.  After each round, groups that lie in one component are done.  This takes large
+3. Sets that share a key are a group.  Each group's members are joined to ``STARS`` of them: candidate pairs
+   in number as the members.  Groups that then lie in one component are done.  This takes large
    groups of near copies, which would give pairs in the square of their size.
 4. What is left is cut into tiles of ``TILE`` sets and pairs of tiles are compared by hashed
    bitmaps: with d the number of bits in which two bitmaps differ, the overlap is at most
-   (|A| + |B| - d) / 2.  Only pairs of different components that pass this bound go on.
+   (|A| + |B| - d) / 2.  Only pairs of different components that pass this bound go on: first
+   the likeliest one of each set, twice, then, of what has not merged, all.
 5. Candidate pairs are checked exactly by intersection of the sorted arrays of shingles.
 
 Components come from alternating large-star and small-star rounds, each cut off by a checkpoint.
@@ -40,7 +41,7 @@ from pyspark.sql import functions as F
 from . import support
 
 U = np.uint64
-RATIO, TILE, LARGEST_BITMAP, ROUNDS = 1.5, 256, 1 << 14, 3
+RATIO, TILE, LARGEST_BITMAP, STARS = 1.5, 256, 1 << 17, 1
 FEW = 200_000  # rows of two or three longs that may be broadcast
 BUCKET = 4096  # rows of tiles that are compared in one call
 KEYS = "key long, node long, n int"
@@ -168,7 +169,7 @@ def part_keys(found: np.ndarray, rule: Rule) -> np.ndarray:
 
 def bitmap(found: np.ndarray) -> np.ndarray:
     """Packed hashed bitmap; its width follows the size's band, so sets of neighbouring sizes can be folded to one width."""
-    bits = min(LARGEST_BITMAP, max(256, 1 << (2 * len(found) - 1).bit_length()))
+    bits = min(LARGEST_BITMAP, max(256, 1 << (16 * len(found) - 1).bit_length()))
     out = np.zeros(bits, np.uint8)
     out[(found >> U(20)).astype(np.int64) & (bits - 1)] = 1
     return np.packbits(out, bitorder="little")
@@ -279,7 +280,7 @@ def verify(pairs: DataFrame, sets: DataFrame, rule: Rule) -> DataFrame:
     return both.mapInArrow(checked(rule), "a long, b long")
 
 
-def tile_pairs(rule: Rule, node, n, comp, side, maps) -> tuple[np.ndarray, np.ndarray]:
+def tile_pairs(rule: Rule, best: bool, node, n, comp, side, maps) -> tuple[np.ndarray, np.ndarray]:
     """Pairs of different components of one pair of tiles that the bitmaps leave open."""
     width = min(len(x) for x in maps)
     bits = np.stack([folded(x, width) for x in maps]).view(np.uint64)
@@ -297,13 +298,16 @@ def tile_pairs(rule: Rule, node, n, comp, side, maps) -> tuple[np.ndarray, np.nd
             continue
         both = n[i] + n[some]
         apart = np.bitwise_count(bits[some] ^ bits[i]).sum(axis=1, dtype=np.int64)
-        near = some[(both - apart) // 2 >= rule.least_overlap(both)]
+        open_ = (both - apart) // 2 >= rule.least_overlap(both)
+        near = some[open_]
+        if best and len(near):  # the pair that differs least for its size
+            near = near[[np.argmin(apart[open_] / both[open_])]]
         out_a.append(np.minimum(node[i], node[near]))
         out_b.append(np.maximum(node[i], node[near]))
     return np.concatenate(out_a), np.concatenate(out_b)
 
 
-def tiles_compared(rule: Rule):
+def tiles_compared(rule: Rule, best: bool):
     """An applyInArrow function over some pairs of tiles: the pairs of sets that are left open."""
 
     def task(table: pa.Table) -> pa.Table:
@@ -311,7 +315,7 @@ def tiles_compared(rule: Rule):
         key, low, high, side, node, n, comp = (table[c].to_numpy() for c in ("key", "low", "high", "side", "node", "n", "comp"))
         maps = [np.frombuffer(x, np.uint8) for x in table["bitmap"].to_pylist()]
         cuts = np.flatnonzero((key[1:] != key[:-1]) | (low[1:] != low[:-1]) | (high[1:] != high[:-1])) + 1
-        parts = [tile_pairs(rule, node[i:j], n[i:j].astype(np.int64), comp[i:j], side[i:j], maps[i:j]) for i, j in zip([0, *cuts], [*cuts, len(key)]) if j - i > 1]
+        parts = [tile_pairs(rule, best, node[i:j], n[i:j].astype(np.int64), comp[i:j], side[i:j], maps[i:j]) for i, j in zip([0, *cuts], [*cuts, len(key)]) if j - i > 1]
         join = lambda x: np.unique(np.concatenate([np.empty((0, 2), np.int64), *x]), axis=0)
         pairs = join([np.stack(p, axis=1) for p in parts])
         return pa.table({"a": pairs[:, 0], "b": pairs[:, 1]})
@@ -348,46 +352,47 @@ def linked(docs: DataFrame, rule: Rule) -> DataFrame:
     """node, comp of every document that links with another text; docs has doc_id (not null) and text."""
     support.ready(docs.sparkSession)
     texts = docs.groupBy("text").agg(F.min("doc_id").alias("node"))
-    # One exchange by key serves both the count and the join back.
+    # One exchange by key serves both the count and the join back (both read all its columns, so it is reused).
     keys = texts.select("node", "text").mapInArrow(keyed(rule), KEYS).repartition("key")
-    groups = keys.groupBy("key").agg(F.count(F.lit(1)).alias("many"), F.min("node").alias("least"), F.max("node").alias("most")).where("least <> most").select("key", "many")
+    groups = keys.groupBy("key").agg(F.count(F.lit(1)).alias("many"), F.min("node").alias("least"), F.max("node").alias("most"), F.max("n").alias("top")).where("least <> most and top > 0").select("key", "many")
     members = support.table(keys.join(groups, "key").select("key", "node", "n", "many"), "members")
     nodes = members.select(F.col("node").alias("doc_id")).distinct()
     nodes = F.broadcast(nodes) if nodes.count() <= FEW else nodes
     sets = support.table(docs.join(nodes, "doc_id", "left_semi").groupBy("doc_id").agg(F.min("text").alias("text")).select(F.col("doc_id").alias("node"), "text").mapInArrow(sets_of(rule), SETS), "sets")
 
-    links = found = None
-    for turn in range(ROUNDS):
-        # A member of each open group is the centre of a star, another one each round.
-        lot = F.xxhash64("node", F.lit(turn))
-        centre = F.min_by(F.struct("node", "comp", "n"), F.struct(lot, "node")).alias("c")
-        now = with_components(members, found)
-        stars = now.groupBy("key").agg(centre)
-        n, m = F.col("n").cast("long"), F.col("c.n").cast("long")
-        fits = (F.greatest(n, m) * rule.num <= F.least(n, m) * rule.den) & (F.col("comp") != F.col("c.comp"))
-        pairs = now.join(stars, "key").where(fits).select(F.col("c.node").alias("a"), F.col("node").alias("b")).distinct()
-        more = support.cut(verify(pairs, sets, rule))
-        links = more if links is None else links.unionAll(more)
-        found = support.cut(components(links))
-        if turn and not more.limit(1).count():
-            break
+    # Some members of each group, the same ones in all groups of a family, are centres of stars.
+    n = F.col("n").cast("long")
+    lots = [F.min_by(F.struct("node", "n"), F.struct(F.xxhash64("node", F.lit(i)), "node")) for i in range(STARS)]
+    centres = members.groupBy("key").agg(F.array_distinct(F.array(*lots)).alias("centres"))
+    stars = members.join(centres, "key").select("node", n.alias("n"), F.explode("centres").alias("c"))
+    m = F.col("c.n").cast("long")
+    fits = (F.greatest(F.col("n"), m) * rule.num <= F.least(F.col("n"), m) * rule.den) & (F.col("node") != F.col("c.node"))
+    pairs = stars.where(fits).select(F.least("c.node", "node").alias("a"), F.greatest("c.node", "node").alias("b")).distinct()
+    links = support.cut(verify(pairs, sets, rule))
+    found = support.cut(components(links))
+
+    # Groups that still span components, tile by tile: first the likeliest pair of each member, which
+    # merges most of what can be merged; then all pairs that the bitmaps leave open.
+    for best in (True, True, False):
+        more = support.cut(verify(open_pairs(members, sets, found, rule, best), sets, rule))
+        if more.limit(1).count():
+            links = links.unionAll(more)
+            found = support.cut(components(links))
+    return found
 
-    # Groups that still span components: all their pairs, tile by tile.  Groups of two have been compared.
+
+def open_pairs(members: DataFrame, sets: DataFrame, found: DataFrame, rule: Rule, best: bool) -> DataFrame:
+    """Distinct pairs of different components that share a group and that the bitmaps leave open."""
     now = with_components(members.where("many > 2"), found)
     spanning = now.groupBy("key").agg(F.min("comp").alias("low"), F.max("comp").alias("high")).where("low <> high").select("key")
     left = now.join(spanning, "key").select("key", "node", "n", "comp", F.ceil(F.col("many") / TILE).cast("int").alias("tiles"))
     left = left.withColumn("tile", F.pmod(F.xxhash64("node"), F.col("tiles")).cast("int"))
     # In a tile against itself a row is there once; against another tile it has its side.
     spots = F.transform(F.sequence(F.lit(0), F.col("tiles") - 1), lambda t: F.struct(F.least("tile", t).alias("low"), F.greatest("tile", t).alias("high"), F.when(F.col("tile") == t, 2).when(F.col("tile") < t, 0).otherwise(1).alias("side")))
-    dealt = left.withColumn("spot", F.explode(spots)).select("key", "spot.low", "spot.high", "spot.side", "node", "n", "comp").join(sets.select("node", "bitmap"), "node")
-    dealt = support.table(dealt, "tiles")
+    dealt = support.table(left.withColumn("spot", F.explode(spots)).select("key", "spot.low", "spot.high", "spot.side", "node", "n", "comp"), "tiles")
     buckets = max(1, -(-dealt.count() // BUCKET))
     bucket = F.pmod(F.xxhash64("key", "low", "high"), F.lit(buckets)).alias("bucket")
-    pairs = dealt.groupBy(bucket).applyInArrow(tiles_compared(rule), "a long, b long").distinct()
-    more = support.cut(verify(pairs, sets, rule))
-    if more.limit(1).count():
-        found = support.cut(components(links.unionAll(more)))
-    return found
+    return dealt.join(sets.select("node", "bitmap"), "node").groupBy(bucket).applyInArrow(tiles_compared(rule, best), "a long, b long").distinct()
 
 
 def with_components(members: DataFrame, found: DataFrame | None) -> DataFrame:
