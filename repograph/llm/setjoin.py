@@ -18,7 +18,7 @@ How links are found without comparing all pairs, and without losing any:
 4. What is left is cut into tiles of ``TILE`` sets and pairs of tiles are compared by hashed
    bitmaps: with d the number of bits in which two bitmaps differ, the overlap is at most
    (|A| + |B| - d) / 2.  Only pairs of different components that pass this bound go on: first
-   the likeliest one of each set, twice, then, of what has not merged, all.
+   the likeliest one of each set, then, of what has not merged, all.
 5. Candidate pairs are checked exactly by intersection of the sorted arrays of shingles.
 
 Components come from alternating large-star and small-star rounds, each cut off by a checkpoint.
@@ -41,7 +41,7 @@ from pyspark.sql import functions as F
 from . import support
 
 U = np.uint64
-RATIO, TILE, LARGEST_BITMAP, STARS = 1.5, 256, 1 << 17, 1
+RATIO, TILE, LARGEST_BITMAP, STARS = 1.5, 1024, 1 << 16, 1
 FEW = 200_000  # rows of two or three longs that may be broadcast
 BUCKET = 4096  # rows of tiles that are compared in one call
 KEYS = "key long, node long, n int"
@@ -169,7 +169,7 @@ def part_keys(found: np.ndarray, rule: Rule) -> np.ndarray:
 
 def bitmap(found: np.ndarray) -> np.ndarray:
     """Packed hashed bitmap; its width follows the size's band, so sets of neighbouring sizes can be folded to one width."""
-    bits = min(LARGEST_BITMAP, max(256, 1 << (16 * len(found) - 1).bit_length()))
+    bits = min(LARGEST_BITMAP, max(256, 1 << (6 * len(found) - 1).bit_length()))
     out = np.zeros(bits, np.uint8)
     out[(found >> U(20)).astype(np.int64) & (bits - 1)] = 1
     return np.packbits(out, bitorder="little")
@@ -373,7 +373,7 @@ def linked(docs: DataFrame, rule: Rule) -> DataFrame:
 
     # Groups that still span components, tile by tile: first the likeliest pair of each member, which
     # merges most of what can be merged; then all pairs that the bitmaps leave open.
-    for best in (True, True, False):
+    for best in (True, False):
         more = support.cut(verify(open_pairs(members, sets, found, rule, best), sets, rule))
         if more.limit(1).count():
             links = links.unionAll(more)
