@@ -72,7 +72,7 @@ def cut_by_library(path: str):
         tokenizer = Tokenizer.from_file(path)
         for batch in batches:
             encoded = tokenizer.encode_batch_fast(batch.column(3).to_pylist(), add_special_tokens=False)
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), batch.column(2), pa.array([len(e) for e in encoded], pa.int64())], ["doc_id", "text_hash", "n_bytes", "n_tokens"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), batch.column(2), pa.array([len(e) for e in encoded], pa.int64())], ["doc_id", "digest", "n_bytes", "n_tokens"])
 
     return task
 
@@ -82,9 +82,9 @@ def count(docs: DataFrame, tokenizer_path: str, limit: int = 1024, head: int = 2
     support.ready(docs.sparkSession)
     specials = special_strings(tokenizer_path)
     splitter = "|".join(escaped(s) for s in specials) if specials else "(?!)"
-    # A row is told from others of its doc_id by a hash of its text.
-    key = ["doc_id", "text_hash"]
-    keyed = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text")).withColumn("text_hash", F.hash("text")).withColumn("n_bytes", F.octet_length("text").cast("long"))
+    # A row is told from others of its doc_id by the md5 of its text: rows of one key have one text.
+    key = ["doc_id", "digest"]
+    keyed = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text")).withColumn("digest", F.unhex(F.md5("text"))).withColumn("n_bytes", F.octet_length("text").cast("long"))
     odd = F.col("text").rlike(UNKNOWN)
     pieces = F.split("text", splitter, -1)
     cut = F.flatten(F.transform(pieces, lambda s: F.regexp_extract_all(s, F.lit(PATTERN), F.lit(0))))
@@ -101,7 +101,7 @@ def count(docs: DataFrame, tokenizer_path: str, limit: int = 1024, head: int = 2
     by_rare = by_doc.where("rare is not null").join(pieces_by_word.select(F.col("word").alias("rare"), "pieces"), "rare").groupBy(*key).agg(F.sum(F.col("freq") * F.col("pieces")).alias("n_tokens"))
     nothing = F.lit(None).cast("long").alias("n_bytes")
     bare = known.select(*key, "n_bytes", (F.size(pieces) - 1).cast("long").alias("n_tokens"))
-    library = keyed.where(odd).select(*key, "n_bytes", "text").mapInArrow(cut_by_library(tokenizer_path), "doc_id long, text_hash int, n_bytes long, n_tokens long")
+    library = keyed.where(odd).select(*key, "n_bytes", "text").mapInArrow(cut_by_library(tokenizer_path), "doc_id long, digest binary, n_bytes long, n_tokens long")
     parts = bare.unionAll(library).withColumn("rows", F.lit(1))
     for counted in (by_doc.where("rare is null"), by_rare):
         parts = parts.unionAll(counted.select(*key, nothing, "n_tokens", F.lit(0)))

@@ -34,3 +34,16 @@ def test_repeated_rows_and_same_ids(spark):
 
 def test_empty_table(spark):
     assert counted(spark, []) == []
+
+
+def test_texts_whose_32_bit_hashes_are_equal_keep_their_own_counts(spark):
+    from pyspark.sql import functions as F
+
+    texts = ["x 79787", "one two three 246968"]
+    assert spark.createDataFrame([(t,) for t in texts], "t string").select(F.hash("t")).distinct().count() == 1
+    library = Tokenizer.from_file(PATH)
+    want = sorted((len(t), len(library.encode(t, add_special_tokens=False).ids)) for t in texts)
+    got = spark.createDataFrame([(k, t) for k in (None, 7) for t in texts], "doc_id long, text string")
+    rows = tokencount.count(got, PATH, head=40).collect()
+    for k in (None, 7):
+        assert sorted((r.n_bytes, r.n_tokens) for r in rows if r.doc_id == k) == want
