@@ -60,6 +60,28 @@ def test_depth_with_a_loop(spark):
     assert got == {"a": 2, "b": 1, "x": 5, "y": 5}
 
 
+def test_propagation_gives_the_grouped_paths(spark):
+    rng = random.Random(9)
+    pairs = list({(f"n{rng.randrange(16):02}", f"n{rng.randrange(16):02}") for _ in range(30)})
+    e = edges_of(spark, [*pairs, ("p", "q"), ("q", "p"), ("p", "r"), ("r", "s"), ("s", "p")])
+    want = sorted((r.scc, r.cycle) for r in graphalgos.cycles(e).collect())
+    assert sorted((r.scc, r.cycle) for r in graphalgos.cycles(e, small=0).collect()) == want
+
+
+def test_trimming_costs_no_round_and_too_few_rounds_raise(spark):
+    e = edges_of(spark, [("a", "b"), ("b", "c"), ("c", "d"), ("d", "e"), ("e", "x"), ("x", "y"), ("y", "x"), ("y", "z")])
+    wanted = e.select("job_id", "source_id", "target_id")
+    assert [r.cycle for r in graphalgos.by_propagation(wanted, most_rounds=2).collect()] == [["x", "y", "x"]]
+    with pytest.raises(RuntimeError):
+        graphalgos.by_propagation(wanted, most_rounds=0)
+
+
+def test_deep_chains_pass_the_limit_of_loops(spark):
+    pairs = [(f"c{i}", f"c{i + 1}") for i in range(8)] + [("x", "y"), ("y", "x"), ("x", "c0")]
+    got = {r.id: r.depth for r in graphalgos.chain_depth(edges_of(spark, pairs), most=3).collect()}
+    assert got == {"x": 3, "y": 3, **{f"c{i}": 8 - i for i in range(8)}}
+
+
 FILES = "job_id string, id string, label string, path string, language string, lines int, classes int, functions int"
 CLASSES = "job_id string, id string, label string, file string, line int, lines int, methods int, is_abstract boolean, has_docstring boolean, language string"
 FUNCTIONS = "job_id string, id string, label string, file string, line int, lines int, param_count int, is_method boolean, is_async boolean, cyclomatic int, nesting_depth int, call_count int, has_docstring boolean, language string"
