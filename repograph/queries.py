@@ -446,13 +446,13 @@ def er_diagram(spark, d):
     _, g = built(spark, d)
     methods = F.array(F.struct(F.lit("part_id").alias("name"), F.lit(2).alias("lines")), F.struct(F.lit("created_at").alias("name"), F.lit(3).alias("lines")))
     models = g.classes.where(rules.is_model_class(F.col("file"), F.col("label"), F.split("base_classes", ", "), F.split("decorators", ", "))).select("job_id", F.col("line").alias("seq"), F.col("label").alias("name"), rules.fields_of(methods).alias("fields"))
-    return render.er_diagram(models)
+    return render.er_diagram(models, classes=g.classes)
 
 
 @query
 def module_breakdown(spark, d):
     _, g = built(spark, d)
-    return render.module_breakdown(g.modules, g.files)
+    return render.module_breakdown(g.modules, g.files, g.classes, g.functions, g.edges)
 
 
 @query
@@ -465,7 +465,7 @@ def interview_questions(spark, d):
 @query
 def learning_path(spark, d):
     _, g = built(spark, d)
-    return render.learning_path(g.files, g.classes)
+    return render.learning_path(g.files, g.classes, g.modules)
 
 
 @query
