@@ -29,7 +29,6 @@ class TreeReader(DataSourceReader):
         self.top = options.get("path")
         self.job = options.get("job_id", "")
         self.batch = int(options.get("files_per_task", "200"))
-        self.most = int(options.get("max_file_bytes", str(8 << 20)))
         self.skip = {".git"}
 
     def partitions(self):
@@ -43,13 +42,11 @@ class TreeReader(DataSourceReader):
         for path in partition.paths:
             full = os.path.join(partition.top, path)
             size = os.path.getsize(full)
-            text = None
-            if size <= self.most:
-                with open(full, "rb") as f:
-                    try:
-                        text = f.read().decode("utf-8")
-                    except UnicodeDecodeError:
-                        text = None
+            with open(full, "rb") as f:
+                try:
+                    text = f.read().decode("utf-8")
+                except UnicodeDecodeError:
+                    text = None
             yield self.job, path.replace(os.sep, "/"), os.path.basename(path), size, text
 
 

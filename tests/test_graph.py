@@ -143,6 +143,13 @@ def test_tree_source(spark, tmp_path):
     assert rows == {"src/a.py": "x = 1\n", "b.bin": None}
 
 
+def test_tree_source_reads_big_files_whole(spark, tmp_path):
+    text = "x = 1\n" * 1_500_000
+    (tmp_path / "big.py").write_text(text)
+    (row,) = repository.read_tree(spark, str(tmp_path), "j").collect()
+    assert row.size == len(text) and row.content == text
+
+
 def test_job_fold(spark):
     steps = ["running", "pending", "completed", "failed"]
     e = spark.createDataFrame([("j", i, i, s) for i, s in enumerate(steps)], "job_id string, at long, seq long, status string")
