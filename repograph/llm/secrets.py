@@ -4,8 +4,8 @@ The base detectors are three patterns.  The method adds spans of kind ``markov``
 characters that a character model of random strings explains better than one of ordinary
 identifiers.  Both models are first-order Markov chains over characters, trained from labelled
 samples (``labelled_samples``); a candidate is reported when the log-likelihood ratio per
-character, and in all, is above its threshold.  Spans that overlap a base span add nothing new
-and are left out.
+character, and in all, is above its threshold.  Where base spans touch a candidate, the parts
+outside them are scored alone.
 
 The models are fixed by the samples' seed, so a text's result depends on nothing but the text.
 
@@ -125,19 +125,30 @@ def base_spans(text: str) -> list[tuple[str, int, int]]:
 
 def looks_random(text: str, model: MarkovPair, per_char: float, in_all: float) -> bool:
     core = text.strip("=-_/+")
-    if len(core) < 20 or not any(c.isdigit() for c in core) or not any(c.isalpha() for c in core):
+    if len(core) < 20 or not any(c.isalpha() for c in core):
         return False
     score = model.score(core)
     return score >= in_all and score >= per_char * len(core) and not math.isinf(score)
 
 
+def outside(start: int, end: int, spans: list) -> list[tuple[int, int]]:
+    """The parts of start to end that no span (ordered by start) touches."""
+    parts = []
+    for _, s, e in spans:
+        if s < end and start < e:
+            parts.append((start, s))
+            start = max(start, e)
+    return [(a, b) for a, b in [*parts, (start, end)] if a < b]
+
+
 def find(text: str, model: MarkovPair, per_char: float = 0.6, in_all: float = 15.0) -> tuple[list, list]:
     """Base spans and all spans of a text, each (kind, start, end)."""
     base = base_spans(text)
     more = []
     for m in CANDIDATE.finditer(text):
-        if not any(s < m.end() and m.start() < e for _, s, e in base) and looks_random(m[0], model, per_char, in_all):
-            more.append(("markov", m.start(), m.end()))
+        for start, end in outside(m.start(), m.end(), base):
+            if looks_random(text[start:end], model, per_char, in_all):
+                more.append(("markov", start, end))
     order = {k: i for i, k in enumerate((*KINDS, "markov"))}
     return base, sorted(base + more, key=lambda s: (s[1], order[s[0]]))
 
