@@ -6,25 +6,28 @@ Two sets link when ``den * intersection >= num * union``, in integers.
 
 How links are found without comparing all pairs, and without losing any:
 
-1. Equal texts are one class and go on as one row, with their least doc_id.
+1. Equal texts are one class: a node with a number of its own, the digest of its text and its least doc_id.
 2. Sets are dealt to size bands (each ``RATIO`` times the one below; a set that may link into the next
    band goes there too).  In a band linked sets differ in at most k shingles, so of k + 1 + e parts
    (shingles dealt by hash) at least 1 + e are identical.  Each set gives the hash of every non-empty part
    as a key.  A set with more than e empty parts gives keys for the empty ones as well, so two sets that
    agree only in empty parts still meet.
-3. Sets that share a key are a group.  Each group's members are joined to ``STARS`` of them: candidate pairs
-   in number as the members.  Groups that then lie in one component are done.  This takes large
-   groups of near copies, which would give pairs in the square of their size.
-4. What is left is cut into tiles of ``TILE`` sets and pairs of tiles are compared by hashed
-   bitmaps: with d the number of bits in which two bitmaps differ, the overlap is at most
-   (|A| + |B| - d) / 2.  Only pairs of different components that pass this bound go on: first
-   the likeliest one of each set, then, of what has not merged, all.
-5. Candidate pairs are checked exactly by intersection of the sorted arrays of shingles.
+3. Sets that share a key of a band are a group; of groups with the same members one is kept.
+4. A group is cut into tiles of ``TILE`` sets of its size band, and the sets of two tiles are compared by hashed
+   parity bitmaps.  A bit is the parity of the number of shingles that hash to it, so with d the
+   number of bits in which two bitmaps differ, the sets differ in at least d shingles and the
+   overlap is at most (|A| + |B| - d) / 2.  Only pairs of different components that pass this bound go on.
+5. Pairs that pass are checked exactly by intersection of the sorted arrays of shingles.
+
+Steps 4 and 5 go in rounds.  The first takes, in groups of up to ``SMALL`` sets, the likeliest partner
+of each set, and of larger groups the pairs with one member, a star: in number as the
+members, which is what large groups of near copies need.  Groups that then lie in one component are done.  The
+second takes the likeliest partners in all groups that still span components, the third all their open pairs.
 
 Components come from alternating large-star and small-star rounds, each cut off by a checkpoint.
 
 Defined results: documents without words, and null texts, have 0 shingles and link with nothing;
-rows that share a doc_id are a row each in the result and one document for linking, by their least text; a null doc_id
+rows that share a doc_id are a document each, with its own text and its own links; a null doc_id
 has a null component and links with nothing; a table without rows gives no rows; other columns are ignored.
 """
 
@@ -41,11 +44,13 @@ from pyspark.sql import functions as F
 from . import support
 
 U = np.uint64
-RATIO, TILE, LARGEST_BITMAP, STARS = 1.5, 1024, 1 << 16, 1
+RATIO, TILE, SMALL, LARGEST_BITMAP = 1.5, 1024, 64, 1 << 16
 FEW = 200_000  # rows of two or three longs that may be broadcast
 BUCKET = 4096  # rows of tiles that are compared in one call
+CELLS = 1 << 18  # words of bitmaps that are compared at once
 KEYS = "key long, node long, n int"
-SETS = "node long, n int, bitmap binary, shingles binary"
+TEXTS = "doc_id long, digest binary, n int, bitmap binary, text string"
+SETS = "node long, shingles binary"
 
 
 @dataclass(frozen=True)
@@ -168,11 +173,23 @@ def part_keys(found: np.ndarray, rule: Rule) -> np.ndarray:
 
 
 def bitmap(found: np.ndarray) -> np.ndarray:
-    """Packed hashed bitmap; its width follows the size's band, so sets of neighbouring sizes can be folded to one width."""
-    bits = min(LARGEST_BITMAP, max(256, 1 << (6 * len(found) - 1).bit_length()))
-    out = np.zeros(bits, np.uint8)
-    out[(found >> U(20)).astype(np.int64) & (bits - 1)] = 1
-    return np.packbits(out, bitorder="little")
+    """Packed parity bitmap: about as many bits as shingles, a power of two, so any two can be folded to one width."""
+    bits = min(LARGEST_BITMAP, max(128, 1 << max(0, len(found) - 1).bit_length()))
+    parity = np.bincount((found >> U(20)).astype(np.int64) & (bits - 1), minlength=bits) & 1
+    return np.packbits(parity.astype(np.uint8), bitorder="little")
+
+
+def measured(rule: Rule):
+    """A mapInArrow function: doc_id, digest, text -> the same with the number of shingles and their bitmap."""
+
+    def task(batches):
+        for batch in batches:
+            for at in range(0, batch.num_rows, 1000):
+                part = batch.slice(at, 1000)
+                sets = [shingles(t.as_py(), rule.width) for t in part.column(2)]
+                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array([len(x) for x in sets], pa.int32()), pa.array([bitmap(x).tobytes() for x in sets], pa.binary()), part.column(2)], ["doc_id", "digest", "n", "bitmap", "text"])
+
+    return task
 
 
 def keyed(rule: Rule):
@@ -202,23 +219,22 @@ def keyed(rule: Rule):
 
 
 def sets_of(rule: Rule):
-    """A mapInArrow function: node, text -> size, bitmap and sorted shingles."""
+    """A mapInArrow function: node, text -> sorted shingles."""
 
     def task(batches):
         for batch in batches:
             rows, held = [], 0
             for node, text in zip(batch.column(0).to_pylist(), batch.column(1)):
-                found = shingles(text.as_py(), rule.width)
-                rows.append((node, len(found), bitmap(found).tobytes(), found.tobytes()))
-                held += 8 * len(found)
+                rows.append((node, shingles(text.as_py(), rule.width).tobytes()))
+                held += len(rows[-1][1])
                 if held > 8 << 20:
                     yield set_batch(rows)
                     rows, held = [], 0
-            yield set_batch(rows)
+            if rows:
+                yield set_batch(rows)
 
     def set_batch(rows):
-        kinds = [pa.int64(), pa.int32(), pa.binary(), pa.binary()]
-        return pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], kinds[i]) for i in range(4)], ["node", "n", "bitmap", "shingles"])
+        return pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int64()), pa.array([r[1] for r in rows], pa.binary())], ["node", "shingles"])
 
     return task
 
@@ -227,10 +243,10 @@ def sets_of(rule: Rule):
 
 
 def folded(bits: np.ndarray, width: int) -> np.ndarray:
-    """A bitmap of fewer bytes: positions are taken modulo the smaller power of two."""
+    """A bitmap of fewer bytes: positions are taken modulo the smaller power of two, parities add up."""
     while len(bits) > width:
         half = len(bits) // 2
-        bits = bits[:half] | bits[half:]
+        bits = bits[:half] ^ bits[half:]
     return bits
 
 
@@ -250,61 +266,89 @@ def overlap(a: np.ndarray, b: np.ndarray) -> int:
     return int((b[at] == a).sum()) if len(b) else 0
 
 
+def pair_batch(left: list, right: list) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(left, pa.int64()), pa.array(right, pa.int64())], ["a", "b"])
+
+
+def left_open(rule: Rule):
+    """A mapInArrow function over pairs with both bitmaps: the pairs that may link."""
+
+    def task(batches):
+        for batch in batches:
+            a, b, n_a, n_b, bits_a, bits_b = (batch.column(i).to_pylist() for i in range(6))
+            keep = [i for i in range(batch.num_rows) if overlap_bound(np.frombuffer(bits_a[i], np.uint8), np.frombuffer(bits_b[i], np.uint8), n_a[i] + n_b[i]) >= rule.least_overlap(n_a[i] + n_b[i])]
+            yield pair_batch([a[i] for i in keep], [b[i] for i in keep])
+
+    return task
+
+
 def checked(rule: Rule):
     """A mapInArrow function over pairs with both sets: the pairs that link."""
 
     def task(batches):
         for batch in batches:
             left, right = [], []
-            for a, b, bits_a, bits_b, set_a, set_b in zip(*(batch.column(i).to_pylist() for i in range(6))):
-                both = (len(set_a) + len(set_b)) // 8
-                least = rule.least_overlap(both)
-                if overlap_bound(np.frombuffer(bits_a, np.uint8), np.frombuffer(bits_b, np.uint8), both) < least:
-                    continue
-                if overlap(np.frombuffer(set_a, np.uint64), np.frombuffer(set_b, np.uint64)) >= least:
+            for a, b, one, other in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2), batch.column(3)):
+                one, other = (np.frombuffer(x.as_buffer(), np.uint64) for x in (one, other))
+                if overlap(one, other) >= rule.least_overlap(len(one) + len(other)):
                     left.append(a)
                     right.append(b)
-            yield pa.RecordBatch.from_arrays([pa.array(left, pa.int64()), pa.array(right, pa.int64())], ["a", "b"])
+            yield pair_batch(left, right)
 
     return task
 
 
-def verify(pairs: DataFrame, sets: DataFrame, rule: Rule) -> DataFrame:
-    """Of distinct pairs a, b (with sizes below ``FEW`` they are sent to the sets) those that link."""
+def few(frame: DataFrame) -> DataFrame:
+    """The frame, to be broadcast if a count shows that it has at most ``FEW`` rows."""
+    return F.broadcast(frame) if frame.count() <= FEW else frame
+
+
+def as_side(frame: DataFrame, side: str, *more: str) -> DataFrame:
+    return frame.select(F.col("node").alias(side), *[F.col(c).alias(f"{c}_{side}") for c in more])
+
+
+def open_by_bitmap(pairs: DataFrame, texts: DataFrame, rule: Rule) -> DataFrame:
+    """Of distinct pairs a, b those that the bitmaps leave open."""
+    pairs = few(support.cut(pairs))
+    left, right = (pairs.join(as_side(texts, side, "n", "bitmap"), side) for side in "ab")
+    return left.join(right, ["a", "b"]).select("a", "b", "n_a", "n_b", "bitmap_a", "bitmap_b").mapInArrow(left_open(rule), "a long, b long")
+
+
+def verify(pairs: DataFrame, texts: DataFrame, rule: Rule) -> DataFrame:
+    """Of distinct pairs a, b those that link.  Each pair takes one set along to the other one's."""
     pairs = support.cut(pairs)
-    if pairs.count() <= FEW:
-        pairs = F.broadcast(pairs)
-    left = pairs.join(sets.select(F.col("node").alias("a"), F.col("bitmap").alias("bits_a"), F.col("shingles").alias("set_a")), "a")
-    right = pairs.join(sets.select(F.col("node").alias("b"), F.col("bitmap").alias("bits_b"), F.col("shingles").alias("set_b")), "b")
-    both = left.join(right, ["a", "b"]).select("a", "b", "bits_a", "bits_b", "set_a", "set_b")
-    return both.mapInArrow(checked(rule), "a long, b long")
+    nodes = few(support.cut(pairs.select(F.col("a").alias("node")).unionAll(pairs.select("b")).distinct()))
+    sets = support.table(texts.select("node", "text").join(nodes, "node", "left_semi").mapInArrow(sets_of(rule), SETS), "sets")
+    carried = few(pairs).join(as_side(sets, "b", "shingles"), "b")
+    links = support.cut(carried.join(as_side(sets, "a", "shingles"), "a").select("a", "b", "shingles_a", "shingles_b").mapInArrow(checked(rule), "a long, b long"))
+    support.remove(sets)
+    return links
 
 
-def tile_pairs(rule: Rule, best: bool, node, n, comp, side, maps) -> tuple[np.ndarray, np.ndarray]:
-    """Pairs of different components of one pair of tiles that the bitmaps leave open."""
+def tile_pairs(rule: Rule, best: bool, node, n, comp, side, maps) -> np.ndarray:
+    """Pairs of different components of one pair of tiles that the bitmaps leave open; or the likeliest one of each set."""
     width = min(len(x) for x in maps)
     bits = np.stack([folded(x, width) for x in maps]).view(np.uint64)
-    order = np.argsort(n, kind="stable")
     same = bool((side == 2).all())
-    lefts, rights = (order, order) if same else (order[side[order] == 0], order[side[order] == 1])
-    out_a, out_b = [np.empty(0, np.int64)], [np.empty(0, np.int64)]
-    for i in lefts:
-        # By size: only those that may reach the least similarity.
-        low = np.searchsorted(n[rights], -(-rule.num * n[i] // rule.den), "left")
-        high = np.searchsorted(n[rights], rule.den * n[i] // rule.num, "right")
-        some = rights[low:high]
-        some = some[(comp[some] != comp[i]) & ((node[some] > node[i]) | (not same))]
-        if not len(some):
-            continue
-        both = n[i] + n[some]
-        apart = np.bitwise_count(bits[some] ^ bits[i]).sum(axis=1, dtype=np.int64)
-        open_ = (both - apart) // 2 >= rule.least_overlap(both)
-        near = some[open_]
-        if best and len(near):  # the pair that differs least for its size
-            near = near[[np.argmin(apart[open_] / both[open_])]]
-        out_a.append(np.minimum(node[i], node[near]))
-        out_b.append(np.maximum(node[i], node[near]))
-    return np.concatenate(out_a), np.concatenate(out_b)
+    lefts, rights = (np.arange(len(n)),) * 2 if same else (np.flatnonzero(side == 0), np.flatnonzero(side == 1))
+    step = max(1, CELLS // max(1, len(rights) * bits.shape[1]))
+    found = [np.empty((0, 2), np.int64)]
+    for at in range(0, len(lefts), step):
+        some = lefts[at : at + step]
+        both = n[some][:, None] + n[rights]
+        apart = np.bitwise_count(bits[some][:, None] ^ bits[rights]).sum(axis=2, dtype=np.int64)
+        apart = np.maximum(apart, np.abs(n[some][:, None] - n[rights]))
+        open_ = ((both - apart) // 2 >= rule.least_overlap(both)) & (comp[some][:, None] != comp[rights])
+        if best:  # the partner that differs least for its size
+            far = np.where(open_, apart / both, np.inf)
+            near = far.argmin(axis=1) if far.size else np.empty(0, np.int64)
+            rows = np.flatnonzero(open_.any(axis=1))
+            i, j = some[rows], rights[near[rows]]
+        else:
+            rows, columns = np.nonzero(open_ & (node[some][:, None] < node[rights]) if same else open_)
+            i, j = some[rows], rights[columns]
+        found.append(np.stack([np.minimum(node[i], node[j]), np.maximum(node[i], node[j])], axis=1))
+    return np.concatenate(found)
 
 
 def tiles_compared(rule: Rule, best: bool):
@@ -316,8 +360,7 @@ def tiles_compared(rule: Rule, best: bool):
         maps = [np.frombuffer(x, np.uint8) for x in table["bitmap"].to_pylist()]
         cuts = np.flatnonzero((key[1:] != key[:-1]) | (low[1:] != low[:-1]) | (high[1:] != high[:-1])) + 1
         parts = [tile_pairs(rule, best, node[i:j], n[i:j].astype(np.int64), comp[i:j], side[i:j], maps[i:j]) for i, j in zip([0, *cuts], [*cuts, len(key)]) if j - i > 1]
-        join = lambda x: np.unique(np.concatenate([np.empty((0, 2), np.int64), *x]), axis=0)
-        pairs = join([np.stack(p, axis=1) for p in parts])
+        pairs = np.unique(np.concatenate([np.empty((0, 2), np.int64), *parts]), axis=0)
         return pa.table({"a": pairs[:, 0], "b": pairs[:, 1]})
 
     return task
@@ -334,12 +377,12 @@ def components(links: DataFrame, most_rounds: int = 60) -> DataFrame:
     edges = support.cut(links.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u <> v").distinct())
     mark = None
     for _ in range(most_rounds):
+        # The least neighbours are cut off, so a node with very many neighbours is split in the joins with them.
         ways = edges.unionAll(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = ways.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
-        large = ways.join(least, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
-        low = large.groupBy("u").agg(F.min("v").alias("m"))
-        small = large.join(low, "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v")).unionAll(low.select("u", F.col("m").alias("v"))).distinct()
-        edges = support.cut(small)
+        least = support.cut(ways.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m")))
+        large = support.cut(ways.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct())
+        low = support.cut(large.groupBy("u").agg(F.min("v").alias("m")))
+        edges = support.cut(large.join(low, "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v")).unionAll(low.select("u", F.col("m").alias("v"))).distinct())
         before, mark = mark, tuple(edges.agg(F.count(F.lit(1)), F.sum(F.hash("u", "v").cast("long"))).first())
         if mark == before:
             break
@@ -348,89 +391,97 @@ def components(links: DataFrame, most_rounds: int = 60) -> DataFrame:
     return edges.select(F.col("u").alias("node"), F.col("v").alias("comp")).unionAll(edges.select(F.col("v").alias("node"), F.col("v").alias("comp"))).distinct()
 
 
-def linked(docs: DataFrame, rule: Rule) -> DataFrame:
-    """node, comp of every document that links with another text; docs has doc_id (not null) and text."""
-    support.ready(docs.sparkSession)
-    texts = docs.groupBy("text").agg(F.min("doc_id").alias("node"))
-    # One exchange by key serves both the count and the join back (both read all its columns, so it is reused).
-    keys = texts.select("node", "text").mapInArrow(keyed(rule), KEYS).repartition("key")
-    groups = keys.groupBy("key").agg(F.count(F.lit(1)).alias("many"), F.min("node").alias("least"), F.max("node").alias("most"), F.max("n").alias("top")).where("least <> most and top > 0").select("key", "many")
+def distinct_texts(docs: DataFrame, rule: Rule) -> DataFrame:
+    """A table of the distinct texts: node (a number), doc_id (the least, null where all are), digest, n, bitmap, text.
+
+    The numbers stand in the written table, so they are the same for all that read it.
+    """
+    texts = docs.groupBy("text").agg(F.min("doc_id").alias("doc_id")).select("doc_id", digest_of("text").alias("digest"), "text")
+    return support.table(texts.mapInArrow(measured(rule), TEXTS).withColumn("node", F.monotonically_increasing_id()), "texts")
+
+
+def digest_of(column: str):
+    return F.unhex(F.md5(column))
+
+
+def linked(texts: DataFrame, rule: Rule) -> DataFrame:
+    """node, comp (the least node reachable) of every one of ``distinct_texts`` that links with another."""
+    used = texts.where("doc_id is not null and n > 0")
+    # One exchange by key serves both the groups and their members (both read all its columns, so it is reused).
+    keys = used.select("node", "text").mapInArrow(keyed(rule), KEYS).repartition("key")
+    identity = [F.expr(f"bit_xor(xxhash64(node, {i}))").alias(f"x{i}") for i in range(2)]
+    groups = keys.groupBy("key").agg(F.count(F.lit(1)).alias("many"), F.min("node").alias("least"), F.max("node").alias("most"), F.max("n").alias("top"), *identity).where("least <> most and top > 0")
+    groups = groups.groupBy("many", "x0", "x1").agg(F.min("key").alias("key")).select("key", "many")
     members = support.table(keys.join(groups, "key").select("key", "node", "n", "many"), "members")
-    nodes = members.select(F.col("node").alias("doc_id")).distinct()
-    nodes = F.broadcast(nodes) if nodes.count() <= FEW else nodes
-    sets = support.table(docs.join(nodes, "doc_id", "left_semi").groupBy("doc_id").agg(F.min("text").alias("text")).select(F.col("doc_id").alias("node"), "text").mapInArrow(sets_of(rule), SETS), "sets")
-
-    # Some members of each group, the same ones in all groups of a family, are centres of stars.
-    n = F.col("n").cast("long")
-    lots = [F.min_by(F.struct("node", "n"), F.struct(F.xxhash64("node", F.lit(i)), "node")) for i in range(STARS)]
-    centres = members.groupBy("key").agg(F.array_distinct(F.array(*lots)).alias("centres"))
-    stars = members.join(centres, "key").select("node", n.alias("n"), F.explode("centres").alias("c"))
-    m = F.col("c.n").cast("long")
-    fits = (F.greatest(F.col("n"), m) * rule.num <= F.least(F.col("n"), m) * rule.den) & (F.col("node") != F.col("c.node"))
-    pairs = stars.where(fits).select(F.least("c.node", "node").alias("a"), F.greatest("c.node", "node").alias("b")).distinct()
-    links = support.cut(verify(pairs, sets, rule))
+    if not members.limit(1).count():
+        return texts.sparkSession.createDataFrame([], "node long, comp long")
+
+    # Of a large group one member, the same one in all groups of a family, is the centre of a star.
+    large = members.where(F.col("many") > SMALL)
+    centres = large.groupBy("key").agg(F.min_by(F.struct("node", "n"), F.xxhash64("node")).alias("c"))
+    m, n = F.col("c.n").cast("long"), F.col("n").cast("long")
+    fits = (F.greatest(n, m) * rule.num <= F.least(n, m) * rule.den) & (F.col("node") != F.col("c.node"))
+    stars = large.join(centres, "key").where(fits).select(F.least("c.node", "node").alias("a"), F.greatest("c.node", "node").alias("b")).distinct()
+    tiles = open_pairs(members.where(F.col("many") <= SMALL).withColumn("comp", F.col("node")), texts, rule, best=True)
+    links = verify(open_by_bitmap(stars, texts, rule).unionAll(tiles).distinct(), texts, rule)
     found = support.cut(components(links))
 
-    # Groups that still span components, tile by tile: first the likeliest pair of each member, which
-    # merges most of what can be merged; then all pairs that the bitmaps leave open.
+    # Groups that still span components: first the likeliest pair of each member, which merges most of
+    # what can be merged; then all pairs that the bitmaps leave open.
     for best in (True, False):
-        more = support.cut(verify(open_pairs(members, sets, found, rule, best), sets, rule))
+        now = members.where("many > 2").join(found, "node", "left").withColumn("comp", F.coalesce("comp", "node"))
+        spanning = now.groupBy("key").agg(F.min("comp").alias("low"), F.max("comp").alias("high")).where("low <> high").select("key")
+        more = verify(open_pairs(now.join(spanning, "key"), texts, rule, best), texts, rule)
         if more.limit(1).count():
             links = links.unionAll(more)
             found = support.cut(components(links))
+    support.remove(members)
     return found
 
 
-def open_pairs(members: DataFrame, sets: DataFrame, found: DataFrame, rule: Rule, best: bool) -> DataFrame:
+def open_pairs(members: DataFrame, texts: DataFrame, rule: Rule, best: bool) -> DataFrame:
     """Distinct pairs of different components that share a group and that the bitmaps leave open."""
-    now = with_components(members.where("many > 2"), found)
-    spanning = now.groupBy("key").agg(F.min("comp").alias("low"), F.max("comp").alias("high")).where("low <> high").select("key")
-    left = now.join(spanning, "key").select("key", "node", "n", "comp", F.ceil(F.col("many") / TILE).cast("int").alias("tiles"))
+    left = members.select("key", "node", "n", "comp", F.ceil(F.col("many") / TILE).cast("int").alias("tiles"))
     left = left.withColumn("tile", F.pmod(F.xxhash64("node"), F.col("tiles")).cast("int"))
     # In a tile against itself a row is there once; against another tile it has its side.
     spots = F.transform(F.sequence(F.lit(0), F.col("tiles") - 1), lambda t: F.struct(F.least("tile", t).alias("low"), F.greatest("tile", t).alias("high"), F.when(F.col("tile") == t, 2).when(F.col("tile") < t, 0).otherwise(1).alias("side")))
     dealt = support.table(left.withColumn("spot", F.explode(spots)).select("key", "spot.low", "spot.high", "spot.side", "node", "n", "comp"), "tiles")
     buckets = max(1, -(-dealt.count() // BUCKET))
     bucket = F.pmod(F.xxhash64("key", "low", "high"), F.lit(buckets)).alias("bucket")
-    return dealt.join(sets.select("node", "bitmap"), "node").groupBy(bucket).applyInArrow(tiles_compared(rule, best), "a long, b long").distinct()
-
+    pairs = support.cut(dealt.join(texts.select("node", "bitmap"), "node").groupBy(bucket).applyInArrow(tiles_compared(rule, best), "a long, b long").distinct())
+    support.remove(dealt)
+    return pairs
 
-def with_components(members: DataFrame, found: DataFrame | None) -> DataFrame:
-    if found is None:
-        return members.withColumn("comp", F.col("node"))
-    return members.join(found, "node", "left").withColumn("comp", F.coalesce("comp", "node"))
 
+def standardised(docs: DataFrame) -> DataFrame:
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
 
-def sizes(rule: Rule):
-    """A mapInArrow function: doc_id, digest, text -> the number of shingles in place of the text."""
 
-    def task(batches):
-        for batch in batches:
-            many = [len(shingles(t.as_py(), rule.width)) for t in batch.column(2)]
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(many, pa.int64())], ["doc_id", "digest", "n_shingles"])
-
-    return task
+def classes(texts: DataFrame, found: DataFrame) -> DataFrame:
+    """digest, n, doc_id and first (doc_id and digest of its component's least document) of each distinct text."""
+    known = texts.select("node", "digest", "doc_id", "n")
+    of_comp = found.join(known, "node").groupBy("comp").agg(F.min(F.struct("doc_id", "digest")).alias("first"))
+    placed = found.join(support.cut(of_comp), "comp").select("node", "first")
+    return known.join(placed, "node", "left").select("digest", "n", "doc_id", F.coalesce("first", F.struct("doc_id", "digest")).alias("first"))
 
 
 def join(docs: DataFrame, rule: Rule = Rule()) -> DataFrame:
     """doc_id, n_shingles and component_id of each row."""
     support.ready(docs.sparkSession)
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
-    found = linked(rows.where("doc_id is not null"), rule)
-    counted = rows.select("doc_id", F.unhex(F.md5("text")).alias("digest"), "text").mapInArrow(sizes(rule), "doc_id long, digest binary, n_shingles long")
-    classes = rows.where("doc_id is not null").select("doc_id", F.unhex(F.md5("text")).alias("digest"), (F.length(F.regexp_replace("text", r"[\x20\x09-\x0D]+", "")) == 0).alias("bare"))
+    rows = standardised(docs)
+    texts = distinct_texts(rows, rule)
+    known = classes(texts, linked(texts, rule)).select("digest", F.col("n").cast("long").alias("n_shingles"), F.col("first.doc_id").alias("least"))
+    placed = rows.select("doc_id", digest_of("text").alias("digest")).join(known, "digest", "left")
     # Texts without words are equal but link with nothing.
-    copies = classes.where("not bare").groupBy("digest").agg(F.min("doc_id").alias("node"), F.max("doc_id").alias("other")).where("node <> other").select("digest", "node")
-    placed = counted.join(copies, "digest", "left").withColumn("node", F.coalesce("node", "doc_id"))
-    return placed.join(found, "node", "left").select("doc_id", "n_shingles", F.when(F.col("doc_id").isNotNull(), F.coalesce("comp", "node")).alias("component_id"))
+    own = F.when(F.col("n_shingles") > 0, F.col("least")).otherwise(F.col("doc_id"))
+    return placed.select("doc_id", "n_shingles", F.when(F.col("doc_id").isNotNull(), own).alias("component_id"))
 
 
 def later_members(rows: DataFrame, rule: Rule) -> DataFrame:
-    """doc_id of every document that is not the least of its group; rows has doc_id (not null) and text."""
-    found = linked(rows, rule)
-    classes = rows.select("doc_id", F.unhex(F.md5("text")).alias("digest")).where(F.length(F.regexp_replace("text", r"[\x20\x09-\x0D]+", "")) > 0)
-    # Copies beyond the first of each text, and nodes whose component begins with another one.
-    copies = classes.groupBy("digest").agg(F.min("doc_id").alias("node"), F.max("doc_id").alias("other")).where("node <> other").select("digest", "node")
-    copied = classes.join(copies, "digest").where("doc_id <> node").select("doc_id")
-    merged = found.where("node <> comp").select(F.col("node").alias("doc_id"))
-    return support.cut(copied.unionAll(merged).distinct())
+    """doc_id, digest of the documents that are not the first of their component; rows has doc_id and text as ``standardised``."""
+    texts = distinct_texts(rows.where("doc_id is not null"), rule)
+    known = classes(texts, linked(texts, rule)).where("n > 0").select("digest", F.col("first.doc_id").alias("least"), F.col("first.digest").alias("least_digest"))
+    placed = rows.where("doc_id is not null").select("doc_id", digest_of("text").alias("digest")).join(known, "digest")
+    gone = support.cut(placed.where("doc_id <> least or digest <> least_digest").select("doc_id", "digest").distinct())
+    support.remove(texts)
+    return gone

@@ -7,6 +7,8 @@ from pyspark.sql import functions as F
 
 from . import packing, quality, secrets, setjoin, support
 
+ID, DIGEST = "__stage_id", "__stage_digest"  # columns of our own beside those of any table
+
 
 def keep_good(docs: DataFrame, labels: DataFrame, threshold: float = 0.7) -> DataFrame:
     """The documents whose quality score reaches the threshold."""
@@ -15,16 +17,24 @@ def keep_good(docs: DataFrame, labels: DataFrame, threshold: float = 0.7) -> Dat
 
 
 def keep_one_of_each(docs: DataFrame, rule: setjoin.Rule = setjoin.Rule(width=5, num=80, den=100)) -> DataFrame:
-    """One document of each group of near copies: the one of the least id.
+    """One document of each group of near copies: the one of the least id, of equal ids that of the least digest.
 
-    Of rows that repeat a doc_id all of the component's least id stay; documents without words
-    or id have no group and stay.
+    A document is a row: rows that repeat a doc_id with other texts have groups of their own, and of rows that repeat
+    both id and text one stays.  Documents without words, text or id have no group and stay, repeated or not; a table
+    without rows gives no rows; all columns are returned as they came, of any name.
     """
     support.ready(docs.sparkSession)
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text")).where("doc_id is not null")
-    gone = setjoin.later_members(rows, rule)
-    gone = F.broadcast(gone) if gone.count() <= setjoin.FEW else gone
-    return docs.join(gone, "doc_id", "left_anti").select(docs.columns)
+    columns = support.same_columns(docs)
+    marked = docs.select(*columns, F.col("doc_id").cast("long").alias(ID), setjoin.digest_of(F.coalesce(F.col("text").cast("string"), F.lit(""))).alias(DIGEST))
+    rows = setjoin.standardised(docs)
+    gone = setjoin.later_members(rows, rule).select(F.col("doc_id").alias(ID), F.col("digest").alias(DIGEST))
+    kept = marked.join(setjoin.few(gone), [ID, DIGEST], "left_anti")
+    worded = rows.where("doc_id is not null").where(F.length(F.regexp_replace("text", r"[\x20\x09-\x0D]+", "")) > 0)
+    twice = support.cut(worded.select(F.col("doc_id").alias(ID), setjoin.digest_of("text").alias(DIGEST)).groupBy(ID, DIGEST).count().where("count > 1").select(ID, DIGEST))
+    if twice.limit(1).count():
+        twice = setjoin.few(twice)
+        kept = kept.join(twice, [ID, DIGEST], "left_anti").unionByName(kept.join(twice, [ID, DIGEST], "left_semi").dropDuplicates([ID, DIGEST]))
+    return kept.select(*columns)
 
 
 def redacted(docs: DataFrame) -> DataFrame:

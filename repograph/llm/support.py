@@ -7,6 +7,7 @@ import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 ROOT = os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
 
@@ -21,10 +22,12 @@ def ready(spark: SparkSession) -> SparkSession:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share: ``spark.checkpoint.dir``, or one of our own where that is unset."""
+    """The folder all executors share: ``spark.checkpoint.dir``, or in local mode one of our own where that is unset."""
     context = spark.sparkContext
     told = context.getConf().get("spark.checkpoint.dir") or context.getCheckpointDir()
     if not told:
+        if not context.master.startswith("local") or context.master.startswith("local-cluster"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         told = tempfile.mkdtemp(prefix="repograph-")
     if not context.getCheckpointDir():
         context.setCheckpointDir(told)
@@ -42,7 +45,21 @@ def table(df: DataFrame, label: str) -> DataFrame:
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/repograph-{label}-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out.written_to = path
+    return out
+
+
+def remove(*tables: DataFrame) -> None:
+    """Delete what ``table`` wrote, once nothing that is still to run reads it."""
+    for df in tables:
+        path = df.sparkSession._jvm.org.apache.hadoop.fs.Path(df.written_to)
+        path.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(path, True)
+
+
+def same_columns(df: DataFrame) -> list:
+    """The columns of a frame as they are, whatever their names hold."""
+    return [F.col(f"`{c.replace('`', '``')}`") for c in df.columns]
 
 
 def load(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

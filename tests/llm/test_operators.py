@@ -203,7 +203,7 @@ def test_join_equals_brute_force(spark):
 def test_join_by_tiles_alone(spark, monkeypatch):
     """With one star a group and tiny tiles, the tiles find every other link."""
     monkeypatch.setattr(setjoin, "TILE", 4)
-    monkeypatch.setattr(setjoin, "STARS", 1)
+    monkeypatch.setattr(setjoin, "SMALL", 1)
     texts = near_texts(2, 90)
     got = sorted(map(tuple, setjoin.join(docs(spark, texts), setjoin.Rule(3, 80, 100)).collect()))
     assert got == plain_components(texts, 3, 80, 100)
@@ -215,6 +215,22 @@ def test_join_null_ids_and_empty(spark):
     assert setjoin.join(docs(spark, [])).count() == 0
 
 
+def test_join_rows_of_one_id_link_each_by_its_own_text(spark):
+    """Two texts under one id: each row has the links of its text."""
+    one, two = " ".join(f"a{i}" for i in range(40)), " ".join(f"b{i}" for i in range(40))
+    got = setjoin.join(docs(spark, [one, two, two + " end", one + " end", one], ids=[5, 5, 8, 9, 3])).collect()
+    assert sorted((r.doc_id, r.component_id) for r in got) == [(3, 3), (5, 3), (5, 5), (8, 5), (9, 3)]
+
+
+def test_bitmaps_bound_the_overlap():
+    rng = np.random.default_rng(5)
+    for n, m in ((1, 1), (30, 40), (300, 2000), (2000, 2100)):
+        a = np.unique(rng.integers(0, 1 << 63, n, dtype=np.uint64))
+        for shared in (0, n // 2, n):
+            b = np.unique(np.r_[a[:shared], rng.integers(0, 1 << 63, m - shared if m > shared else 0, dtype=np.uint64)])
+            assert setjoin.overlap_bound(setjoin.bitmap(a), setjoin.bitmap(b), len(a) + len(b)) >= setjoin.overlap(a, b)
+
+
 def test_parts_meet_for_every_allowed_difference():
     rng = np.random.default_rng(1)
     for rule in (setjoin.Rule(3, 90, 100), setjoin.Rule(5, 80, 100)):

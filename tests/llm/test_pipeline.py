@@ -18,6 +18,16 @@ def test_stages_keep_and_drop(spark):
     assert len(clean) == len(texts) and all(clean[i] == t for i, t in enumerate(texts[:-1])) and "deadbeef" not in clean[len(texts) - 1]
 
 
+def test_one_of_each_decides_by_row(spark):
+    """A unique text keeps its row though its id has a copy elsewhere; of identical rows one stays; nulls and bare texts stay."""
+    x, y = " ".join(f"x{i}" for i in range(9)), " ".join(f"y{i}" for i in range(9))
+    rows = [(3, y), (5, x), (5, y), (7, "z z z"), (7, "z z z"), (None, y), (None, y), (8, ""), (8, ""), (9, None)]
+    df = spark.createDataFrame([(i, t, 1, "d", 0.5) for i, t in rows], "doc_id long, text string, n int, digest string, `odd.name` double")
+    kept = stages.keep_one_of_each(df)
+    assert sorted(map(str, ((r.doc_id, r.text) for r in kept.collect()))) == sorted(map(str, [(3, y), (5, x), (7, "z z z"), (None, y), (None, y), (8, ""), (8, ""), (9, None)]))
+    assert kept.columns == df.columns and stages.keep_one_of_each(df.limit(0)).count() == 0
+
+
 def test_quality_stage(spark):
     rng = random.Random(1)
     words = ["the", "house", "runs", "green", "over"]
