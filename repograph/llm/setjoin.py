@@ -48,9 +48,9 @@ RATIO, TILE, SMALL, LARGEST_BITMAP = 1.5, 1024, 64, 1 << 16
 FEW = 200_000  # rows of two or three longs that may be broadcast
 BUCKET = 4096  # rows of tiles that are compared in one call
 CELLS = 1 << 18  # words of bitmaps that are compared at once
-KEYS = "key long, node long, n int"
+HEAP = 64  # rows of one key from which on a task sends them as one
+KEYS = "key long, node long, n int, heap int"
 TEXTS = "doc_id long, digest binary, n int, bitmap binary, text string"
-SETS = "node long, shingles binary"
 
 
 @dataclass(frozen=True)
@@ -192,16 +192,18 @@ def measured(rule: Rule):
     return task
 
 
-def keyed(rule: Rule):
-    """A mapInArrow function: node, text -> a row for each key."""
+def keyed(rule: Rule, heap: int):
+    """A mapInArrow function: node, text -> a row for each key: key, node, n, heap (1).
+
+    Where a task holds more than ``heap`` rows of one key, the first stands for them with their number in its ``heap``,
+    and the others are followers, with 0.
+    """
 
     def task(batches):
         for batch in batches:
             rows, held = [], 0
             for node, text in zip(batch.column(0).to_pylist(), batch.column(1)):
                 found = shingles(text.as_py(), rule.width)
-                if not len(found):
-                    continue
                 keys = part_keys(found, rule)
                 rows.append((keys, node, len(found)))
                 held += len(keys)
@@ -213,28 +215,11 @@ def keyed(rule: Rule):
 
     def key_batch(rows):
         many = [len(r[0]) for r in rows]
-        return pa.RecordBatch.from_arrays([pa.array(np.concatenate([r[0] for r in rows])), pa.array(np.repeat(np.array([r[1] for r in rows], np.int64), many)), pa.array(np.repeat(np.array([r[2] for r in rows], np.int32), many))], ["key", "node", "n"])
-
-    return task
-
-
-def sets_of(rule: Rule):
-    """A mapInArrow function: node, text -> sorted shingles."""
-
-    def task(batches):
-        for batch in batches:
-            rows, held = [], 0
-            for node, text in zip(batch.column(0).to_pylist(), batch.column(1)):
-                rows.append((node, shingles(text.as_py(), rule.width).tobytes()))
-                held += len(rows[-1][1])
-                if held > 8 << 20:
-                    yield set_batch(rows)
-                    rows, held = [], 0
-            if rows:
-                yield set_batch(rows)
-
-    def set_batch(rows):
-        return pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int64()), pa.array([r[1] for r in rows], pa.binary())], ["node", "shingles"])
+        keys, node, n = np.concatenate([r[0] for r in rows]), np.repeat(np.array([r[1] for r in rows], np.int64), many), np.repeat(np.array([r[2] for r in rows], np.int32), many)
+        _, first, which, count = np.unique(keys, return_index=True, return_inverse=True, return_counts=True)
+        stands = np.where((count > heap)[which], 0, 1).astype(np.int32)
+        stands[first[count > heap]] = count[count > heap]
+        return pa.RecordBatch.from_arrays([pa.array(keys), pa.array(node), pa.array(n), pa.array(stands)], ["key", "node", "n", "heap"])
 
     return task
 
@@ -283,13 +268,16 @@ def left_open(rule: Rule):
 
 
 def checked(rule: Rule):
-    """A mapInArrow function over pairs with both sets: the pairs that link."""
+    """A mapInArrow function over pairs with both texts, those of one a together: the pairs that link."""
 
     def task(batches):
+        last, one = None, None
         for batch in batches:
             left, right = [], []
-            for a, b, one, other in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2), batch.column(3)):
-                one, other = (np.frombuffer(x.as_buffer(), np.uint64) for x in (one, other))
+            for a, b, text_a, text_b in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2), batch.column(3)):
+                if a != last:
+                    last, one = a, shingles(text_a.as_py(), rule.width)
+                other = shingles(text_b.as_py(), rule.width)
                 if overlap(one, other) >= rule.least_overlap(len(one) + len(other)):
                     left.append(a)
                     right.append(b)
@@ -315,14 +303,12 @@ def open_by_bitmap(pairs: DataFrame, texts: DataFrame, rule: Rule) -> DataFrame:
 
 
 def verify(pairs: DataFrame, texts: DataFrame, rule: Rule) -> DataFrame:
-    """Of distinct pairs a, b those that link.  Each pair takes one set along to the other one's."""
+    """Of distinct pairs a, b those that link.  Each pair takes one text along to the other one's."""
     pairs = support.cut(pairs)
-    nodes = few(support.cut(pairs.select(F.col("a").alias("node")).unionAll(pairs.select("b")).distinct()))
-    sets = support.table(texts.select("node", "text").join(nodes, "node", "left_semi").mapInArrow(sets_of(rule), SETS), "sets")
-    carried = few(pairs).join(as_side(sets, "b", "shingles"), "b")
-    links = support.cut(carried.join(as_side(sets, "a", "shingles"), "a").select("a", "b", "shingles_a", "shingles_b").mapInArrow(checked(rule), "a long, b long"))
-    support.remove(sets)
-    return links
+    firsts = few(support.cut(pairs.select(F.col("a").alias("node")).distinct()))
+    carried = few(pairs).join(as_side(texts, "b", "text"), "b")
+    both = carried.join(as_side(texts.join(firsts, "node", "left_semi"), "a", "text"), "a")
+    return support.cut(both.select("a", "b", "text_a", "text_b").mapInArrow(checked(rule), "a long, b long"))
 
 
 def tile_pairs(rule: Rule, best: bool, node, n, comp, side, maps) -> np.ndarray:
@@ -380,8 +366,8 @@ def components(links: DataFrame, most_rounds: int = 60) -> DataFrame:
         # The least neighbours are cut off, so a node with very many neighbours is split in the joins with them.
         ways = edges.unionAll(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = support.cut(ways.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m")))
-        large = support.cut(ways.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct())
-        low = support.cut(large.groupBy("u").agg(F.min("v").alias("m")))
+        large = ways.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
+        low = large.groupBy("u").agg(F.min("v").alias("m"))
         edges = support.cut(large.join(low, "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v")).unionAll(low.select("u", F.col("m").alias("v"))).distinct())
         before, mark = mark, tuple(edges.agg(F.count(F.lit(1)), F.sum(F.hash("u", "v").cast("long"))).first())
         if mark == before:
@@ -407,18 +393,29 @@ def digest_of(column: str):
 def linked(texts: DataFrame, rule: Rule) -> DataFrame:
     """node, comp (the least node reachable) of every one of ``distinct_texts`` that links with another."""
     used = texts.where("doc_id is not null and n > 0")
-    # One exchange by key serves both the groups and their members (both read all its columns, so it is reused).
-    keys = used.select("node", "text").mapInArrow(keyed(rule), KEYS).repartition("key")
+    # Followers of a heap are dealt by key and node, all others by key: a key that a large share of all documents
+    # have comes to its task as a few rows of each other task.  One exchange serves both the groups and their
+    # members (both read all its columns and filter nothing before it, so it is reused).
+    spread = F.col("key").bitwiseXOR(F.xxhash64("node"))
+    keys = used.select("node", "text").mapInArrow(keyed(rule, HEAP), KEYS).select(F.when(F.col("heap") == 0, spread).otherwise(F.col("key")).alias("deal"), "node", "n", "heap").repartition("deal")
     identity = [F.expr(f"bit_xor(xxhash64(node, {i}))").alias(f"x{i}") for i in range(2)]
-    groups = keys.groupBy("key").agg(F.count(F.lit(1)).alias("many"), F.min("node").alias("least"), F.max("node").alias("most"), F.max("n").alias("top"), *identity).where("least <> most and top > 0")
-    groups = groups.groupBy("many", "x0", "x1").agg(F.min("key").alias("key")).select("key", "many")
-    members = support.table(keys.join(groups, "key").select("key", "node", "n", "many"), "members")
+    groups = keys.groupBy("deal").agg(F.sum("heap").alias("many"), F.max("heap").alias("heap"), F.min("node").alias("least"), F.max("node").alias("most"), F.max("n").alias("top"), *identity).where("(least <> most or heap > 1) and top > 0")
+    # Of groups with the same members one is enough; a group with a heap is not known by its members here and stays.
+    groups = groups.groupBy("many", F.when(F.col("heap") > 1, F.col("deal")).otherwise(F.col("x0")).alias("x0"), "x1").agg(F.min("deal").alias("deal")).select("deal", "many")
+    held = keys.join(groups, "deal", "left").where("many is not null or heap = 0")
+    unspread = F.col("deal").bitwiseXOR(F.xxhash64("node"))
+    held = held.select(F.when(F.col("heap") == 0, unspread).otherwise(F.col("deal")).alias("key"), "node", "n", "heap", "many")
+    members = written = support.table(held.repartition("node"), "members")
+    heaps = support.cut(written.where("heap > 1").groupBy("key").agg(F.max("many").alias("many")))
+    if heaps.limit(1).count():
+        members = written.where("heap > 0").unionByName(written.where("heap = 0").drop("many").join(few(heaps), "key"))
+    members = members.select("key", "node", "n", "many")
     if not members.limit(1).count():
         return texts.sparkSession.createDataFrame([], "node long, comp long")
 
     # Of a large group one member, the same one in all groups of a family, is the centre of a star.
     large = members.where(F.col("many") > SMALL)
-    centres = large.groupBy("key").agg(F.min_by(F.struct("node", "n"), F.xxhash64("node")).alias("c"))
+    centres = support.cut(large.groupBy("key").agg(F.min_by(F.struct("node", "n"), F.xxhash64("node")).alias("c")))
     m, n = F.col("c.n").cast("long"), F.col("n").cast("long")
     fits = (F.greatest(n, m) * rule.num <= F.least(n, m) * rule.den) & (F.col("node") != F.col("c.node"))
     stars = large.join(centres, "key").where(fits).select(F.least("c.node", "node").alias("a"), F.greatest("c.node", "node").alias("b")).distinct()
@@ -430,12 +427,15 @@ def linked(texts: DataFrame, rule: Rule) -> DataFrame:
     # what can be merged; then all pairs that the bitmaps leave open.
     for best in (True, False):
         now = members.where("many > 2").join(found, "node", "left").withColumn("comp", F.coalesce("comp", "node"))
-        spanning = now.groupBy("key").agg(F.min("comp").alias("low"), F.max("comp").alias("high")).where("low <> high").select("key")
-        more = verify(open_pairs(now.join(spanning, "key"), texts, rule, best), texts, rule)
+        spanning = support.cut(now.groupBy("key").agg(F.min("comp").alias("low"), F.max("comp").alias("high")).where("low <> high").select("key"))
+        pairs = open_pairs(now.join(few(spanning), "key"), texts, rule, best)
+        if not pairs.limit(1).count():
+            break  # no pair is open, so none is for the next round
+        more = verify(pairs, texts, rule)
         if more.limit(1).count():
             links = links.unionAll(more)
             found = support.cut(components(links))
-    support.remove(members)
+    support.remove(written)
     return found
 
 
@@ -482,6 +482,7 @@ def later_members(rows: DataFrame, rule: Rule) -> DataFrame:
     texts = distinct_texts(rows.where("doc_id is not null"), rule)
     known = classes(texts, linked(texts, rule)).where("n > 0").select("digest", F.col("first.doc_id").alias("least"), F.col("first.digest").alias("least_digest"))
     placed = rows.where("doc_id is not null").select("doc_id", digest_of("text").alias("digest")).join(known, "digest")
-    gone = support.cut(placed.where("doc_id <> least or digest <> least_digest").select("doc_id", "digest").distinct())
+    # Not made distinct here: that would keep a digest of very many rows from being split in the join above.
+    gone = support.cut(placed.where("doc_id <> least or digest <> least_digest").select("doc_id", "digest"))
     support.remove(texts)
     return gone

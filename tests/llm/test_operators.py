@@ -201,9 +201,10 @@ def test_join_equals_brute_force(spark):
 
 
 def test_join_by_tiles_alone(spark, monkeypatch):
-    """With one star a group and tiny tiles, the tiles find every other link."""
+    """With heaps and stars from two rows on and tiny tiles, the tiles find every other link."""
     monkeypatch.setattr(setjoin, "TILE", 4)
     monkeypatch.setattr(setjoin, "SMALL", 1)
+    monkeypatch.setattr(setjoin, "HEAP", 1)
     texts = near_texts(2, 90)
     got = sorted(map(tuple, setjoin.join(docs(spark, texts), setjoin.Rule(3, 80, 100)).collect()))
     assert got == plain_components(texts, 3, 80, 100)
