@@ -1,34 +1,46 @@
 """Token counts: pieces counted once per distinct pre-token, joined to the documents' pre-tokens and summed.
 
-The pre-tokens of a byte-level BPE are cut on the JVM by the tokenizer's own pattern.  Their
-global counts give the distinct pre-tokens, each of which is tokenised once.  The documents'
-pre-tokens then meet those piece counts in two joins: the ``head`` most frequent short
-pre-tokens (a fixed number of at most ``HEAD_CHARS`` characters each, so what is broadcast has a
-bound of a few MB at any scale) by a hash join inside the scan, and all others by a shuffle
-on the pre-token.  No ids are made for documents, and no text is shuffled.
-
-Documents with characters that this JVM's tables do not know are cut by the library itself.
-
-Defined results: a null text is empty and has 0 tokens; the rows of a repeated document each
-get their count; a null doc_id stays null; special strings inside a text count as the library
-counts them by default (one token each); a table without rows gives no rows; other columns are
-ignored.
+The pre-tokens of a byte-level BPE are cut by the tokenizer's own pattern, once for each text.  Documents are cut in
+batches of bounded size; a batch keeps the list of its distinct pre-tokens, and for each document the numbers of
+its pre-tokens in that list with their frequencies.  Then
+
+1. the batches' pre-tokens are dealt and sorted by pre-token, so all rows of one lie together: its pieces are
+   counted once and go back to (batch, number).  A pre-token of all documents is a row for each batch, not for each document;
+2. each batch's documents meet the piece counts of its list, and frequency times pieces is summed.
+
+No ids are made for documents, no text is shuffled, and what a task holds is bounded by the size of a batch.
+
+The pattern's classes are those of this Python's Unicode tables; a text with a character that is unassigned there is
+cut by the library, and goes on as the others do.
+
+Defined results: a null text is empty and has 0 tokens; each row has its own count, also where rows repeat or share
+a doc_id; a null doc_id stays null; special strings inside a text count as the library counts them by
+default (one token each); a text longer than a batch is a batch of its own; a table without rows gives no
+rows; other columns are ignored.
 """
 
 from __future__ import annotations
 
+import functools
 import json
+import re
+import sys
+import unicodedata
+from collections import Counter
 
+import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import support
+from .bytelevel import PATTERN
 
-# The pattern of this family of tokenizers; (?U) gives \s its Unicode sense.
-PATTERN = r"(?U)'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
-UNKNOWN = r"\p{Cn}"
-HEAD_CHARS = 24
+BATCH = 8 << 20  # characters of text in a batch
+CUT = "batch long, doc_id long, n_bytes long, specials long, which binary, often binary, words array<string>"
+PIECES = "batch long, at int, pieces int"
+COUNTS = "doc_id long, n_bytes long, n_tokens long"
 
 
 def special_strings(path: str) -> list[str]:
@@ -43,69 +55,113 @@ def special_strings(path: str) -> list[str]:
     return sorted((t["content"] for t in plain), key=len, reverse=True)
 
 
-def escaped(text: str) -> str:
-    return "".join("\\" + c if not c.isalnum() else c for c in text)
+@functools.lru_cache(1)
+def unassigned() -> re.Pattern:
+    """Matches a character that this Python's Unicode tables do not know."""
+    ranges, last = [], None
+    for c in range(sys.maxunicode + 1):
+        if unicodedata.category(chr(c)) == "Cn":
+            if last is not None and ranges[-1][1] == c - 1:
+                ranges[-1][1] = c
+            else:
+                ranges.append([c, c])
+            last = c
+    return re.compile("[" + "".join(f"\\U{a:08x}-\\U{b:08x}" for a, b in ranges) + "]")
 
 
-def pieces_of(path: str):
-    """A mapInArrow function: pre-token -> pre-token, number of pieces."""
+def cutter(path: str):
+    """A function from a text to its pre-tokens and the number of its special strings."""
+    import regex
 
-    def task(batches):
+    pattern, odd = regex.compile(PATTERN), unassigned()
+    specials = special_strings(path)
+    splitter = re.compile("|".join(map(re.escape, specials))) if specials else None
+
+    @functools.lru_cache(1)
+    def library():
         from tokenizers import Tokenizer
 
-        tokenizer = Tokenizer.from_file(path)
-        tokenizer.encode_special_tokens = True
+        return Tokenizer.from_file(path).pre_tokenizer
+
+    def plain(text: str) -> list[str]:
+        if not text.isascii() and odd.search(text):
+            return [text[a:b] for _, (a, b) in library().pre_tokenize_str(text)]
+        return pattern.findall(text)
+
+    def cut(text: str) -> tuple[list[str], int]:
+        parts = splitter.split(text) if splitter and splitter.search(text) else [text]
+        return [w for part in parts for w in plain(part)] if len(parts) > 1 else plain(text), len(parts) - 1
+
+    return cut
+
+
+def cut_batches(path: str, size: int):
+    """A mapInArrow function: doc_id, text -> a row for each document, and one with the distinct pre-tokens of each batch."""
+
+    def task(batches):
+        cut = cutter(path)
+        first = TaskContext.get().partitionId() << 32
+        number, rows, words, held = 0, [], {}, 0
+
+        def flushed():
+            batch = first + number
+            kinds = [pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.binary(), pa.binary(), pa.list_(pa.string())]
+            rows.append((None, None, None, None, None, list(words)))
+            columns = [[batch] * len(rows), *zip(*rows)]
+            return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds)], [c.split()[0] for c in CUT.split(", ")])
+
         for batch in batches:
-            words = batch.column(0)
-            encoded = tokenizer.encode_batch_fast(words.to_pylist(), add_special_tokens=False)
-            yield pa.RecordBatch.from_arrays([words, batch.column(1), pa.array([len(e) for e in encoded], pa.int64())], ["word", "freq", "pieces"])
+            for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1)):
+                text = text.as_py()
+                found, specials = cut(text)
+                often = Counter(found)
+                which = np.fromiter((words.setdefault(w, len(words)) for w in often), np.uint32, len(often))
+                rows.append((doc_id, len(text.encode()), specials, which.tobytes(), np.fromiter(often.values(), np.uint32, len(often)).tobytes(), None))
+                held += len(text)
+                if held >= size:
+                    yield flushed()
+                    number, rows, words, held = number + 1, [], {}, 0
+        if rows:
+            yield flushed()
 
     return task
 
 
-def cut_by_library(path: str):
-    """A mapInArrow function for texts that the JVM cannot cut: key, text -> key, n_tokens."""
+def pieces_of(path: str):
+    """A mapInArrow function over rows that are sorted by word: batch, at, word -> batch, at, pieces; each word is tokenised once."""
 
     def task(batches):
         from tokenizers import Tokenizer
 
         tokenizer = Tokenizer.from_file(path)
+        tokenizer.encode_special_tokens = True
+        last, pieces = None, 0
         for batch in batches:
-            encoded = tokenizer.encode_batch_fast(batch.column(3).to_pylist(), add_special_tokens=False)
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), batch.column(2), pa.array([len(e) for e in encoded], pa.int64())], ["doc_id", "digest", "n_bytes", "n_tokens"])
+            runs = pa.RecordBatch.from_arrays([batch.column(2)], ["word"]).column(0).dictionary_encode()
+            counts = np.array([pieces if w == last else len(tokenizer.encode(w, add_special_tokens=False)) for w in runs.dictionary.to_pylist()], np.int32)
+            if batch.num_rows:
+                last, pieces = batch.column(2)[-1].as_py(), int(counts[runs.indices[-1].as_py()])
+                yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(counts[runs.indices.to_numpy()])], ["batch", "at", "pieces"])
 
     return task
 
 
-def count(docs: DataFrame, tokenizer_path: str, limit: int = 1024, head: int = 262_144) -> DataFrame:
+def summed(docs: pa.Table, pieces: pa.Table) -> pa.Table:
+    """The documents of a batch, with the pieces of its words: a row for each document."""
+    by_word = np.zeros(pieces.num_rows, np.int64)
+    by_word[pieces["at"].to_numpy()] = pieces["pieces"].to_numpy()
+    tokens = [specials + int(by_word[np.frombuffer(which, np.uint32)] @ np.frombuffer(often, np.uint32).astype(np.int64)) for specials, which, often in zip(*(docs[c].to_pylist() for c in ("specials", "which", "often")))]
+    return pa.table({"doc_id": docs["doc_id"], "n_bytes": docs["n_bytes"], "n_tokens": pa.array(tokens, pa.int64())})
+
+
+def count(docs: DataFrame, tokenizer_path: str, limit: int = 1024, batch: int = BATCH) -> DataFrame:
     """doc_id, n_bytes, n_tokens and over_limit (more than ``limit`` tokens) for each row."""
     support.ready(docs.sparkSession)
-    specials = special_strings(tokenizer_path)
-    splitter = "|".join(escaped(s) for s in specials) if specials else "(?!)"
-    # A row is told from others of its doc_id by the md5 of its text: rows of one key have one text.
-    key = ["doc_id", "digest"]
-    keyed = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text")).withColumn("digest", F.unhex(F.md5("text"))).withColumn("n_bytes", F.octet_length("text").cast("long"))
-    odd = F.col("text").rlike(UNKNOWN)
-    pieces = F.split("text", splitter, -1)
-    cut = F.flatten(F.transform(pieces, lambda s: F.regexp_extract_all(s, F.lit(PATTERN), F.lit(0))))
-    known = keyed.where(~odd)
-    words = known.select(*key, F.explode(cut).alias("word"))
-
-    # Distinct pre-tokens with their frequency, each tokenised once.
-    pieces_by_word = support.table(words.groupBy("word").agg(F.count(F.lit(1)).alias("freq")).mapInArrow(pieces_of(tokenizer_path), "word string, freq long, pieces long"), "pieces")
-    top = support.cut(pieces_by_word.where(F.length("word") <= HEAD_CHARS).orderBy(F.desc("freq"), "word").limit(head).select("word", "pieces"))
-
-    # Frequencies by document: frequent pre-tokens are summed where they lie, in the row without a word.
-    met = words.join(F.broadcast(top), "word", "left").withColumn("rare", F.when(F.col("pieces").isNull(), F.col("word")))
-    by_doc = support.table(met.groupBy(*key, "rare").agg(F.sum(F.coalesce("pieces", F.lit(0))).alias("n_tokens"), F.count(F.lit(1)).alias("freq")), "frequencies")
-    by_rare = by_doc.where("rare is not null").join(pieces_by_word.select(F.col("word").alias("rare"), "pieces"), "rare").groupBy(*key).agg(F.sum(F.col("freq") * F.col("pieces")).alias("n_tokens"))
-    nothing = F.lit(None).cast("long").alias("n_bytes")
-    bare = known.select(*key, "n_bytes", (F.size(pieces) - 1).cast("long").alias("n_tokens"))
-    library = keyed.where(odd).select(*key, "n_bytes", "text").mapInArrow(cut_by_library(tokenizer_path), "doc_id long, digest binary, n_bytes long, n_tokens long")
-    parts = bare.unionAll(library).withColumn("rows", F.lit(1))
-    for counted in (by_doc.where("rare is null"), by_rare):
-        parts = parts.unionAll(counted.select(*key, nothing, "n_tokens", F.lit(0)))
-    # Rows that repeat a document have been summed together: share the sum out and give each its row.
-    summed = parts.groupBy(*key).agg(F.max("n_bytes").alias("n_bytes"), F.sum("n_tokens").alias("n"), F.sum("rows").alias("rows"))
-    each = summed.select("doc_id", "n_bytes", F.expr("n div rows").alias("n_tokens"), F.explode(F.sequence(F.lit(1), F.col("rows").cast("int"))).alias("copy"))
-    return each.select("doc_id", "n_bytes", "n_tokens", (F.col("n_tokens") > limit).alias("over_limit"))
+    special_strings(tokenizer_path)
+    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
+    cut = support.table(texts.mapInArrow(cut_batches(tokenizer_path, batch), CUT), "cut")
+    words = cut.where("words is not null").select("batch", F.posexplode("words").alias("at", "word"))
+    pieces = words.repartition("word").sortWithinPartitions("word").mapInArrow(pieces_of(tokenizer_path), PIECES)
+    frequencies = cut.where("words is null").select("batch", "doc_id", "n_bytes", "specials", "which", "often")
+    counted = frequencies.groupBy("batch").cogroup(pieces.groupBy("batch")).applyInArrow(summed, COUNTS)
+    return counted.select("doc_id", "n_bytes", "n_tokens", (F.col("n_tokens") > limit).alias("over_limit"))

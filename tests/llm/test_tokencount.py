@@ -12,7 +12,7 @@ PATH = public_tokenizers.path("byte_bpe_50k.json")
 
 def counted(spark, rows):
     df = spark.createDataFrame(rows, "doc_id long, text string, word string")
-    return sorted((r.doc_id, r.n_bytes, r.n_tokens, r.over_limit) for r in tokencount.count(df, PATH, head=40).collect())
+    return sorted((r.doc_id, r.n_bytes, r.n_tokens, r.over_limit) for r in tokencount.count(df, PATH, batch=60).collect())
 
 
 def test_counts_equal_the_library(spark):
@@ -44,6 +44,19 @@ def test_texts_whose_32_bit_hashes_are_equal_keep_their_own_counts(spark):
     library = Tokenizer.from_file(PATH)
     want = sorted((len(t), len(library.encode(t, add_special_tokens=False).ids)) for t in texts)
     got = spark.createDataFrame([(k, t) for k in (None, 7) for t in texts], "doc_id long, text string")
-    rows = tokencount.count(got, PATH, head=40).collect()
+    rows = tokencount.count(got, PATH, batch=60).collect()
     for k in (None, 7):
         assert sorted((r.n_bytes, r.n_tokens) for r in rows if r.doc_id == k) == want
+
+
+def test_every_character_is_cut_as_the_library_does(spark):
+    library = Tokenizer.from_file(PATH)
+    texts = ["".join(f"a{chr(c)}1{chr(c)}! {chr(c)}" for c in range(start, min(start + 512, 0x110000)) if not 0xD800 <= c < 0xE000) for start in [*range(0, 0x20000, 512), 0x32200, 0x3D000, 0xE0000, 0x10FE00]]
+    want = [(i, len(t.encode()), n, n > 1024) for i, t in enumerate(texts) for n in [len(library.encode(t, add_special_tokens=False).ids)]]
+    assert counted(spark, [(i, t, "") for i, t in enumerate(texts)]) == want
+
+
+def test_a_very_long_text(spark):
+    library = Tokenizer.from_file(PATH)
+    text = "".join(f"word{i % 9973} and\n" for i in range(400_000)) + "z" * 200_000
+    assert counted(spark, [(1, text, ""), (2, "short", "")]) == [(1, len(text), len(library.encode(text, add_special_tokens=False).ids), True), (2, 5, 1, False)]
