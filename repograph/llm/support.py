@@ -44,7 +44,7 @@ def table(df: DataFrame, label: str) -> DataFrame:
     """Write ``df`` once as Parquet in the shared folder and read it again: for wide intermediate rows."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/repograph-{label}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    df.write.option("compression", "zstd").parquet(path)
     out = spark.read.schema(df.schema).parquet(path)
     out.written_to = path
     return out

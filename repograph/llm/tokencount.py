@@ -1,8 +1,8 @@
 """Token counts: pieces counted once per distinct pre-token, joined to the documents' pre-tokens and summed.
 
 The pre-tokens of a byte-level BPE are cut by the tokenizer's own pattern, once for each text.  Documents are cut in
-batches of bounded size; a batch keeps the list of its distinct pre-tokens, and for each document the numbers of
-its pre-tokens in that list with their frequencies.  Then
+batches of bounded size; a batch keeps the list of its distinct pre-tokens, most frequent first, and for each document the
+numbers of its pre-tokens in that list, as differences, with their frequencies.  Then
 
 1. the batches' pre-tokens are dealt and sorted by pre-token, so all rows of one lie together: its pieces are
    counted once and go back to (batch, number).  A pre-token of all documents is a row for each batch, not for each document;
@@ -37,7 +37,7 @@ from pyspark.sql import functions as F
 from . import support
 from .bytelevel import PATTERN
 
-BATCH = 8 << 20  # characters of text in a batch
+BATCH = 32 << 20  # characters of text in a batch
 CUT = "batch long, doc_id long, n_bytes long, specials long, which binary, often binary, words array<string>"
 PIECES = "batch long, at int, pieces int"
 COUNTS = "doc_id long, n_bytes long, n_tokens long"
@@ -95,34 +95,65 @@ def cutter(path: str):
     return cut
 
 
+def planes(numbers: np.ndarray) -> bytes:
+    """Unsigned 32-bit numbers as four planes of bytes, of which the higher ones are nearly all zero."""
+    return numbers.astype("<u4").view(np.uint8).reshape(-1, 4).T.tobytes()
+
+
+def from_planes(stored: bytes) -> np.ndarray:
+    return np.ascontiguousarray(np.frombuffer(stored, np.uint8).reshape(4, -1).T).view("<u4").ravel().astype(np.int64)
+
+
+class Batch:
+    """Documents with a common list of distinct pre-tokens."""
+
+    def __init__(self):
+        self.words: dict[str, int] = {}
+        self.rows: list[tuple] = []
+        self.which: list[np.ndarray] = []
+        self.often: list[np.ndarray] = []
+        self.held = 0
+
+    def add(self, doc_id, text: str, found: list[str], specials: int) -> None:
+        often, words = Counter(found), self.words
+        self.rows.append((doc_id, len(text.encode()), specials))
+        self.which.append(np.fromiter((words.setdefault(w, len(words)) for w in often), np.int64, len(often)))
+        self.often.append(np.fromiter(often.values(), np.int64, len(often)))
+        self.held += len(text)
+
+    def packed(self, number: int) -> pa.RecordBatch:
+        sizes = np.array([len(x) for x in self.which])
+        which, often, begin = np.concatenate(self.which), np.concatenate(self.often), np.cumsum(sizes) - sizes
+        order = np.argsort(-np.bincount(which, often, len(self.words)), kind="stable")
+        rank = np.empty(len(order), np.int64)
+        rank[order] = np.arange(len(order))
+        at = np.lexsort((rank[which], np.repeat(np.arange(len(sizes)), sizes)))
+        which, often = rank[which][at], often[at]
+        steps = np.diff(which, prepend=0)
+        full = begin[sizes > 0]
+        steps[full] = which[full]
+        words = list(self.words)
+        rows = [(number, *row, planes(steps[b : b + n]), planes(often[b : b + n]), None) for row, b, n in zip(self.rows, begin, sizes)]
+        rows.append((number, None, None, None, None, None, [words[i] for i in order]))
+        kinds = [pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.binary(), pa.binary(), pa.list_(pa.string())]
+        return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows), kinds)], [c.split()[0] for c in CUT.split(", ")])
+
+
 def cut_batches(path: str, size: int):
     """A mapInArrow function: doc_id, text -> a row for each document, and one with the distinct pre-tokens of each batch."""
 
     def task(batches):
-        cut = cutter(path)
-        first = TaskContext.get().partitionId() << 32
-        number, rows, words, held = 0, [], {}, 0
-
-        def flushed():
-            batch = first + number
-            kinds = [pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.binary(), pa.binary(), pa.list_(pa.string())]
-            rows.append((None, None, None, None, None, list(words)))
-            columns = [[batch] * len(rows), *zip(*rows)]
-            return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds)], [c.split()[0] for c in CUT.split(", ")])
-
+        cut, held = cutter(path), Batch()
+        number = TaskContext.get().partitionId() << 32
         for batch in batches:
             for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1)):
                 text = text.as_py()
-                found, specials = cut(text)
-                often = Counter(found)
-                which = np.fromiter((words.setdefault(w, len(words)) for w in often), np.uint32, len(often))
-                rows.append((doc_id, len(text.encode()), specials, which.tobytes(), np.fromiter(often.values(), np.uint32, len(often)).tobytes(), None))
-                held += len(text)
-                if held >= size:
-                    yield flushed()
-                    number, rows, words, held = number + 1, [], {}, 0
-        if rows:
-            yield flushed()
+                held.add(doc_id, text, *cut(text))
+                if held.held >= size:
+                    yield held.packed(number)
+                    number, held = number + 1, Batch()
+        if held.rows:
+            yield held.packed(number)
 
     return task
 
@@ -150,7 +181,7 @@ def summed(docs: pa.Table, pieces: pa.Table) -> pa.Table:
     """The documents of a batch, with the pieces of its words: a row for each document."""
     by_word = np.zeros(pieces.num_rows, np.int64)
     by_word[pieces["at"].to_numpy()] = pieces["pieces"].to_numpy()
-    tokens = [specials + int(by_word[np.frombuffer(which, np.uint32)] @ np.frombuffer(often, np.uint32).astype(np.int64)) for specials, which, often in zip(*(docs[c].to_pylist() for c in ("specials", "which", "often")))]
+    tokens = [specials + int(by_word[np.cumsum(from_planes(which))] @ from_planes(often)) for specials, which, often in zip(*(docs[c].to_pylist() for c in ("specials", "which", "often")))]
     return pa.table({"doc_id": docs["doc_id"], "n_bytes": docs["n_bytes"], "n_tokens": pa.array(tokens, pa.int64())})
 
 
