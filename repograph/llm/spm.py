@@ -13,8 +13,8 @@ merged together, which is a property of the pair (kept in a table).  Both give t
 
 A character that no piece covers becomes its bytes (byte fallback) or the unknown id.  Pieces that
 start a word begin with the space mark; where no piece of the model has the mark behind another
-character, a boundary before a mark that follows one is one where all paths meet, so words repeat
-and are looked up in a table of bounded size.
+character, a boundary before a mark that follows one is one where all paths meet and all is committed.  What lies
+between two such boundaries, a word, is remembered with its ids in a table of bounded size.
 
 Defined results: a null text is empty; an empty text has no ids; decoding gives back the text for
 models with byte fallback and an identity normaliser (a text's own U+2581 comes back as a space, as
@@ -38,6 +38,8 @@ from . import support
 MARK = "▁"
 RESULT = "doc_id long, n_tokens long, ids_crc32 long, round_trip boolean"
 ENCODED = "doc_id long, ids array<int>"
+CHUNK = 4096  # characters that go into the pass at once
+REMEMBERED = 300_000  # words in the table of those met last; the table before it is kept as well
 
 
 class Model:
@@ -72,7 +74,11 @@ class Model:
         self.least = min((self.scores[i] for i in self.normal.values()), default=0.0) - 10.0
         self.by_word = not any(re.search(f"[^{MARK}]{MARK}", p) for p in self.normal)
         self.apart: dict[tuple[str, str], bool] = {}
+        # For each ending of a piece (a piece is one) its id where it is a piece, else -1.
+        self.endings = {p[i:]: -1 for p in self.normal for i in range(len(p))} | self.normal
+        self.seams: dict[int, bool] = {}  # of two ids, whether they stay apart
         self.words: dict[str, tuple[int, ...]] = {}
+        self.older: dict[str, tuple[int, ...]] = {}
 
     # -- BPE at a seam ----------------------------------------------------------------------
 
@@ -101,71 +107,83 @@ class Model:
 
     # -- the pass ---------------------------------------------------------------------------
 
-    def stream(self, chars):
-        """Pieces of an iterable of characters, committed as soon as they are final."""
-        window: list[str] = []  # characters of the last boundaries
-        back: list[int] = []  # back[i]: length of the piece that ends behind window[i]
-        score: list[float] = []
-        origin, total = "", 0.0  # the piece and score at the window's start
-        longest, normal = self.longest, self.normal
-        for char in chars:
-            window.append(char)
-            n = len(window)
-            best, chosen = None, 1
-            for length in range(1, min(longest, n) + 1):
-                piece = "".join(window[n - length :]) if length > 1 else char
-                found = normal.get(piece)
-                if found is None and length > 1:
-                    continue
-                begin = n - length
-                if self.bpe:
-                    if begin:
-                        before = "".join(window[begin - back[begin - 1] : begin])
-                    else:
-                        before = origin
-                    if not before or self.stays_apart(before, piece):
-                        chosen = length
-                        break
-                else:
-                    sum_ = (score[begin - 1] if begin else total) + (self.scores[found] if found is not None else self.least)
-                    if best is None or sum_ >= best:  # of equals the longer piece, as the library has it
-                        best, chosen = sum_, length
-            back.append(chosen)
-            score.append(best or 0.0)
-            if n >= 2 * longest:
-                # Paths from all boundaries that a later piece may point back to; where they first meet is final.
-                meet = self.meeting(back, n, longest)
-                if meet:
-                    out = self.traced(window, back, meet)
-                    yield from out
-                    origin, total = out[-1], score[meet - 1]
-                    del window[:meet], back[:meet], score[:meet]
-        yield from self.traced(window, back, len(window))
-
-    def pass_over(self, word: str) -> list[str]:
-        """The pass over a text so short that nothing needs to be committed on the way."""
-        back, best = [0] * (len(word) + 1), [0.0] * (len(word) + 1)
-        normal, apart = self.normal, self.apart
-        for end in range(1, len(word) + 1):
-            chosen, most = 1, None
-            for begin in range(end - 1, max(-1, end - self.longest - 1), -1):
-                piece = word[begin:end]
-                found = normal.get(piece)
-                if found is None and end - begin > 1:
-                    continue
-                if self.bpe:
-                    if begin:
-                        pair = word[begin - back[begin] : begin], piece
-                        held = apart.get(pair)
-                        if not (self.stays_apart(*pair) if held is None else held):
-                            continue
-                    chosen = end - begin
-                    break
-                total = best[begin] + (self.scores[found] if found is not None else self.least)
-                if most is None or total >= most:
-                    most, chosen = total, end - begin
-            back[end], best[end] = chosen, most or 0.0
-        return self.traced(word, back[1:], len(word))
+    def committed(self, chunks):
+        """Lists of the pieces of a text that comes in chunks of characters, as soon as they are final.
+
+        A piece is its id, or for a character that is no piece the negative of its code point less 1.  Boundaries are counted
+        from the window's start; of the piece that ends at boundary i, back[i] is the length and last[i] the piece.
+        """
+        longest, bpe, scores, least = self.longest, self.bpe, self.scores, self.least
+        ending, known, none = self.endings.get, self.seams.get, -2
+        window, n, back, last, best = "", 0, [0], [None], [0.0]
+        for chunk in chunks:
+            window += chunk
+            while n < len(window):
+                n += 1
+                begin = n - 1
+                lowest = n - longest if n > longest else 0
+                found = ending(window[begin])
+                chosen, piece, most = begin, found if found is not None and found >= 0 else -ord(window[begin]) - 1, None
+                if not bpe:
+                    most = best[begin] + (scores[found] if piece >= 0 else least)
+                elif found is not None:
+                    before = last[begin]
+                    if before is not None:
+                        held = known(before << 32 | found) if before >= 0 and found >= 0 else None
+                        if not (self.seam(before, piece) if held is None else held):
+                            chosen = None
+                # Longer pieces: the first that fits for BPE, all for unigram; none beyond what is the ending of a piece.
+                while found is not None and begin > lowest and (chosen is None or not bpe):
+                    begin -= 1
+                    found = ending(window[begin:n], none)
+                    if found < 0:
+                        if found == none:
+                            break
+                        continue
+                    if bpe:
+                        before = last[begin]
+                        if before is not None:
+                            held = known(before << 32 | found) if before >= 0 else None
+                            if not (self.seam(before, found) if held is None else held):
+                                continue
+                        chosen, piece = begin, found
+                    elif best[begin] + scores[found] >= most:  # of equals the longer piece, as the library has it
+                        most, chosen, piece = best[begin] + scores[found], begin, found
+                back.append(n - chosen if chosen is not None else 1)
+                last.append(piece)
+                if not bpe:
+                    best.append(most)
+                if n >= 2 * longest:
+                    # Paths from all boundaries that a later piece may point back to; where they first meet is final.
+                    meet = self.meeting(back, n, longest)
+                    if meet:
+                        yield self.traced(back, last, meet)
+                        window, n = window[meet:], n - meet
+                        back[: meet + 1], last[: meet + 1] = [0], [last[meet]]
+                        if not bpe:
+                            del best[:meet]
+        yield self.traced(back, last, n)
+
+    def seam(self, left: int, right: int) -> bool:
+        """Whether two pieces stay apart when they are merged together."""
+        if left < 0 or right < 0:
+            return self.stays_apart(self.text_of(left), self.text_of(right))
+        key = left << 32 | right
+        found = self.seams.get(key)
+        if found is None:
+            if len(self.seams) > 2_000_000:
+                self.seams.clear()
+            a, b = self.pieces[left], self.pieces[right]
+            found = self.seams[key] = self.merged(a + b) == [a, b]
+        return found
+
+    def text_of(self, piece: int) -> str:
+        return self.pieces[piece] if piece >= 0 else chr(-piece - 1)
+
+    def stream(self, chunks):
+        """The pieces as strings."""
+        for pieces in self.committed(chunks):
+            yield from map(self.text_of, pieces)
 
     @staticmethod
     def meeting(back: list[int], n: int, longest: int) -> int:
@@ -174,40 +192,33 @@ class Model:
         while len(ends) > 1:
             last = max(ends)
             ends.remove(last)
-            ends.add(last - back[last - 1])
+            ends.add(last - back[last])
         return ends.pop()
 
     @staticmethod
-    def traced(window, back: list[int], end: int) -> list[str]:
+    def traced(back: list[int], last: list[int], end: int) -> list[int]:
         out = []
         while end:
-            begin = end - back[end - 1]
-            out.append("".join(window[begin:end]))
-            end = begin
-        return out[::-1]
+            out.append(last[end])
+            end -= back[end]
+        out.reverse()
+        return out
 
     # -- texts ------------------------------------------------------------------------------
 
-    def ids_of(self, piece: str) -> list[int]:
-        found = self.normal.get(piece)
-        if found is not None:
-            return [found]
-        if self.bytes:
-            return [self.bytes[b] for b in piece.encode()]
-        return [self.unknown]
-
     def ids_of_word(self, word: str) -> tuple[int, ...]:
+        """Ids of a word, or of any text: it goes through the pass in chunks, so the window is all that is copied."""
         ids: list[int] = []
         unknown = False
-        for piece in self.pass_over(word) if len(word) <= 2 * self.longest else self.stream(word):
-            more = self.ids_of(piece)
-            if more == [self.unknown]:  # neighbours without a piece are one unknown
-                if not unknown:
+        for pieces in self.committed([word] if len(word) <= CHUNK else (word[i : i + CHUNK] for i in range(0, len(word), CHUNK))):
+            for piece in pieces:
+                if piece >= 0:
+                    ids.append(piece)
+                elif self.bytes:
+                    ids += [self.bytes[b] for b in chr(-piece - 1).encode()]
+                elif not unknown:  # neighbours without a piece are one unknown
                     ids.append(self.unknown)
-                unknown = True
-            else:
-                ids += more
-                unknown = False
+                unknown = piece < 0
         return tuple(ids)
 
     def encode(self, text: str) -> list[int]:
@@ -216,14 +227,17 @@ class Model:
         text = (MARK if self.prefix else "") + text.replace(" ", MARK)
         if not self.by_word or not self.bytes:
             return list(self.ids_of_word(text))
-        words, ids = self.words, []
+        # Every path has a boundary before a mark that follows another character: there the pass commits all, and what
+        # lies between two such boundaries has the same ids wherever it stands.
+        words, older, ids = self.words, self.older, []
         for word in WORD.findall(text):
             found = words.get(word)
             if found is None:
-                found = self.ids_of_word(word)
+                found = older.get(word) or self.ids_of_word(word)
                 if len(word) <= 64:
-                    if len(words) > 500_000:
-                        words.clear()
+                    if len(words) >= REMEMBERED:
+                        self.older, self.words = words, {}
+                        words, older = self.words, self.older
                     words[word] = found
             ids += found
         return ids

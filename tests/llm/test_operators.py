@@ -353,6 +353,49 @@ def test_streaming_commits_in_a_bounded_window():
     assert text.startswith(first) and list(m.stream(text)) == m.merged(text)
 
 
+def test_streaming_of_a_word_of_megabytes():
+    """The window stays small whatever the length: what is taken in beyond the ids given out is bounded."""
+    import sentencepiece
+
+    m = spm.Model(PIECES)
+    rng, taken, given, most = random.Random(4), 0, 0, 0
+    word = "▁" + "".join(rng.choices("abcdefghijklmnoprstu日é😀", k=1_500_000))
+
+    def chunks():
+        nonlocal taken
+        for i in range(0, len(word), 100):
+            taken += 100
+            yield word[i : i + 100]
+
+    for piece in m.stream(chunks()):
+        most = max(most, taken - given)
+        given += len(piece)
+    assert given == len(word) and most < 100 + 8 * m.longest
+    assert m.encode(word[1:]) == sentencepiece.SentencePieceProcessor(model_file=PIECES).encode(word[1:])
+
+
+def test_unigram_pass_finds_the_best_sum():
+    """Of all ways to cut a text into pieces the pass finds one of the largest sum."""
+    m = spm.Model(PIECES)
+    rng = random.Random(6)
+    m.normal = {p: i for i, p in enumerate(["a", "b", "c", "ab", "bc", "abc", "ca", "cab", "bb"])}
+    m.pieces, m.scores, m.bpe = list(m.normal), [-rng.random() * len(p) ** 0.5 for p in m.normal], False
+    m.longest, m.least = 3, -10.0
+    m.endings = {p[i:]: -1 for p in m.normal for i in range(len(p))} | m.normal
+
+    def best(text):
+        sums = [0.0]
+        for n in range(1, len(text) + 1):
+            sums.append(max(sums[b] + (m.scores[m.normal[text[b:n]]] if text[b:n] in m.normal else -10.0) for b in range(max(0, n - 3), n) if text[b:n] in m.normal or n - b == 1))
+        return sums[-1]
+
+    for _ in range(100):
+        text = "".join(rng.choices("abcx", k=rng.randint(1, 60)))
+        pieces = list(m.stream([text]))
+        assert "".join(pieces) == text
+        assert abs(sum(m.scores[m.normal[p]] if p in m.normal else -10.0 for p in pieces) - best(text)) < 1e-9
+
+
 # -- 9 ---------------------------------------------------------------------------------------
 
 
