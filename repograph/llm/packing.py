@@ -7,19 +7,25 @@ the next window.  Served one token at a time, that is Webster's divisor sequence
 tokens that each queue has given before any window has a closed form (``served``): a task works out
 the deficits that all earlier windows and partitions carry to it without seeing them.  Inside a
 window each queue's tokens lie together, and the queue that comes first moves on by one from
-window to window.  Targets are the queues' shares of all tokens, so every queue lasts to the end,
-no token is left over and only the last sequence is short.
+window to window.  Targets are weights by source; without any they are the queues' shares of all tokens, so every
+queue lasts to the end.  With others a queue may run out: from there on the rest share its part by their own weights
+(a phase), and sources without a target come last, by their shares.  No token is left over and only
+the last sequence is short, whatever the targets.
+
+Beyond ``MAX_QUEUES`` sources the queues are buckets of sources, and each bucket's tokens are served from its own
+sources by the same rule, so every source keeps its share.
 
 The plan tokenises once into a table of ids in the shared folder, sums tokens by (queue, partition),
 and turns each document's place in its queue into pieces where it lies; token ids are never shuffled.
 
 Defined results: a null text is empty (one token, the end id); a null source is a queue of its own;
-more than ``MAX_QUEUES`` sources share that many queues by hash; repeated rows and null ids are
-packed like any others; a table without rows gives no rows; other columns are ignored.
+repeated rows and null ids are packed like any others; a table without rows gives no rows; other columns are
+ignored.  More than ``MOST_SOURCES`` sources, or targets for more than ``MAX_QUEUES``, raise an error.
 """
 
 from __future__ import annotations
 
+import bisect
 import functools
 import heapq
 import zlib
@@ -35,6 +41,7 @@ from . import support
 from .bytelevel import encoder
 
 MAX_QUEUES = 4096
+MOST_SOURCES = 1_000_000  # whose totals, some 50 MB, are sent to the tasks
 FEW_BASES = 200_000
 
 TOKENS = "doc_id long, queue string, block int, start long, n_tokens long, ids binary"
@@ -105,18 +112,57 @@ class Ratio:
         return self.over * other.under < other.over * self.under
 
 
+def phases(totals: list[int], weights: list[int]) -> list[tuple[int, list[int], list[int]]]:
+    """(first token, tokens given before it, weights) of each phase; a phase ends where a queue would be served that has run out."""
+    everything, rest, begin, out = sum(totals), list(totals), 0, []
+    while sum(rest):
+        live = [w * (everything + 1) if r else 0 for w, r in zip(weights, rest)]
+        given = [t - r for t, r in zip(totals, rest)]
+        if not any(live):
+            return [*out, (begin, given, rest)]
+        out.append((begin, given, live))
+        fits = lambda n: all(a <= r for a, r in zip(served(n, live), rest))  # noqa: B023, E731
+        most = bisect.bisect_left(range(sum(r for r, w in zip(rest, live) if w)), True, key=lambda n: not fits(n + 1))
+        rest = [r - a for r, a in zip(rest, served(most, live))]
+        begin += most
+    return out
+
+
 class Layout:
     """Where the tokens of each queue lie."""
 
-    def __init__(self, totals: list[int], sequence: int, window: int):
-        self.totals, self.all, self.sequence, self.tokens = totals, sum(totals), sequence, sequence * window
+    def __init__(self, totals: list[int], sequence: int, window: int, weights: list[int] | None = None, within: tuple | None = None):
+        """``within`` is the layout and the queue that these queues are in: their windows are its share of each window there."""
+        self.totals, self.all, self.sequence, self.tokens, self.within = totals, sum(totals), sequence, sequence * window, within
+        self.phases = phases(totals, weights) if weights else [(0, [0] * len(totals), totals)]
+        self.natural = not weights and not within
+        self.windows = within[0].windows if within else -(-self.all // self.tokens)
         self.window = functools.lru_cache(4096)(self._window)
-        self.before = functools.lru_cache(4096)(lambda i: served(min(i * self.tokens, self.all), totals))
+        self.before = functools.lru_cache(4096)(self._before)
+
+    def taken(self, i: int) -> int:
+        """How many tokens lie before window i."""
+        return self.within[0].before(i)[self.within[1]] if self.within else min(i * self.tokens, self.all)
+
+    def _before(self, i: int) -> list[int]:
+        """How many tokens each queue has given before window i."""
+        taken = self.taken(i)
+        begin, given, weights = self.phases[bisect.bisect_right(self.phases, taken, key=lambda p: p[0]) - 1]
+        return [a + b for a, b in zip(given, served(taken - begin, weights))]
+
+    def window_of(self, q: int, token: int) -> int:
+        """The window with a token of a queue, or one before it."""
+        if self.natural:
+            i = token * self.all // (self.totals[q] * self.tokens)
+            while i and self.before(i)[q] > token:
+                i -= 1
+            return i
+        return bisect.bisect_right(range(self.windows + 1), token, key=lambda i: self.before(i)[q]) - 1
 
     def _window(self, i: int) -> tuple[list[int], list[int], list[int]]:
         """Of window i: the first token of each queue, the one behind its last, and the first's place."""
         first, behind, n = self.before(i), self.before(i + 1), len(self.totals)
-        place, at = [0] * n, i * self.tokens
+        place, at = [0] * n, self.taken(i)
         for step in range(n):
             q = (i + step) % n
             place[q] = at
@@ -125,31 +171,53 @@ class Layout:
 
     def pieces(self, q: int, start: int, n: int):
         """(start within the run, length, place) of a run of n tokens from token ``start`` of queue q."""
-        i, at, end = start * self.all // (self.totals[q] * self.tokens), start, start + n
-        while i and self.before(i)[q] > at:
-            i -= 1
+        i, at, end = self.window_of(q, start), start, start + n
         while at < end:
             first, behind, place = self.window(i)
             if behind[q] <= at:
                 i += 1
                 continue
             spot = place[q] + at - first[q]
-            length = min(end, behind[q], at + self.sequence - spot % self.sequence) - at
+            length = min(end, behind[q], *[at + self.sequence - spot % self.sequence] * (not self.within)) - at
             yield at - start, length, spot
             at += length
 
 
-def packed(queues: dict, totals: list[int], sequence: int, window: int):
-    """A mapInArrow function: documents with their place in their queue -> pieces."""
+class Mixture:
+    """The layout of all sources: one level of queues, or buckets of sources where there are many."""
+
+    def __init__(self, totals: dict[str, int], sequence: int, window: int, weights: dict[str, int] | None = None):
+        buckets = [[q] for q in totals] if len(totals) <= MAX_QUEUES else [[] for _ in range(MAX_QUEUES)]
+        if len(totals) > MAX_QUEUES:
+            for q in totals:
+                buckets[zlib.crc32(q.encode()) % MAX_QUEUES].append(q)
+            buckets = [b for b in buckets if b]
+        self.places = {q: (i, j) for i, bucket in enumerate(buckets) for j, q in enumerate(bucket)}
+        self.top = Layout([sum(totals[q] for q in b) for b in buckets], sequence, window, weights and [sum(weights.get(q, 0) for q in b) for b in buckets])
+        self.inner = [Layout([totals[q] for q in b], sequence, window, within=(self.top, i)) if len(b) > 1 else None for i, b in enumerate(buckets)]
+
+    def pieces(self, queue: str, start: int, n: int):
+        """(start within the run, length, place) of a run of n tokens from token ``start`` of a source."""
+        i, j = self.places[queue]
+        if self.inner[i] is None:
+            yield from self.top.pieces(i, start, n)
+            return
+        for at, length, spot in self.inner[i].pieces(j, start, n):
+            for begin, part, place in self.top.pieces(i, spot, length):
+                yield at + begin, part, place
+
+
+def packed(sent, sequence: int, window: int):
+    """A mapInArrow function: documents with their place in their queue -> pieces; sent: the broadcast totals and weights."""
 
     def task(batches):
-        layout = Layout(totals, sequence, window)
+        layout = Mixture(sent.value[0], sequence, window, sent.value[1])
         names = ["doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset"]
         for batch in batches:
             rows = [[] for _ in names]
             for doc_id, queue, start, n, stored in zip(*(batch.column(i).to_pylist() for i in range(5))):
                 ids = np.frombuffer(stored, "<u2" if len(stored) == 2 * n else "<u4").astype("<u4").data.cast("B")
-                for at, length, spot in layout.pieces(queues[queue], start, n):
+                for at, length, spot in layout.pieces(queue, start, n):
                     for held, x in zip(rows, (doc_id, at, length, zlib.crc32(ids[4 * at : 4 * (at + length)]), n, spot // sequence, spot % sequence)):
                         held.append(x)
             yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in rows], names)
@@ -157,18 +225,23 @@ def packed(queues: dict, totals: list[int], sequence: int, window: int):
     return task
 
 
-def pack(docs: DataFrame, tokenizer_path: str, sequence: int = 1024, window: int = 64, end_id: int = 0, source_col: str = "source") -> DataFrame:
-    """One row for each piece of a document in a sequence."""
-    support.ready(docs.sparkSession)
-    text, source = F.coalesce("text", F.lit("")), F.col(source_col).cast("string")
-    if docs.select(source_col).distinct().limit(MAX_QUEUES + 1).count() > MAX_QUEUES - 1:
-        source = F.pmod(F.xxhash64(source), F.lit(MAX_QUEUES)).cast("string")
+def queue_of(source: str | None) -> str:
+    return "null" if source is None else f"={source}"
+
+
+def pack(docs: DataFrame, tokenizer_path: str, sequence: int = 1024, window: int = 64, end_id: int = 0, source_col: str = "source", targets: dict[str | None, int] | None = None) -> DataFrame:
+    """One row for each piece of a document in a sequence.  ``targets`` are whole weights by source (None: the null source)."""
+    spark = support.ready(docs.sparkSession)
+    text, source = F.coalesce(F.col("text").cast("string"), F.lit("")), F.col(source_col).cast("string")
     queue = F.coalesce(F.concat(F.lit("="), source), F.lit("null"))
     tokens = support.table(docs.select(F.col("doc_id").cast("long").alias("doc_id"), text.alias("text"), queue.alias("queue")).mapInArrow(tokenised(tokenizer_path, end_id), TOKENS), "tokens")
     sums = support.cut(tokens.groupBy("queue", "block").agg(F.sum("n_tokens").alias("n")))
-    totals = {r["queue"]: r["n"] for r in sums.groupBy("queue").agg(F.sum("n").alias("n")).orderBy("queue").collect()}
+    totals = {r["queue"]: r["n"] for r in sums.groupBy("queue").agg(F.sum("n").alias("n")).orderBy("queue").limit(MOST_SOURCES + 1).collect()}
+    if len(totals) > (MAX_QUEUES if targets else MOST_SOURCES):
+        raise ValueError(f"{len(totals)} sources or more are beyond what can be mixed{' by targets' if targets else ''}")
+    weights = {queue_of(s): w for s, w in targets.items()} if targets else None
     before = W.partitionBy("queue").orderBy("block").rowsBetween(W.unboundedPreceding, -1)
     bases = sums.select("queue", "block", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("base"))
     bases = F.broadcast(bases) if sums.count() <= FEW_BASES else bases
     placed = tokens.join(bases, ["queue", "block"]).select("doc_id", "queue", (F.col("base") + F.col("start")).alias("start"), "n_tokens", "ids")
-    return placed.mapInArrow(packed({q: i for i, q in enumerate(totals)}, list(totals.values()), sequence, window), PIECES)
+    return placed.mapInArrow(packed(spark.sparkContext.broadcast((totals, weights)), sequence, window), PIECES)

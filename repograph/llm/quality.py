@@ -24,6 +24,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, StructField, StructType
 
 from . import support
 
@@ -198,20 +199,27 @@ def fit(docs: DataFrame, labels: DataFrame, label_col: str = "quality", sample:
     return train([np.frombuffer(r[2], np.int32) for r in rows], np.array([r[1] for r in rows]), bits)
 
 
-def score(docs: DataFrame, model: Model, keep: list[str] | None = None, bits: int = BITS) -> DataFrame:
-    """The columns ``keep`` (doc_id alone if not given) and a score of each row."""
+def score(docs: DataFrame, model: Model, keep: list[str] | None = None, bits: int = BITS, name: str = "score") -> DataFrame:
+    """The columns ``keep`` (doc_id alone if not given) and behind them the score of each row as ``name``.
+
+    A null text scores as an empty one; repeated rows and null ids keep their rows; a table without rows gives no rows; a
+    column of ``keep`` that is called ``name`` raises an error.
+    """
     spark = support.ready(docs.sparkSession)
     sent = spark.sparkContext.broadcast(model)
     keep = keep or ["doc_id"]
-    kept = docs.select(*[F.col(c) for c in keep], F.coalesce("text", F.lit("")).alias("__text"))
-    schema = kept.drop("__text").withColumn("__score", F.lit(0.0)).schema
+    if name in keep:
+        raise ValueError(f"the documents have a column {name}")
+    kept = docs.select(*[F.col(f"`{c.replace('`', '``')}`") for c in keep], F.coalesce(F.col("text").cast("string"), F.lit("")))
+    schema = StructType([*kept.schema.fields[:-1], StructField(name, DoubleType())])
+    kept = support.numbered(kept)
 
     def task(batches):
         for batch in batches:
             scores = pa.array([sent.value.score(features(t.as_py(), bits)) for t in batch.column(len(keep))], pa.float64())
-            yield pa.RecordBatch.from_arrays([*batch.columns[: len(keep)], scores], [*keep, "__score"])
+            yield pa.RecordBatch.from_arrays([*batch.columns[: len(keep)], scores], [*keep, name])
 
-    return kept.mapInArrow(task, schema).withColumnRenamed("__score", "score")
+    return kept.mapInArrow(task, schema)
 
 
 def classify(docs: DataFrame, labels: DataFrame, threshold: float = 0.7, sample: int = 4000) -> DataFrame:

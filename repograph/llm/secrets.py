@@ -196,7 +196,7 @@ def redact(docs: DataFrame, per_char: float = 0.6, in_all: float = 15.0, mark: s
         model = default_model()
         for batch in batches:
             texts = pa.array([clean(t.as_py(), model) for t in batch.column(at)], batch.schema.field(at).type)
-            yield batch.set_column(at, batch.schema.field(at), texts)
+            yield pa.RecordBatch.from_arrays([*batch.columns[:at], texts, *batch.columns[at + 1 :]], schema.names)
 
-    found = docs.mapInArrow(task, schema)
+    found = support.numbered(docs).mapInArrow(task, schema)
     return found.withColumn("n_chars", F.length("text").cast(schema["n_chars"].dataType)) if "n_chars" in docs.columns else found

@@ -7,13 +7,18 @@ from pyspark.sql import functions as F
 
 from . import packing, quality, secrets, setjoin, support
 
-ID, DIGEST = "__stage_id", "__stage_digest"  # columns of our own beside those of any table
+ID, DIGEST, SCORE = "__stage_id", "__stage_digest", "__stage_score"  # columns of our own beside those of any table
 
 
 def keep_good(docs: DataFrame, labels: DataFrame, threshold: float = 0.7) -> DataFrame:
-    """The documents whose quality score reaches the threshold."""
-    scored = quality.score(docs, quality.fit(docs, labels), keep=docs.columns)
-    return scored.where(F.col("score") >= threshold).select(docs.columns)
+    """The documents whose quality score reaches the threshold.
+
+    Nulls and empty texts are scored as empty; each row, repeated or not, is judged by its own text; without labels of both
+    kinds all have the labels' share as score; a table without rows gives no rows; all columns are returned as they
+    came, of any name.
+    """
+    scored = quality.score(docs, quality.fit(docs, labels), keep=docs.columns, name=SCORE)
+    return scored.where(F.col(SCORE) >= threshold).select(support.same_columns(docs))
 
 
 def keep_one_of_each(docs: DataFrame, rule: setjoin.Rule = setjoin.Rule(width=5, num=80, den=100)) -> DataFrame:
@@ -38,10 +43,18 @@ def keep_one_of_each(docs: DataFrame, rule: setjoin.Rule = setjoin.Rule(width=5,
 
 
 def redacted(docs: DataFrame) -> DataFrame:
-    """The documents with every secret of their text replaced."""
-    return secrets.redact(docs).select(docs.columns)
+    """The documents with every secret of their text replaced.
+
+    Every row stays, repeated or not; a null text stays null and an empty one empty; n_chars, where there is one, is the
+    length of the new text; a table without rows gives no rows; other columns are returned as they came, of any name.
+    """
+    return secrets.redact(docs).select(support.same_columns(docs))
 
 
 def packed(docs: DataFrame, tokenizer_path: str, sequence: int = 1024) -> DataFrame:
-    """Where each piece of each document lies in the packed sequences."""
+    """Where each piece of each document lies in the packed sequences.
+
+    A null or empty text is the end id alone; a null source is a source of its own; repeated rows and null ids are packed
+    like any others; a table without rows gives no rows; other columns are ignored.
+    """
     return packing.pack(docs, tokenizer_path, sequence=sequence)

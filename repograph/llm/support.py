@@ -62,5 +62,10 @@ def same_columns(df: DataFrame) -> list:
     return [F.col(f"`{c.replace('`', '``')}`") for c in df.columns]
 
 
+def numbered(df: DataFrame) -> DataFrame:
+    """The frame with plain column names, as functions over Arrow batches cannot take all names."""
+    return df.toDF(*[f"c{i}" for i in range(len(df.columns))])
+
+
 def load(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return ready(spark).read.parquet(f"{sf_dir}/{name}.parquet")

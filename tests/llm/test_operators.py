@@ -289,6 +289,56 @@ def test_packing_places_every_token_once(spark):
                 assert abs(w[s] - 256 * n / sum(whole.values())) <= 2
 
 
+def one_by_one(totals, weights):
+    """Which queue each token comes from: the live queue that is owed most, served one token at a time, phase by phase."""
+    rest, order = list(totals), []
+    while any(rest):
+        live = [w if r else 0 for w, r in zip(weights, rest)]
+        live, given = (live, [0] * len(rest)) if any(live) else (list(rest), [0] * len(rest))
+        while True:
+            q = min((q for q in range(len(rest)) if live[q]), key=lambda q: (Fraction(2 * given[q] + 1, 2 * live[q]), q), default=None)
+            if q is None or not rest[q]:
+                break
+            given[q] += 1
+            rest[q] -= 1
+            order.append(q)
+    return order
+
+
+def test_packing_to_targets_equals_one_token_at_a_time():
+    rng = random.Random(3)
+    for _ in range(30):
+        totals = [rng.randint(0, 60) for _ in range(rng.randint(1, 5))]
+        weights = [rng.choice([0, 1, 2, 7]) for _ in totals]
+        order = one_by_one(totals, weights)
+        layout = packing.Layout(totals, 4, 2, weights)
+        for i in range(len(order) // 8 + 2):
+            assert layout.before(i) == [order[: 8 * i].count(q) for q in range(len(totals))]
+        spots = sorted(spot + k for q, n in enumerate(totals) if n for _, length, spot in layout.pieces(q, 0, n) for k in range(length))
+        assert spots == list(range(len(order)))
+
+
+def test_packing_to_targets(spark):
+    texts, sources = ["word " * 30 for _ in range(90)], [["a", "b", None][i % 3] for i in range(90)]
+    rows = packing.pack(docs(spark, texts, sources=sources), BPE, 64, 2, targets={"a": 3, None: 1}).collect()
+    spots = sorted((r.sequence_id * 64 + r.offset, r["length"], sources[r.doc_id]) for r in rows)
+    assert [s for s, _, _ in spots] == [sum(n for _, n, _ in spots[:i]) for i in range(len(spots))]
+    first = [(n, q) for s, n, q in spots if s < 128]
+    assert sum(n for n, q in first if q == "a") == 96 and not [q for _, q in first if q == "b"]
+
+
+def test_many_sources_keep_their_shares(monkeypatch):
+    monkeypatch.setattr(packing, "MAX_QUEUES", 4)
+    totals = {f"={i}": 40 + 10 * (i % 5) for i in range(30)}
+    mixture = packing.Mixture(totals, 16, 20)
+    spots = sorted((place, n, q) for q, t in totals.items() for _, n, place in mixture.pieces(q, 0, t))
+    assert [s for s, _, _ in spots] == [sum(n for _, n, _ in spots[:i]) for i in range(len(spots))]
+    for window in range(sum(totals.values()) // 320):
+        for q, t in totals.items():
+            held = sum(min(s + n, 320 * window + 320) - max(s, 320 * window) for s, n, x in spots if x == q and s < 320 * window + 320 and s + n > 320 * window)
+            assert abs(held - t * 320 / sum(totals.values())) <= 3
+
+
 def test_packing_empty(spark):
     assert packing.pack(docs(spark, []), BPE).count() == 0
 

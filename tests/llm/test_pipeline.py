@@ -1,9 +1,15 @@
 """The pipeline's stages against plain Python on a small table."""
 
 import random
+import zlib
+from collections import defaultdict
 
 import corpus_pipeline
-from repograph.llm import quality, secrets, stages
+import numpy as np
+from pyspark.sql import functions as F
+from repograph.llm import quality, stages
+from repograph.llm.queries import tokenizer_path
+from tokenizers import Tokenizer
 
 from .test_operators import DOCS, near_texts, plain_components
 
@@ -40,7 +46,53 @@ def test_quality_stage(spark):
     assert kept.columns == df.columns
 
 
+def test_stages_take_any_columns_nulls_and_empty_tables(spark):
+    rows = [(1, "plain words here", 1.0, "s", 2, None), (None, None, None, None, None, None), (3, "", 0.5, "t", 0, 1), (3, "", 0.5, "t", 0, 1), (4, "token = abcdef0123 and more", 0.1, "s", 9, 2)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, score double, source string, n_chars long, `__score` int").withColumn("__text", F.lit("x")).withColumn("odd.name", F.lit(1))
+    labels = spark.createDataFrame([(i, i % 2) for i in range(5)], "doc_id long, quality int")
+    for stage in (lambda d: stages.keep_good(d, labels, threshold=0.0), stages.keep_one_of_each, stages.redacted):
+        kept = stage(df)
+        assert kept.columns == df.columns and kept.count() == 5 and stage(df.limit(0)).count() == 0
+    assert {r.text for r in stages.redacted(df).collect()} == {"plain words here", None, "", "[SECRET] and more"}
+    assert {(r.doc_id, r.start) for r in stages.packed(df, tokenizer_path()).collect()} == {(1, 0), (None, 0), (3, 0), (4, 0)}
+    assert stages.packed(df, tokenizer_path()).count() == 5 and stages.packed(df.limit(0), tokenizer_path()).count() == 0
+
+
+def test_a_very_long_text_goes_through_all_stages(spark):
+    text = " ".join(f"word{i % 5000}" for i in range(1_000_000)) + " AKIA" + "Q7" * 10
+    df = spark.createDataFrame([(1, text, "s", len(text)), (2, "short one", "s", 9)], "doc_id long, text string, source string, n_chars long")
+    labels = spark.createDataFrame([], "doc_id long, quality int")
+    clean = {r.doc_id: r.text for r in stages.redacted(stages.keep_one_of_each(stages.keep_good(df, labels, 0.5))).collect()}
+    assert clean[2] == "short one" and clean[1].startswith(text[:-30]) and "AKIA" not in clean[1]
+
+
 def test_run_is_its_stages(spark):
-    rows = corpus_pipeline.run(spark, "/root/testdata/sf0.001").collect()
+    """run's rows are those of the stages called one after the other, and its packing places each kept document whole."""
+    folder = "/root/testdata/sf0.001"
+    rows = corpus_pipeline.run(spark, folder).collect()
     assert [n for n, _ in corpus_pipeline.STAGES] == ["quality classifier", "n-gram Jaccard join", "secret scans", "packing"]
-    assert rows and secrets.find("token = abcdef", secrets.default_model())[0]
+    docs = spark.read.parquet(f"{folder}/documents.parquet")
+    columns = docs.columns
+    for _, stage in corpus_pipeline.STAGES[:-1]:
+        docs = stage(spark, docs, folder)
+        assert docs.columns == columns
+        docs = spark.createDataFrame(docs.toPandas(), docs.schema)
+    kept = {r.doc_id: r.text or "" for r in docs.collect()}
+    library = Tokenizer.from_file(tokenizer_path())
+    pieces, spots = defaultdict(list), defaultdict(list)
+    for r in rows:
+        pieces[r.doc_id].append((r.start, r["length"], r.ids_crc32, r.doc_tokens))
+        spots[r.sequence_id].append((r.offset, r["length"]))
+    assert set(pieces) == set(kept)
+    for doc_id, text in kept.items():
+        ids, at = np.array([*library.encode(text, add_special_tokens=False).ids, 0], "<u4"), 0
+        for start, n, crc, all_tokens in sorted(pieces[doc_id]):
+            assert (start, crc, all_tokens) == (at, zlib.crc32(ids[at : at + n].tobytes()), len(ids))
+            at += n
+        assert at == len(ids)
+    for k, held in spots.items():
+        at = 0
+        for offset, n in sorted(held):
+            assert offset == at
+            at += n
+        assert at == 1024 or k == max(spots)
