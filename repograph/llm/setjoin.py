@@ -405,7 +405,7 @@ def linked(texts: DataFrame, rule: Rule) -> DataFrame:
     held = keys.join(groups, "deal", "left").where("many is not null or heap = 0")
     unspread = F.col("deal").bitwiseXOR(F.xxhash64("node"))
     held = held.select(F.when(F.col("heap") == 0, unspread).otherwise(F.col("deal")).alias("key"), "node", "n", "heap", "many")
-    members = written = support.table(held.repartition("node"), "members")
+    members = written = support.table(support.fewer(held.repartition("node")), "members")
     heaps = support.cut(written.where("heap > 1").groupBy("key").agg(F.max("many").alias("many")))
     if heaps.limit(1).count():
         members = written.where("heap > 0").unionByName(written.where("heap = 0").drop("many").join(few(heaps), "key"))
@@ -445,7 +445,8 @@ def open_pairs(members: DataFrame, texts: DataFrame, rule: Rule, best: bool) ->
     left = left.withColumn("tile", F.pmod(F.xxhash64("node"), F.col("tiles")).cast("int"))
     # In a tile against itself a row is there once; against another tile it has its side.
     spots = F.transform(F.sequence(F.lit(0), F.col("tiles") - 1), lambda t: F.struct(F.least("tile", t).alias("low"), F.greatest("tile", t).alias("high"), F.when(F.col("tile") == t, 2).when(F.col("tile") < t, 0).otherwise(1).alias("side")))
-    dealt = support.table(left.withColumn("spot", F.explode(spots)).select("key", "spot.low", "spot.high", "spot.side", "node", "n", "comp"), "tiles")
+    dealt = left.withColumn("spot", F.explode(spots)).select("key", "spot.low", "spot.high", "spot.side", "node", "n", "comp")
+    dealt = support.table(support.fewer(dealt), "tiles")
     buckets = max(1, -(-dealt.count() // BUCKET))
     bucket = F.pmod(F.xxhash64("key", "low", "high"), F.lit(buckets)).alias("bucket")
     pairs = support.cut(dealt.join(texts.select("node", "bitmap"), "node").groupBy(bucket).applyInArrow(tiles_compared(rule, best), "a long, b long").distinct())

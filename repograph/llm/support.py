@@ -34,10 +34,15 @@ def shared_dir(spark: SparkSession) -> str:
     return told.rstrip("/")
 
 
+def fewer(df: DataFrame) -> DataFrame:
+    """The frame in at most two partitions for each core of the cluster, so that small ones are not written as very many files."""
+    return df.coalesce(2 * df.sparkSession.sparkContext.defaultParallelism)
+
+
 def cut(df: DataFrame) -> DataFrame:
-    """Cut the lineage with a reliable checkpoint: for small tables that several plans read."""
+    """Cut the lineage with a reliable checkpoint: for narrow tables that several plans read."""
     shared_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+    return fewer(df).checkpoint(eager=True)
 
 
 def table(df: DataFrame, label: str) -> DataFrame:
