@@ -64,18 +64,21 @@ def target_names(path) -> F.Column:
 
 
 def resolve_imports(imports: DataFrame, targets: DataFrame) -> DataFrame:
-    """job_id, source, module and job_id, target, name -> distinct job_id, source, target.
+    """job_id, source, module and job_id, target, name -> distinct job_id, source, module, target.
 
-    First by the module's name or its last part; imports without any such target meet every
-    name of their job that ends with the module, or that the module ends with.
+    First by the module's name or its last part; imports without any such target meet the
+    names of their job that end with the module, or that the module ends with.
     """
     plain = F.regexp_replace("module", r"^\.+|\.+$", "")
     asked = imports.select("job_id", "source", plain.alias("module")).distinct()
     keys = asked.withColumn("name", F.explode(F.array_distinct(F.array("module", F.element_at(F.split("module", r"\."), -1))))).where("name <> ''")
     exact = keys.join(targets, ["job_id", "name"]).select("job_id", "source", "module", "target").distinct()
     left = asked.join(exact.select("job_id", "source", "module").distinct(), ["job_id", "source", "module"], "left_anti")
-    m, n = F.col("module"), F.col("name")
-    loose = left.join(targets, "job_id").where(F.endswith(m, n) | F.endswith(n, m)).select("job_id", "source", "module", "target")
+    # Names and modules are short, so each way round is an equi-join on all endings of one side (the empty one included).
+    endings = lambda c: F.explode(F.transform(F.sequence(F.lit(1), F.length(c) + 1), lambda i: F.substr(F.col(c), i)))
+    by_name = targets.select("job_id", "target", endings("name").alias("module")).distinct().join(left, ["job_id", "module"])
+    by_module = left.select("job_id", "source", "module", endings("module").alias("name")).join(targets, ["job_id", "name"])
+    loose = by_name.select("job_id", "source", "module", "target").unionByName(by_module.select("job_id", "source", "module", "target"))
     return exact.unionByName(loose).where("source <> target").distinct()
 
 
