@@ -10,6 +10,7 @@ from fractions import Fraction
 
 import numpy as np
 import public_tokenizers
+import pytest
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
@@ -108,18 +109,90 @@ def test_media_round_trip(spark):
     assert jpeg.features(jpeg.to_media(docs(spark, []))).count() == 0
 
 
-def test_general_decoder_agrees_with_the_fast_one():
-    payload = random.Random(2).randbytes(64 * 9)
-    image = jpeg.decode(jpeg.encode_payload(payload))
-    part = image.components[0]
-    fast, data = part.blocks.copy(), jpeg.encode_payload(payload)
-    found, *_ = jpeg.own_tables()
-    tables = {(k, 0): jpeg.canonical(found[n][0], found[n][1]) for k, n in ((0, "dc"), (1, "ac"))}
-    start = data.index(b"\xff\xda") + 10
-    slow = jpeg.Component(1, 1, 1, 0, wide=part.wide, high=part.high, blocks=np.zeros_like(fast))
-    jpeg.read_general([data[start:-2].replace(b"\xff\x00", b"\xff")], part.wide, part.high, [slow], tables, 0)
-    assert (slow.blocks == fast).all()
-    assert jpeg.stored_payload(image) == payload
+def plain_blocks(data):
+    """The blocks of a one-component JPEG with restarts, read bit by bit."""
+    tables, at, restart, total = {}, 2, 0, 0
+    while data[at + 1] != 0xDA:
+        body = data[at + 4 : at + 2 + int.from_bytes(data[at + 2 : at + 4], "big")]
+        if data[at + 1] == 0xC4:
+            tables[body[0] >> 4] = {(n, code): s for s, code, n in jpeg.canonical(list(body[1:17]), list(body[17:]))}
+        elif data[at + 1] == 0xDD:
+            restart = int.from_bytes(body, "big")
+        elif data[at + 1] == 0xC0:
+            total = (int.from_bytes(body[1:3], "big") // 8) * (int.from_bytes(body[3:5], "big") // 8)
+        at += len(body) + 4
+    scan = data[at + 10 : -2]
+    found = []
+    for i, part in enumerate(re.split(rb"\xff[\xd0-\xd7]", scan)):
+        bits = iter("".join(f"{x:08b}" for x in part.replace(b"\xff\x00", b"\xff")))
+
+        def symbol(table):
+            code = n = 0
+            while (n, code) not in table:
+                code, n = code * 2 + int(next(bits)), n + 1
+            return table[n, code]
+
+        def value(size):
+            got = int("".join(next(bits) for _ in range(size)) or "0", 2)
+            return got if not size or got >> (size - 1) else got - (1 << size) + 1
+
+        before = 0
+        for _ in range(min(restart, total - i * restart)):
+            block, k = [0] * 64, 1
+            before += value(symbol(tables[0]))
+            block[0] = before
+            while k < 64:
+                got = symbol(tables[1])
+                if got == 0:
+                    break
+                k += got >> 4
+                block[k] = value(got & 15)
+                k += 1
+            found.append(block)
+    return found
+
+
+def mixed_payload(rng, blocks):
+    """Bytes with zero runs of every length, bytes of ones and text."""
+    out = b"".join(rng.choice([bytes(rng.randrange(70)), rng.randbytes(rng.randrange(1, 9)), b"plain words 12", b"\xff" * 5, b"\x80\x01"]) for _ in range(12 * blocks))
+    return out[: 64 * blocks].ljust(64 * blocks, b"\0")
+
+
+def test_jpeg_agrees_with_a_plain_decoder():
+    rng = random.Random(2)
+    payloads = [mixed_payload(rng, n) for n in (1, 2, 7, 8, 9, 30, 100)] + [bytes(64 * 3), b"\xff" * 64, rng.randbytes(64 * 20)]
+    files = jpeg.encode_many(payloads)
+    assert files == [jpeg.encode_payload(p) for p in payloads]
+    for payload, data, image in zip(payloads, files, jpeg.decode_many(files)):
+        assert plain_blocks(data) == image.components[0].blocks.tolist()
+        assert jpeg.stored_payload(image) == payload
+
+
+def test_intervals_side_by_side_agree_with_one_by_one(monkeypatch):
+    payload = mixed_payload(random.Random(3), 3000)
+    data = jpeg.encode_payload(payload)
+    fast = jpeg.decode(data).components[0].blocks
+    monkeypatch.setattr(jpeg, "SLICE_BYTES", 5000)
+    sliced = jpeg.decode(data).components[0].blocks
+    monkeypatch.setattr(jpeg, "LANES", 1 << 40)
+    slow = jpeg.decode(data).components[0].blocks
+    assert (fast == slow).all() and (sliced == slow).all()
+
+
+def test_damaged_jpegs_raise():
+    data = jpeg.encode_payload(random.Random(4).randbytes(64 * 200))
+    at = data.index(b"\xff\xd3")
+    for bad in (b"x" + data[1:], data[:at] + data[at + 2 :], data[: data.index(b"\xff\xda") + 40] + b"\xff\xd9"):
+        with pytest.raises(ValueError):
+            jpeg.decode(bad)
+
+
+def test_media_of_a_very_long_text(spark):
+    text = "Wörter und 漢字 0123\n" * 1_000_000
+    row = jpeg.features(jpeg.to_media(docs(spark, [text, "short"], ids=[1, 2]))).where("doc_id = 1").first()
+    data = text.encode()
+    payload = data + bytes(-len(data) % 64)
+    assert (row.n_bytes, row.payload_bytes, row.payload_sha256) == (len(data), len(payload), hashlib.sha256(payload).hexdigest())
 
 
 def bits_to_scan(bits):
@@ -147,6 +220,8 @@ def test_decoder_with_runs_subsampling_and_restarts():
     y = image.components[0].blocks
     assert (y[0][0], y[0][1], y[0][18 + 1]) == (17, -3, 1) and image.components[1].blocks[1][0] == -5
     assert jpeg.thumbnail(image).shape == (2, 4) and jpeg.thumbnail(image)[0][0] == 128 + (17 * 2 + 4) // 8
+    for other in jpeg.decode_many([data] * 20):  # so many that they are decoded side by side
+        assert all((a.blocks == b.blocks).all() for a, b in zip(image.components, other.components))
 
 
 # -- 5 ---------------------------------------------------------------------------------------
