@@ -45,6 +45,39 @@ def test_topk_equals_brute_force(spark):
     assert got == want
 
 
+def plain_topk(vectors, k=5):
+    ints = [(i, np.floor(256 * np.asarray(v, np.float32).astype(np.float64)).astype(int)) for i, v in vectors]
+    return sorted((q, r + 1, i, -s) for q, v in ints if q % 50 == 0 for r, (s, i) in enumerate(sorted((-int(np.dot(v, w)), i) for i, w in ints if i != q)[:k]))
+
+
+def test_topk_with_a_hot_group_of_copies_wide_values_and_many_query_blocks(spark):
+    """A third of the rows are one vector; some components need 32 bits; ties cross tasks and query blocks."""
+    rng = np.random.default_rng(5)
+    hot = [float(x) for x in rng.normal(0, 0.3, 8)]
+    vectors = [(i, hot if i % 3 == 0 else [float(x) for x in rng.normal(0, 500 if i % 7 == 0 else 0.3, 8)]) for i in range(900)]
+    df = spark.createDataFrame(vectors, "vec_id long, embedding array<float>").repartition(5)
+    for block in (4096, 4):
+        got = sorted(tuple(r) for r in vafile.topk(df, F.col("vec_id") % 50 == 0, 5, query_block=block).collect())
+        assert got == plain_topk(vectors)
+
+
+def test_rows_that_the_file_keeps_of_equal_vectors():
+    ids = np.array([9, 1, 1, 1, 7, 5, 3, 2, 4])
+    same = np.ones((9, 4), np.int64)
+    kept = vafile.needed(ids, same, 2)
+    assert sorted(ids[kept]) == [1, 1, 2, 3]
+    assert list(vafile.needed(ids, np.arange(36).reshape(9, 4), 1)) == list(range(9))
+    assert len(vafile.needed(ids, np.empty((9, 0), np.int64), 1)) == 2
+
+
+def test_topk_of_empty_tables_and_of_no_queries(spark):
+    schema = "vec_id long, embedding array<float>, size int, ids string"
+    for rows in ([], [(1, [0.5], 1, "a"), (2, [0.25], 1, "b")], [(50, None, 1, "a")]):
+        assert vafile.topk(spark.createDataFrame(rows, schema), F.col("vec_id") % 50 == 0, 5).count() == 0
+    few = vafile.topk(spark.createDataFrame([(50, [0.5], 1, "a"), (2, [], 1, "b"), (100, [], 1, "b"), (3, [0.25], 1, "c")], schema), F.col("vec_id") % 50 == 0, 5).collect()
+    assert sorted(map(tuple, few)) == [(50, 1, 3, 128 * 64), (100, 1, 2, 0)]
+
+
 def test_topk_by_several_query_blocks_and_empty(spark):
     df = spark.createDataFrame([(i, [float(i % 7), 1.0]) for i in range(200)], "vec_id long, embedding array<double>")
     one = sorted(map(tuple, vafile.topk(df, F.col("vec_id") % 50 == 0, 3).collect()))
