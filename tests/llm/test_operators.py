@@ -479,6 +479,58 @@ def test_quality_learns_and_keeps_labels_out(spark):
     assert {r.doc_id: r.score for r in quality.classify(docs(spark, texts), flipped).collect()} == {i: r.score for i, r in rows.items()}
 
 
+def plain_margin(rows, labels):
+    """Weights of all indicators and bias of the classifier by definition: dictionaries of counts, projected gradient on the dual."""
+    total, counts = [0, 0], [defaultdict(int), defaultdict(int)]
+    for row, label in zip(rows, labels):
+        for f in row:
+            counts[label][f] += 1
+            total[label] += 1
+    ratio = lambda f: np.log((counts[1][f] + 1) / (total[1] + quality_size)) - np.log((counts[0][f] + 1) / (total[0] + quality_size))
+    used = sorted({f for row in rows for f in row})
+    place = {f: i for i, f in enumerate(used)}
+    x = np.zeros((len(rows), len(used) + 1))
+    for i, row in enumerate(rows):
+        for f in row:
+            x[i, place[f]] = ratio(f) / np.sqrt(max(1, len(row)))
+        x[i, -1] = 1
+    y = np.where(np.array(labels) == 1, 1.0, -1.0)
+    cost = np.where(y > 0, len(y) / (2 * (y > 0).sum()), len(y) / (2 * (y < 0).sum()))
+    gram = (x @ x.T) * np.outer(y, y)
+    alpha, step = np.zeros(len(y)), 1 / np.linalg.eigvalsh(gram)[-1]
+    for _ in range(40_000):
+        alpha = np.clip(alpha - step * (gram @ alpha - 1), 0, cost)
+    w = x.T @ (alpha * y)
+    return {f: w[place[f]] * ratio(f) for f in used}, w[-1], alpha.sum() - alpha @ gram @ alpha / 2
+
+
+quality_size = 1 << quality.BITS
+
+
+def test_quality_model_equals_a_plain_one():
+    """The trained margins are those of the dual's optimum, found by another solver; words overlap, so some costs bind."""
+    rng = random.Random(12)
+    words = [f"w{i}" for i in range(30)]
+    texts, labels = [], []
+    for i in range(60):
+        labels.append(int(i % 3 > 0))
+        texts.append(" ".join(rng.choices(words[: 22 if labels[-1] else 30] + ["Z!"] * (not labels[-1]), k=rng.randint(1, 12))))
+    rows = [quality.features(t, quality.BITS) for t in texts]
+    weights, bias, best = plain_margin([r.tolist() for r in rows], labels)
+    model = quality.train(rows, np.array(labels))
+    want = [sum(weights[f] for f in r.tolist()) / np.sqrt(max(1, len(r))) + bias for r in rows]
+    assert np.allclose([model.margin(r) for r in rows], want, atol=2e-2)
+    assert any((2 * y - 1) * m < 1 - 1e-3 for y, m in zip(labels, want))
+    # The dual's value at the solver's own result is the primal's: no gap.
+    ratios = quality.log_count_ratios(rows, np.array(labels), quality_size)
+    values = [ratios[r] / np.sqrt(max(1, len(r))) for r in rows]
+    signs = np.where(np.array(labels) == 1, 1.0, -1.0)
+    cost = np.where(signs > 0, len(labels) / (2 * sum(labels)), len(labels) / (2 * (len(labels) - sum(labels))))
+    w, b = quality.dual_coordinate_descent(rows, values, signs, quality_size, cost, rounds=3000, tolerance=1e-9)
+    primal = (w @ w + b * b) / 2 + sum(c * max(0.0, 1 - y * (w[r] @ v + b)) for c, y, r, v in zip(cost, signs, rows, values))
+    assert abs(primal - best) < 1e-3 * max(1, abs(best))
+
+
 def test_quality_without_labels(spark):
     none = spark.createDataFrame([], "doc_id long, quality int")
     assert [r.score for r in quality.classify(docs(spark, ["a", None]), none).collect()] == [0.5, 0.5]
