@@ -165,6 +165,8 @@ SQL["inheritance_depth"] = """WITH RECURSIVE c AS (SELECT p_partkey AS id, p_par
 # -- store, jobs, search ----------------------------------------------------------------------
 SQL["insert_if_absent"] = """SELECT c_custkey AS id, CASE WHEN c_custkey % 3 = 0 THEN 'old' ELSE 'new' END AS "from" FROM customer WHERE c_custkey % 3 = 0 OR c_custkey % 2 = 0"""
 SQL["upsert_last_wins"] = "SELECT c_custkey AS id, CASE WHEN c_custkey % 2 = 0 THEN 'new' ELSE 'old' END AS label, CASE WHEN c_custkey % 3 = 0 THEN 'first' ELSE 'later' END AS made FROM customer WHERE c_custkey % 3 = 0 OR c_custkey % 2 = 0"
+SQL["insert_parties_if_absent"] = """SELECT s_suppkey AS id, 'supplier' AS "from" FROM supplier UNION ALL SELECT c_custkey, 'customer' FROM customer WHERE c_custkey NOT IN (SELECT s_suppkey FROM supplier)"""
+SQL["upsert_parties"] = "SELECT coalesce(c_custkey, s_suppkey) AS id, coalesce(c_name, s_name) AS label, CASE WHEN s_suppkey IS NULL THEN 'customer' ELSE 'supplier' END AS made FROM customer FULL JOIN supplier ON c_custkey = s_suppkey"
 LOG = "log AS (SELECT CAST(user_id AS VARCHAR) AS job_id, ts AS moment, event_id AS seq, CASE event_type WHEN 'signup' THEN 'pending' WHEN 'view' THEN 'running' WHEN 'click' THEN 'running' WHEN 'purchase' THEN 'completed' WHEN 'error' THEN 'failed' END AS status FROM events)"
 LAST = "last AS (SELECT job_id, status FROM (SELECT *, row_number() OVER (PARTITION BY job_id ORDER BY moment DESC, seq DESC) AS rn FROM log) WHERE rn = 1)"
 SQL["latest_state"] = f"WITH {LOG}, {LAST} SELECT job_id, status FROM last"
@@ -199,3 +201,19 @@ SQL["graph_edges"] = """WITH p AS (SELECT p_partkey AS k, CASE p_partkey % 3 WHE
   SELECT 'CONTAINS' AS relationship, n FROM held UNION ALL SELECT 'IMPORTS', n FROM used UNION ALL SELECT 'DEPENDS_ON', n FROM used"""
 SQL["lint_health"] = """WITH c AS (SELECT 0 AS high, CASE WHEN count(*) >= 9 THEN 3 ELSE 0 END AS medium, count_if(p_partkey % 3 <> 0) + count_if(p_partkey % 3 = 0 AND p_size % 5 >= 4) AS low FROM part)
   SELECT 'synthetic' AS job_id, high::BIGINT AS high, medium::BIGINT AS medium, low::BIGINT AS low, greatest(0, least(100, 100 - 8 * high - 4 * medium - low))::INTEGER AS score FROM c"""
+
+# -- selectors --------------------------------------------------------------------------------
+SQL["node_selectors"] = "SELECT 'Repository: ' || r_name AS display, true AS entry FROM region UNION ALL SELECT 'Module: ' || n_name, true FROM nation UNION ALL SELECT 'File: ' || c_name, false FROM customer"
+over_view("dependency_edges", "SELECT job_id, relationship <> 'CONTAINS' AS dependency, count(*) AS n FROM edges GROUP BY 1, 2")
+SQL["node_properties"] = "SELECT o_orderkey, CASE WHEN o_orderstatus = 'F' THEN 2 ELSE 0 END::INT AS n, CASE WHEN o_orderstatus = 'F' THEN o_custkey::VARCHAR END AS lines FROM orders"
+ISSUES = "i AS (SELECT o_orderkey, o_orderstatus AS job_id, CASE left(o_orderpriority, 1) WHEN '1' THEN 'critical' WHEN '2' THEN 'high' WHEN '3' THEN 'medium' WHEN '4' THEN 'low' ELSE 'info' END AS severity, o_orderpriority AS category FROM orders)"
+SQL["severity_counts"] = f"WITH {ISSUES} SELECT job_id, count(*) FILTER (severity = 'critical') AS critical, count(*) FILTER (severity = 'high') AS high, count(*) FILTER (severity = 'medium') AS medium, count(*) FILTER (severity = 'low') AS low, count(*) FILTER (severity = 'info') AS info FROM i GROUP BY 1"
+SQL["issue_choices"] = f"WITH {ISSUES} SELECT 'high' AS choice, o_orderkey FROM i WHERE job_id = 'F' AND severity IN ('critical', 'high') UNION ALL SELECT 'low', o_orderkey FROM i WHERE severity = 'low'"
+SQL["issue_categories"] = f"WITH {ISSUES} SELECT job_id, string_agg(category, '|' ORDER BY category) AS categories FROM (SELECT DISTINCT job_id, category FROM i) GROUP BY 1"
+SQL["issues_shown"] = f"WITH {ISSUES} SELECT o_orderkey, severity FROM i ORDER BY o_orderkey LIMIT 40"
+SQL["evidence_shown"] = "SELECT o_orderkey, 'clerk=c,cust=' || o_custkey || ',status=' || o_orderstatus || ',priority=' || o_orderpriority || ',key=' || o_orderkey AS evidence FROM orders"
+SQL["label_repeats"] = "SELECT c_custkey AS id, count(*) OVER (PARTITION BY c_nationkey, c_mktsegment) AS same_label FROM customer"
+SQL["artifact_counts"] = "SELECT o_custkey::VARCHAR AS job_id, count(*) AS n FROM orders GROUP BY 1"
+SQL["checked_tokens"] = "SELECT p_partkey, array_to_string(list_filter(string_split_regex(lower(p_name) || '  part', '\\s+'), lambda w: length(w) > 2), '|') AS tokens FROM part"
+SQL["report_gate"] = f"""WITH {LOG}, {LAST} SELECT c_custkey::VARCHAR AS job_id, CASE WHEN job_id IS NULL THEN 'missing' WHEN status <> 'completed' THEN 'not completed' WHEN c_custkey NOT IN (SELECT o_custkey FROM orders WHERE o_orderstatus = 'F') THEN 'no graph' ELSE 'ready' END AS verdict
+  FROM customer LEFT JOIN last ON job_id = c_custkey::VARCHAR"""

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from . import testdata as T
 from .functions import rules, text
-from .operators import coupling, graphalgos, jobs, lint, parsers, search
+from .operators import coupling, graphalgos, jobs, lint, parsers, search, selectors
 from .plans import graph, insights, memory, render
 from .sources import repository, store
 
@@ -312,6 +312,22 @@ def upsert_last_wins(spark, d):
     return store.merged(old, new, ("id",), ("made",))
 
 
+@query
+def insert_parties_if_absent(spark, d):
+    """Suppliers are there first; a customer comes in where no supplier has its number."""
+    old = T.table(spark, d, "supplier").select(F.col("s_suppkey").alias("id"), F.lit("supplier").alias("from"))
+    new = T.table(spark, d, "customer").select(F.col("c_custkey").alias("id"), F.lit("customer").alias("from"))
+    return old.unionByName(store.absent(old, new))
+
+
+@query
+def upsert_parties(spark, d):
+    """Customers over suppliers of the same number: the later label, the first maker."""
+    old = T.table(spark, d, "supplier").select(F.col("s_suppkey").alias("id"), F.col("s_name").alias("label"), F.lit("supplier").alias("made"))
+    new = T.table(spark, d, "customer").select(F.col("c_custkey").alias("id"), F.col("c_name").alias("label"), F.lit("customer").alias("made"))
+    return store.merged(old, new, ("id",), ("made",))
+
+
 @query
 def latest_state(spark, d):
     return jobs.latest(T.job_events(spark, d), "job_id", ["at", "seq"]).select("job_id", "status")
@@ -482,3 +498,92 @@ def api_spec(spark, d):
 def canvas_layout(spark, d):
     v = T.view(spark, d)
     return render.canvas_layout(v.files.select("job_id", "id", F.lit("File").alias("node_type")))
+
+
+# -- selectors --------------------------------------------------------------------------------------
+
+
+@query
+def node_selectors(spark, d):
+    r = T.table(spark, d, "region").select(F.lit("Repository").alias("node_type"), F.col("r_name").alias("label"))
+    n = T.table(spark, d, "nation").select(F.lit("Module").alias("node_type"), F.col("n_name").alias("label"))
+    c = T.table(spark, d, "customer").select(F.lit("File").alias("node_type"), F.col("c_name").alias("label"))
+    kind = F.col("node_type")
+    return r.unionByName(n).unionByName(c).select(selectors.display_label(kind, F.col("label")).alias("display"), selectors.is_entry_point(kind).alias("entry"))
+
+
+@query
+def dependency_edges(spark, d):
+    e = T.view(spark, d).edges
+    return e.groupBy("job_id", selectors.is_dependency(F.col("relationship")).alias("dependency")).agg(F.count(F.lit(1)).alias("n"))
+
+
+@query
+def node_properties(spark, d):
+    o = T.table(spark, d, "orders")
+    stored = F.when(F.col("o_orderstatus") == "F", F.concat(F.lit('{"lines": '), F.col("o_custkey"), F.lit(', "doc": "yes"}'))).when(F.col("o_orderstatus") == "O", "no json")
+    p = selectors.properties(stored)
+    return o.select("o_orderkey", F.size(p).alias("n"), p["lines"].alias("lines"))
+
+
+def order_issues(spark, d):
+    """An order is an issue: its status is the job, its priority the severity, its clerk the category."""
+    o = T.table(spark, d, "orders")
+    severity = F.element_at(F.array(*[F.lit(x) for x in selectors.SEVERITIES]), F.substring("o_orderpriority", 1, 1).cast("int"))
+    return o.select("o_orderkey", F.col("o_orderstatus").alias("job_id"), severity.alias("severity"), F.col("o_orderpriority").alias("category"))
+
+
+@query
+def severity_counts(spark, d):
+    return selectors.severity_counts(order_issues(spark, d))
+
+
+@query
+def issue_choices(spark, d):
+    i = order_issues(spark, d)
+    high = selectors.issues_at(selectors.chosen(i, job_id="F", category="all"), "high").select(F.lit("high").alias("choice"), "o_orderkey")
+    return high.unionByName(selectors.issues_at(i, "low").select(F.lit("low").alias("choice"), "o_orderkey"))
+
+
+@query
+def issue_categories(spark, d):
+    return selectors.categories(order_issues(spark, d)).select("job_id", F.array_join("categories", "|").alias("categories"))
+
+
+@query
+def issues_shown(spark, d):
+    return selectors.shown(order_issues(spark, d).select("o_orderkey", "severity"), ["o_orderkey"])
+
+
+@query
+def evidence_shown(spark, d):
+    names = ["threshold", "clerk", "suggestion", "cust", "status", "recommendation", "priority", "key", "last"]
+    values = ["9", "c", "s", "o_custkey", "o_orderstatus", "r", "o_orderpriority", "o_orderkey", "z"]
+    of = F.map_from_arrays(F.array(*[F.lit(x) for x in names]), F.array(*[F.col(x).cast("string") if x.startswith("o_") else F.lit(x) for x in values]))
+    shown = F.array_join(F.transform(selectors.evidence(of), lambda e: F.concat(e["key"], F.lit("="), e["value"])), ",")
+    return T.table(spark, d, "orders").select("o_orderkey", shown.alias("evidence"))
+
+
+@query
+def label_repeats(spark, d):
+    c = T.table(spark, d, "customer").select(F.col("c_nationkey").alias("job_id"), F.col("c_mktsegment").alias("label"), F.col("c_custkey").alias("id"))
+    return selectors.label_repeats(c).select("id", "same_label")
+
+
+@query
+def artifact_counts(spark, d):
+    return selectors.artifact_counts(T.table(spark, d, "orders").select(F.col("o_custkey").cast("string").alias("job_id")))
+
+
+@query
+def checked_tokens(spark, d):
+    p = T.table(spark, d, "part")
+    return p.select("p_partkey", F.array_join(selectors.checked_tokens(F.concat(F.lit("a To "), "p_name", F.lit("  Part"))), "|").alias("tokens"))
+
+
+@query
+def report_gate(spark, d):
+    last = jobs.latest(T.job_events(spark, d), "job_id", ["at", "seq"])
+    asked = T.table(spark, d, "customer").select(F.col("c_custkey").cast("string").alias("job_id"))
+    nodes = T.table(spark, d, "orders").where("o_orderstatus = 'F'").select(F.col("o_custkey").cast("string").alias("job_id"))
+    return selectors.gate(asked, last, nodes)

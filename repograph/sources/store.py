@@ -1,8 +1,8 @@
 """Tables of the engine as Parquet folders: scans by job, appends, upserts and deletes without MERGE.
 
-Tables are partitioned by job, so a scan or delete of a job touches its own files only.  An upsert
-writes a new version of the table beside the old one and then moves a pointer file, so readers never
-see half of it; versions are kept until ``vacuum``.
+Tables are partitioned by job, so a scan or a ``delete_job`` touches that job's files only.  An upsert,
+update or delete by condition writes a new version of the table beside the old one and then moves a
+pointer file in one step, so readers never see half of it; versions are kept until ``vacuum``.
 """
 
 from __future__ import annotations
@@ -36,10 +36,16 @@ class Table:
             stream.close()
 
     def _point_to(self, version: str) -> None:
-        fs, path, _ = self._fs()
-        stream = fs.create(path, True)
+        fs, path, jvm = self._fs()
+        hadoop, gateway = jvm.org.apache.hadoop.fs, self.spark.sparkContext._gateway
+        beside = hadoop.Path(f"{self.path}/_next-{uuid.uuid4().hex}")
+        stream = fs.create(beside, True)
         stream.write(bytearray(version.encode()))
         stream.close()
+        kind = getattr(hadoop, "Options$Rename")
+        over = gateway.new_array(kind, 1)
+        over[0] = kind.OVERWRITE
+        hadoop.FileContext.getFileContext(fs.getUri(), self.spark.sparkContext._jsc.hadoopConfiguration()).rename(beside, path, over)
 
     def read(self) -> DataFrame:
         version = self._version()
@@ -84,6 +90,21 @@ class Table:
             self.replace(rows.where(~F.coalesce(condition, F.lit(False))))
         return n
 
+    def delete_job(self, job_id: str) -> int:
+        """Removes the folder of one job from the current version; returns how many rows it had.
+
+        Other jobs' files are neither read nor written.  Readers that have already listed the folder fail.
+        """
+        if self.partition != "job_id":
+            return self.delete(F.col("job_id") == job_id)
+        version = self._version()
+        n = self.read().where(F.col("job_id") == job_id).count()
+        if n:
+            fs, _, jvm = self._fs()
+            name = jvm.org.apache.spark.sql.catalyst.catalog.ExternalCatalogUtils.getPartitionPathString("job_id", job_id)
+            fs.delete(jvm.org.apache.hadoop.fs.Path(f"{self.path}/{version}", name), True)
+        return n
+
     def vacuum(self) -> None:
         """Removes versions that are not current."""
         fs, path, jvm = self._fs()
@@ -94,6 +115,12 @@ class Table:
                 fs.delete(status.getPath(), True)
 
 
+def delete_graph(nodes: Table, edges: Table, job_id: str) -> tuple[int, int]:
+    """Removes a job's edges, then its nodes; how many nodes and edges there were."""
+    n_edges = edges.delete_job(job_id)
+    return nodes.delete_job(job_id), n_edges
+
+
 def absent(old: DataFrame, new: DataFrame, key: str = "id") -> DataFrame:
     """Rows whose key is not there yet, one for each key."""
     return new.dropDuplicates([key]).join(old.select(key), key, "left_anti").select(new.columns)

@@ -21,10 +21,15 @@ def ready(spark: SparkSession) -> SparkSession:
 
 
 def cut(df: DataFrame) -> DataFrame:
-    """A reliable checkpoint in ``spark.checkpoint.dir``, or in a folder of our own where that is unset."""
+    """A reliable checkpoint in ``spark.checkpoint.dir``, or in local mode in a folder of our own where that is unset."""
     context = df.sparkSession.sparkContext
     if not context.getCheckpointDir():
-        context.setCheckpointDir(context.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp(prefix="repograph-"))
+        told = context.getConf().get("spark.checkpoint.dir")
+        if not told:
+            if not context.master.startswith("local") or context.master.startswith("local-cluster"):
+                raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+            told = tempfile.mkdtemp(prefix="repograph-")
+        context.setCheckpointDir(told)
     return df.checkpoint(eager=True)
 
 

@@ -5,7 +5,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from repograph.operators import coupling, graphalgos, jobs, parsers
+from repograph.operators import coupling, graphalgos, jobs, parsers, selectors
 from repograph.plans import graph, insights
 from repograph.sources import repository, store
 
@@ -129,6 +129,29 @@ def test_store_round_trip(spark, tmp_path):
     assert t.read().count() == 2
 
 
+def test_delete_graph_touches_one_job(spark, tmp_path):
+    schema = "job_id string, id string"
+    nodes, edges = (store.Table(spark, str(tmp_path / name), schema) for name in ("nodes", "edges"))
+    odd = "a/b=c d"
+    nodes.append(spark.createDataFrame([(odd, "1"), (odd, "2"), ("other", "3")], schema))
+    edges.append(spark.createDataFrame([(odd, "e"), ("other", "f")], schema))
+    assert store.delete_graph(nodes, edges, odd) == (2, 1) and store.delete_graph(nodes, edges, odd) == (0, 0)
+    assert [r.id for r in nodes.read().collect()] == ["3"] and [r.id for r in edges.read().collect()] == ["f"]
+
+
+def test_selectors(spark):
+    one = lambda value, schema: spark.createDataFrame(value, schema)
+    p = one([('{"a": 1, "b": {"c": 2}}',), ("[1]",), ("{bad",), (None,), ("",)], "p string").select(selectors.properties(F.col("p")).alias("p"))
+    assert [r.p for r in p.collect()] == [{"a": "1", "b": '{"c":2}'}, {}, {}, {}, {}]
+    with pytest.raises(Exception, match="too short"):
+        one([("is it",)], "q string").select(selectors.checked_tokens(F.col("q"))).collect()
+    e = one([({"threshold": "1", "x": "2"},), (None,)], "e map<string,string>").select(selectors.evidence(F.col("e")).alias("e"))
+    assert [[tuple(x) for x in r.e] for r in e.collect()] == [[("x", "2")], []]
+    asked, done = one([("a",), ("b",), ("c",), ("d",)], "job_id string"), one([("a", "completed"), ("b", "failed"), ("c", "completed")], "job_id string, status string")
+    verdicts = dict(map(tuple, selectors.gate(asked, done, one([("a",), ("a",), ("b",)], "job_id string")).collect()))
+    assert verdicts == {"a": "ready", "b": "not completed", "c": "no graph", "d": "missing"}
+
+
 def test_missing_ends_are_errors(spark):
     nodes = spark.createDataFrame([("j", "a")], "job_id string, id string")
     with pytest.raises(Exception, match="no such node"):
