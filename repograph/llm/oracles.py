@@ -69,4 +69,47 @@ SELECT page_id, payload_bytes, payload_digest,
 FROM b
 """
 
-SQL: dict[str, str] = {"op1_vafile_topk": OP1, "op5_ngram_jaccard_join": OP5, "op10_warc": OP10}
+# The strings of all n-grams, and their CRCs byte by byte.
+OP11 = r"""
+WITH RECURSIVE bits(b, k, c) AS (
+  SELECT b, 0, CAST(b AS UINTEGER) FROM range(256) r(b)
+  UNION ALL
+  SELECT b, k + 1, CASE WHEN c & 1 = 1 THEN xor(c >> 1, CAST(3988292384 AS UINTEGER)) ELSE c >> 1 END FROM bits WHERE k < 8
+), crc_table AS MATERIALIZED (
+  SELECT list(c ORDER BY b) AS t FROM bits WHERE k = 8
+), docs AS (
+  SELECT doc_id, row_number() OVER () AS row_no, text FROM documents
+), words AS (
+  SELECT 'd' AS side, row_no AS row_no, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM docs
+  UNION ALL
+  SELECT 'b', NULL, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') FROM benchmark
+), grams AS (
+  SELECT side, row_no, unnest(list_concat(w, list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1]), list_transform(range(1, len(w) - 1), lambda i: w[i] || ' ' || w[i + 1] || ' ' || w[i + 2]))) AS gram
+  FROM words
+), counted AS MATERIALIZED (
+  SELECT side, row_no, gram, count(*) AS n FROM grams GROUP BY ALL
+), hexed AS (
+  SELECT gram, hex(encode(gram)) AS h FROM (SELECT DISTINCT gram FROM counted)
+), bucketed AS MATERIALIZED (
+  SELECT gram, xor(list_reduce(list_transform(range(1, len(h), 2), lambda i: CAST('0x' || h[i:i + 1] AS UINTEGER)),
+           lambda c, x: xor(c >> 8, t[1 + CAST(xor(c & 255, x) AS INTEGER)]), CAST(4294967295 AS UINTEGER)), CAST(4294967295 AS UINTEGER)) % 10000 AS bucket
+  FROM hexed, crc_table
+), totals AS (
+  SELECT bucket, coalesce(sum(n) FILTER (side = 'd'), 0) AS s, coalesce(sum(n) FILTER (side = 'b'), 0) AS t FROM counted JOIN bucketed USING (gram) GROUP BY bucket
+), sums AS (
+  SELECT coalesce(sum(s), 0) AS s_all, coalesce(sum(t), 0) AS t_all FROM totals
+), gains AS (
+  SELECT bucket, floor(1000 * ln((CAST(t AS DOUBLE) + 1) * (CAST(s_all AS DOUBLE) + 10000) / ((CAST(s AS DOUBLE) + 1) * (CAST(t_all AS DOUBLE) + 10000)))) AS gain FROM totals, sums
+), weighed AS (
+  SELECT row_no, CAST(sum(n * gain) AS BIGINT) AS weight, CAST(sum(n) AS BIGINT) AS n_features FROM counted JOIN bucketed USING (gram) JOIN gains USING (bucket) WHERE side = 'd' GROUP BY row_no
+), scored AS (
+  SELECT d.doc_id, len(w.w) AS n_words, coalesce(n_features, 0) AS n_features, coalesce(weight, 0) AS weight,
+    coalesce(weight, 0) + CAST(floor(-1000 * ln(-ln((CAST(CAST('0x' || substr(sha256('42:' || coalesce(CAST(d.doc_id AS VARCHAR), 'null')), 1, 8) AS BIGINT) AS DOUBLE) + 0.5) / 4294967296.0))) AS BIGINT) AS score
+  FROM docs d JOIN words w ON w.row_no = d.row_no LEFT JOIN weighed x ON x.row_no = d.row_no
+), placed AS (
+  SELECT *, row_number() OVER (PARTITION BY n_words >= 20 ORDER BY score DESC, doc_id, n_features) AS place, count(*) FILTER (n_words >= 20) OVER () AS able FROM scored
+)
+SELECT doc_id, n_features, weight, score, CASE WHEN n_words >= 20 AND place <= 5 * able // 100 THEN place END AS rank, CAST(n_words AS BIGINT) AS n_words FROM placed
+"""
+
+SQL: dict[str, str] = {"op1_vafile_topk": OP1, "op5_ngram_jaccard_join": OP5, "op10_warc": OP10, "op11_importance_resampling": OP11}

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import jpeg, packing, pii, quality, secrets, setjoin, spm, tokencount, vafile, warc
+from . import importance, jpeg, packing, pii, quality, secrets, setjoin, spm, tokencount, vafile, warc
 from .support import load
 
 TOKENIZER = "byte_bpe_50k.json"
@@ -59,5 +59,9 @@ def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.archive(load(spark, sf_dir, "pages"), least_bytes=0).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 
+def op11_importance_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return importance.resample(load(spark, sf_dir, "documents"), load(spark, sf_dir, "benchmark"), share=(5, 100), least_words=20, buckets=10_000, seed=42)
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_vafile_topk, op2_pii_weak_supervision, op3_token_counts, op4_jpeg_media, op5_ngram_jaccard_join, op6_mixture_packing, op7_nbsvm_quality, op8_streaming_sentencepiece, op9_markov_secrets, op10_warc)}
+    return {f.__name__: f for f in (op1_vafile_topk, op2_pii_weak_supervision, op3_token_counts, op4_jpeg_media, op5_ngram_jaccard_join, op6_mixture_packing, op7_nbsvm_quality, op8_streaming_sentencepiece, op9_markov_secrets, op10_warc, op11_importance_resampling)}
