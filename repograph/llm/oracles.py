@@ -112,4 +112,32 @@ WITH RECURSIVE bits(b, k, c) AS (
 SELECT doc_id, n_features, weight, score, CASE WHEN n_words >= 20 AND place <= 5 * able // 100 THEN place END AS rank, CAST(n_words AS BIGINT) AS n_words FROM placed
 """
 
-SQL: dict[str, str] = {"op1_vafile_topk": OP1, "op5_ngram_jaccard_join": OP5, "op10_warc": OP10, "op11_importance_resampling": OP11}
+# A run of D is forced, as no row is both D and U; P is the last fitting row from the second U to the row after the last.
+OP13 = r"""
+WITH o AS (
+  SELECT client_id, click_id, ts, kind, CASE WHEN isfinite(value) THEN CAST(floor(100 * value + 0.5) AS BIGINT) END AS cents,
+         row_number() OVER (PARTITION BY client_id ORDER BY ts, click_id NULLS FIRST) AS rn
+  FROM (SELECT DISTINCT * FROM clicks WHERE client_id IS NOT NULL AND ts IS NOT NULL)
+), f AS (
+  SELECT client_id, rn, click_id, cents, near AND cents < old AND kind <> 'error' AS d, near AND cents > old AND kind <> 'error' AS u,
+         near AND kind = 'click' AND cents IS NOT NULL AS p, sum(coalesce(cents, 0)) OVER (PARTITION BY client_id ORDER BY rn) AS upto
+  FROM (SELECT *, lag(cents) OVER w AS old, ts - lag(ts) OVER w <= INTERVAL 5 MINUTE AS near FROM o WINDOW w AS (PARTITION BY client_id ORDER BY rn))
+), d AS (
+  SELECT client_id, rn, max(rn) OVER (PARTITION BY client_id, island) AS last_d
+  FROM (SELECT client_id, rn, rn - row_number() OVER (PARTITION BY client_id ORDER BY rn) AS island FROM f WHERE d)
+), u AS (
+  SELECT client_id, rn, max(rn) OVER (PARTITION BY client_id, island) AS last_u
+  FROM (SELECT client_id, rn, rn - row_number() OVER (PARTITION BY client_id ORDER BY rn) AS island FROM f WHERE u)
+), v AS (
+  SELECT a.client_id, a.rn, a.click_id AS first_id, a.cents, a.upto - a.cents AS before, last_d, last_u
+  FROM f a JOIN d ON d.client_id = a.client_id AND d.rn = a.rn + 1 JOIN u ON u.client_id = a.client_id AND u.rn = d.last_d + 1 WHERE a.cents IS NOT NULL
+), m AS (
+  SELECT v.*, p.rn AS last_rn, p.click_id AS last_id, p.upto, row_number() OVER (PARTITION BY v.client_id, v.rn ORDER BY p.rn DESC) AS best
+  FROM v JOIN f p ON p.client_id = v.client_id AND p.rn BETWEEN v.last_d + 2 AND v.last_u + 1 AND p.p AND p.cents >= v.cents
+)
+SELECT client_id, row_number() OVER (PARTITION BY client_id ORDER BY rn) AS match_no, first_id, last_id, last_rn - rn + 1 AS n_rows,
+       CAST(upto - before AS BIGINT) AS sum_cents, sha256('A' || repeat('D', last_d - rn) || repeat('U', last_rn - last_d - 1) || 'P') AS labels_sha256
+FROM m WHERE best = 1
+"""
+
+SQL: dict[str, str] = {"op1_vafile_topk": OP1, "op5_ngram_jaccard_join": OP5, "op10_warc": OP10, "op11_importance_resampling": OP11, "op13_row_patterns": OP13}
