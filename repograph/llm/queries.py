@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import importance, jpeg, packing, pii, quality, rowmatch, secrets, setjoin, spm, tokencount, vafile, warc
+from . import importance, jpeg, packing, perplexity, pii, quality, rowmatch, secrets, setjoin, spm, tokencount, vafile, warc
 from .support import load
 
 TOKENIZER = "byte_bpe_50k.json"
@@ -63,10 +63,14 @@ def op11_importance_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
     return importance.resample(load(spark, sf_dir, "documents"), load(spark, sf_dir, "benchmark"), share=(5, 100), least_words=20, buckets=10_000, seed=42)
 
 
+def op12_kneser_ney_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return perplexity.judge(load(spark, sf_dir, "documents"))
+
+
 def op13_row_patterns(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = rowmatch.match(load(spark, sf_dir, "clicks"), "A D+ U+ P", gap_seconds=300)
     return found.select("client_id", "match_no", "first_id", "last_id", "n_rows", "sum_cents", F.sha2("labels", 256).alias("labels_sha256"))
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_vafile_topk, op2_pii_weak_supervision, op3_token_counts, op4_jpeg_media, op5_ngram_jaccard_join, op6_mixture_packing, op7_nbsvm_quality, op8_streaming_sentencepiece, op9_markov_secrets, op10_warc, op11_importance_resampling, op13_row_patterns)}
+    return {f.__name__: f for f in (op1_vafile_topk, op2_pii_weak_supervision, op3_token_counts, op4_jpeg_media, op5_ngram_jaccard_join, op6_mixture_packing, op7_nbsvm_quality, op8_streaming_sentencepiece, op9_markov_secrets, op10_warc, op11_importance_resampling, op12_kneser_ney_rules, op13_row_patterns)}
