@@ -348,7 +348,7 @@ def match(clicks: DataFrame, pattern: str = "A D+ U+ P", gap_seconds: int = 300)
     last_part = heads.agg(F.max("part")).first()[0]
     found, opened = [first.where("what = 'match'")], first.where("what = 'open'")
     while last_part is not None and opened.limit(1).count():
-        again = opened.select("part", "state").join(heads, "part", "left").mapInArrow(next_pass(pattern, gap, last_part), FOUND)
+        again = opened.select("part", "state").join(heads.hint("merge"), "part", "left").mapInArrow(next_pass(pattern, gap, last_part), FOUND)
         again = support.table(again, "rowmatch")
         found.append(again.where("what = 'match'"))
         opened = again.where("what = 'open'")
@@ -359,5 +359,5 @@ def match(clicks: DataFrame, pattern: str = "A D+ U+ P", gap_seconds: int = 300)
     placed = matches.withColumn("own", F.row_number().over(Window.partitionBy(*own).orderBy("place")))
     counts = matches.groupBy(*own).agg(F.count(F.lit(1)).alias("n"))
     before = counts.select(*own, (F.sum("n").over(Window.partitionBy("client_id").orderBy("part")) - F.col("n")).alias("before"))
-    numbers = placed.join(before, own)
+    numbers = placed.join(before.hint("merge"), own)  # dealt and sorted alike; never broadcast, as it grows with the clients
     return numbers.select("client_id", (F.col("before") + F.col("own")).alias("match_no"), "first_id", "last_id", "n_rows", "sum_cents", "labels")
