@@ -38,6 +38,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -83,28 +84,23 @@ LOWER = np.arange(256, dtype=np.uint8)
 LOWER[ord("A") : ord("Z") + 1] += 32
 SPACE = np.zeros(256, bool)
 SPACE[[9, 10, 11, 12, 13, 32]] = True
-LETTER = mix(np.arange(256, dtype=np.uint64) + U(1))
 STEP = U(0x9E3779B97F4A7C15)
-BACK = U(pow(0x9E3779B97F4A7C15, -1, 1 << 64))
+LEFT = np.array([(1 << 8 * n) - 1 for n in range(8)] + [(1 << 64) - 1], np.uint64)  # the first n bytes of eight
+SIDE_BY_SIDE = 64  # bytes of a word that are hashed in steps over all words; longer words go one by one
 
 
-def powers(base: np.uint64, n: int) -> np.ndarray:
-    out = np.full(n, base, np.uint64)
-    out[:1] = 1
-    return np.multiply.accumulate(out)
-
-
-class Powers:
-    """Powers of the hash's base and of its inverse, grown as texts get longer."""
-
-    up = down = np.empty(0, np.uint64)
-
-    @classmethod
-    def of(cls, n: int) -> tuple[np.ndarray, np.ndarray]:
-        if len(cls.up) < n:
-            size = max(1 << 16, 1 << (n - 1).bit_length())
-            cls.up, cls.down = powers(STEP, size), powers(BACK, size)
-        return cls.up, cls.down
+def word_hashes(raw: np.ndarray, start: np.ndarray, length: np.ndarray) -> np.ndarray:
+    """64 bits of each word, eight bytes a step, each step mixed through; long words by xxhash."""
+    eights = np.ndarray(len(raw) + 1, "<u8", np.concatenate([raw, np.zeros(8, np.uint8)]).data, strides=(1,))
+    out = mix((length.astype(np.uint64) * STEP ^ (eights[start] & LEFT[np.minimum(length, 8)])) * STEP)
+    going, at = np.flatnonzero(length > 8), 8
+    while len(going) and at < SIDE_BY_SIDE:
+        left = length[going] - at
+        out[going] = mix((out[going] ^ (eights[start[going] + at] & LEFT[np.minimum(left, 8)])) * STEP + U(at))
+        going, at = going[left > 8], at + 8
+    for i in going:
+        out[i] = xxhash.xxh3_64_intdigest(raw[start[i] : start[i] + length[i]].tobytes())
+    return out
 
 
 def shingles(text: str, width: int) -> np.ndarray:
@@ -119,10 +115,7 @@ def shingles(text: str, width: int) -> np.ndarray:
     if not len(edge):
         return np.empty(0, np.uint64)
     start, end = edge[::2], edge[1::2]
-    up, down = Powers.of(len(raw) + 1)
-    sums = np.zeros(len(raw) + 1, np.uint64)
-    np.cumsum(LETTER[LOWER[raw]] * up[: len(raw)], out=sums[1:])
-    words = mix((sums[end] - sums[start]) * down[start] + (end - start).astype(np.uint64))
+    words = word_hashes(LOWER[raw], start, end - start)
     if len(words) < width:
         width = len(words)
     out = words[: len(words) - width + 1]
