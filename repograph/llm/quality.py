@@ -183,7 +183,11 @@ def held_out(doc_id) -> F.Column:
 
 
 def fit(docs: DataFrame, labels: DataFrame, label_col: str = "quality", sample: int = 4000, bits: int = BITS) -> Model:
-    """Fits on the labelled documents that are not held out, at most ``sample`` of them."""
+    """Fits on the labelled documents that are not held out, at most ``sample`` pairs of id and label.
+
+    Of rows that repeat an id the one of the least text is taken, inside the plan, so at most ``sample`` rows of features, each
+    of at most 2**bits numbers, come to the driver.
+    """
     support.ready(docs.sparkSession)
     known = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col(label_col).cast("int").alias("label")).where(F.col("label").isin(0, 1) & F.col("doc_id").isNotNull() & ~held_out(F.col("doc_id")))
     chosen = known.distinct().orderBy(F.xxhash64("doc_id"), "doc_id", "label").limit(sample)
@@ -194,7 +198,8 @@ def fit(docs: DataFrame, labels: DataFrame, label_col: str = "quality", sample:
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(found, pa.binary())], ["doc_id", "label", "found"])
 
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
-    got = texts.join(F.broadcast(chosen), "doc_id").select("doc_id", "label", "text").mapInArrow(task, "doc_id long, label int, found binary").toArrow()
+    one_each = texts.join(F.broadcast(chosen), "doc_id").groupBy("doc_id", "label").agg(F.min("text").alias("text"))
+    got = one_each.mapInArrow(task, "doc_id long, label int, found binary").toArrow()
     rows = sorted(zip(got["doc_id"].to_pylist(), got["label"].to_pylist(), got["found"].to_pylist()))
     return train([np.frombuffer(r[2], np.int32) for r in rows], np.array([r[1] for r in rows]), bits)
 

@@ -185,7 +185,10 @@ def topk(data: DataFrame, is_query, k: int = 5, scale: float = 256.0, bits: int
     """
     spark = support.ready(data.sparkSession)
     rows = data.select(F.col(id_col).cast("long").alias("vec_id"), F.col(vec_col).alias("embedding"), is_query.alias("asks")).where("vec_id is not null and embedding is not null")
-    asked = rows.where("asks").select("vec_id", "embedding")
+    whole = F.transform("embedding", lambda x: F.floor(x.cast("double") * scale))
+    finite = F.forall("embedding", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf")))
+    able = rows.where("asks").where(finite)  # of rows that repeat an id and a length the least vector asks, chosen in the plan
+    asked = able.groupBy("vec_id", F.size("embedding").alias("size")).agg(F.min_by("embedding", whole).alias("embedding")).select("vec_id", "embedding")
     blocks = max(1, -(-asked.count() // query_block))
     file, parts = approximate(rows, k, scale, bits), []
     for b in range(blocks):
