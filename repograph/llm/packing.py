@@ -43,6 +43,7 @@ from .bytelevel import encoder
 MAX_QUEUES = 4096
 MOST_SOURCES = 1_000_000  # whose totals, some 50 MB, are sent to the tasks
 FEW_BASES = 200_000
+HELD = 1 << 21  # places of queues in windows that a task holds
 
 TOKENS = "doc_id long, queue string, block int, start long, n_tokens long, ids binary"
 PIECES = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
@@ -80,10 +81,17 @@ def served(taken: int, totals: list[int]) -> list[int]:
     def key(j: int, q: int):
         return Ratio(2 * j + 1, totals[q]), q
 
-    while over > 0:
-        _, q = max((key(given[q] - 1, q) for q in range(len(totals)) if given[q]), key=lambda k: k)
-        given[q] -= 1
-        over -= 1
+    if over > 0:
+        heap = [Last(*key(given[q] - 1, q)) for q in range(len(totals)) if given[q]]
+        heapq.heapify(heap)
+        while over > 0:
+            q = heap[0].queue
+            given[q] -= 1
+            over -= 1
+            if given[q]:
+                heapq.heapreplace(heap, Last(*key(given[q] - 1, q)))
+            else:
+                heapq.heappop(heap)
     if over < 0:
         heap = [(*key(given[q], q),) for q in range(len(totals)) if given[q] < totals[q]]
         heapq.heapify(heap)
@@ -112,6 +120,18 @@ class Ratio:
         return self.over * other.under < other.over * self.under
 
 
+class Last:
+    """A key in a heap that gives the greatest first."""
+
+    __slots__ = ("ratio", "queue")
+
+    def __init__(self, ratio: Ratio, queue: int):
+        self.ratio, self.queue = ratio, queue
+
+    def __lt__(self, other):
+        return (other.ratio, other.queue) < (self.ratio, self.queue)
+
+
 def phases(totals: list[int], weights: list[int]) -> list[tuple[int, list[int], list[int]]]:
     """(first token, tokens given before it, weights) of each phase; a phase ends where a queue would be served that has run out."""
     everything, rest, begin, out = sum(totals), list(totals), 0, []
@@ -137,8 +157,9 @@ class Layout:
         self.phases = phases(totals, weights) if weights else [(0, [0] * len(totals), totals)]
         self.natural = not weights and not within
         self.windows = within[0].windows if within else -(-self.all // self.tokens)
-        self.window = functools.lru_cache(4096)(self._window)
-        self.before = functools.lru_cache(4096)(self._before)
+        held = max(4, min(4096, HELD // max(len(totals), 1)))
+        self.window = functools.lru_cache(held)(self._window)
+        self.before = functools.lru_cache(held)(self._before)
 
     def taken(self, i: int) -> int:
         """How many tokens lie before window i."""
@@ -229,8 +250,12 @@ def queue_of(source: str | None) -> str:
     return "null" if source is None else f"={source}"
 
 
-def pack(docs: DataFrame, tokenizer_path: str, sequence: int = 1024, window: int = 64, end_id: int = 0, source_col: str = "source", targets: dict[str | None, int] | None = None) -> DataFrame:
-    """One row for each piece of a document in a sequence.  ``targets`` are whole weights by source (None: the null source)."""
+def pack(docs: DataFrame, tokenizer_path: str, sequence: int = 1024, window: int | None = None, end_id: int = 0, source_col: str = "source", targets: dict[str | None, int] | None = None) -> DataFrame:
+    """One row for each piece of a document in a sequence.  ``targets`` are whole weights by source (None: the null source).
+
+    ``window`` is in sequences.  If not given it is 64, or as many as there are sources if these are more: a source then has a sequence
+    of each window on average, so documents lie in few pieces and a window costs the same for each of its tokens.
+    """
     spark = support.ready(docs.sparkSession)
     text, source = F.coalesce(F.col("text").cast("string"), F.lit("")), F.col(source_col).cast("string")
     queue = F.coalesce(F.concat(F.lit("="), source), F.lit("null"))
@@ -239,6 +264,7 @@ def pack(docs: DataFrame, tokenizer_path: str, sequence: int = 1024, window: int
     totals = {r["queue"]: r["n"] for r in sums.groupBy("queue").agg(F.sum("n").alias("n")).orderBy("queue").limit(MOST_SOURCES + 1).collect()}
     if len(totals) > (MAX_QUEUES if targets else MOST_SOURCES):
         raise ValueError(f"{len(totals)} sources or more are beyond what can be mixed{' by targets' if targets else ''}")
+    window = window or max(64, len(totals))
     weights = {queue_of(s): w for s, w in targets.items()} if targets else None
     before = W.partitionBy("queue").orderBy("block").rowsBetween(W.unboundedPreceding, -1)
     bases = sums.select("queue", "block", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("base"))
