@@ -72,16 +72,20 @@ def numbered(df: DataFrame) -> DataFrame:
     return df.toDF(*[f"c{i}" for i in range(len(df.columns))])
 
 
-def pick(df: DataFrame, *names: str) -> list:
-    """Columns by their exact names, or where there is no such column by the first that differs in case only; others may clash."""
+def places(df: DataFrame, *names: str) -> list[int]:
+    """Where the columns of exactly these names are, or where there is no such column the first that differs in case only."""
     found = []
     for name in names:
         at = [i for i, c in enumerate(df.columns) if c == name] or [i for i, c in enumerate(df.columns) if c.lower() == name.lower()]
         if not at:
             raise ValueError(f"no column {name} among {df.columns}")
         found.append(at[0])
-    plain = numbered(df)
-    return [plain, *(F.col(f"c{i}").alias(name) for i, name in zip(found, names))]
+    return found
+
+
+def pick(df: DataFrame, *names: str) -> list:
+    """The frame with plain column names, and its columns of these names; others may clash."""
+    return [numbered(df), *(F.col(f"c{i}").alias(name) for i, name in zip(places(df, *names), names))]
 
 
 def load(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

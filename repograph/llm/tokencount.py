@@ -47,8 +47,8 @@ def special_strings(path: str) -> list[str]:
     with open(path, encoding="utf-8") as f:
         spec = json.load(f)
     pre = spec.get("pre_tokenizer") or {}
-    if pre.get("type") != "ByteLevel" or pre.get("add_prefix_space") or spec.get("normalizer"):
-        raise ValueError("token counts by pre-token take a byte-level BPE without normaliser or prefix space")
+    if pre.get("type") != "ByteLevel" or not pre.get("use_regex", True) or pre.get("add_prefix_space") or spec.get("normalizer"):
+        raise ValueError("token counts by pre-token take a byte-level BPE with its regex, without normaliser or prefix space")
     plain = [t for t in spec.get("added_tokens", []) if not (t["lstrip"] or t["rstrip"] or t["single_word"])]
     if len(plain) != len(spec.get("added_tokens", [])):
         raise ValueError("added tokens that strip their surroundings are not taken")
@@ -148,10 +148,10 @@ def cut_batches(path: str, size: int):
         for batch in batches:
             for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1)):
                 text = text.as_py()
-                held.add(doc_id, text, *cut(text))
-                if held.held >= size:
+                if held.rows and held.held + len(text) > size:
                     yield held.packed(number)
                     number, held = number + 1, Batch()
+                held.add(doc_id, text, *cut(text))
         if held.rows:
             yield held.packed(number)
 

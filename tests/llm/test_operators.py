@@ -3,6 +3,7 @@
 import base64
 import hashlib
 import random
+import time
 import re
 import zlib
 from collections import defaultdict
@@ -666,3 +667,49 @@ def test_warc_ignores_chance_magic():
     record = warc.record(1, "u", b"payload", warc.digest32(b"payload"), None, False)
     data = warc.MAGIC + b"junk" + record + warc.MAGIC * 3 + record
     assert [warc.parse(r)[1] for r in warc.members(io.BytesIO(data), 0, len(data))] == [b"payload"] * 2
+
+
+def test_words_that_a_polynomial_hash_confuses(spark):
+    """Thue-Morse words collide under any polynomial hash modulo 2**64; they share nothing."""
+    word = lambda bits, letters: "".join(letters[bin(i).count("1") & 1] for i in range(1 << bits))
+    texts = [word(bits, letters) for bits in (5, 6, 10, 11) for letters in ("ab", "ba")]
+    assert len({tuple(setjoin.shingles(t, 3)) for t in texts}) == len(texts)
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    assert {(r.doc_id, r.component_id) for r in setjoin.join(df).collect()} == {(i, i) for i in range(len(texts))}
+    rng = random.Random(2)
+    words = {"".join(rng.choice("abé") for _ in range(rng.randint(1, 90))) for _ in range(5000)}
+    assert len(setjoin.shingles(" ".join(words), 1)) == len(words)
+
+
+def test_labelled_rows_that_repeat_an_id(spark):
+    """However often an id repeats, at most ``sample`` rows of features come to the driver."""
+    docs = spark.createDataFrame([(7, f"good words number {i % 50}") for i in range(3000)] + [(i, f"text {i}") for i in range(20, 60)], "doc_id long, text string")
+    labels = spark.createDataFrame([(7, 1), (7, 0)] + [(i, i % 2) for i in range(20, 60)], "doc_id long, quality int")
+    seen = []
+    train, quality.train = quality.train, lambda rows, *more: seen.append(len(rows)) or train(rows, *more)
+    try:
+        quality.fit(docs, labels, sample=10)
+    finally:
+        quality.train = train
+    assert seen and max(seen) <= 10
+
+
+def test_queries_that_repeat_an_id(spark):
+    """Copies of a query's id are one query, the least vector, before anything comes to the driver."""
+    rows = [(50, [0.25 * (i % 7), 0.5]) for i in range(600)] + [(50, [float("nan"), 1.0]), (50, [1.0, 2.0, 3.0])] + [(i, [i / 100, 0.1]) for i in range(1, 30)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<float>")
+    got = [r for r in vafile.topk(df, F.col("vec_id") % 50 == 0, k=3, query_block=100).collect() if r.query_id == 50]
+    assert sorted((r.rank, r.vec_id) for r in got) == [(1, 1), (2, 2), (3, 3)]  # [0, 0.5]: all score alike
+
+
+def test_many_sources_cost_no_more(spark):
+    """The layout of 2000 sources is found in about the time of 20, and a source's tokens stay in order."""
+    took = {}
+    for n in (20, 2000):
+        totals = {f"={i}": 2_000_000 // n for i in range(n)}
+        began = time.perf_counter()
+        mixture = packing.Mixture(totals, 1024, max(64, n))
+        pieces = [p for i in range(0, n, n // 20) for p in mixture.pieces(f"={i}", 0, 1000)]
+        took[n] = time.perf_counter() - began
+        assert sum(p[1] for p in pieces) == 20_000 and len(pieces) <= 60
+    assert took[2000] < 2 * took[20] + 1.0

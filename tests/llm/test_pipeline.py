@@ -96,3 +96,25 @@ def test_run_is_its_stages(spark):
             assert offset == at
             at += n
         assert at == 1024 or k == max(spots)
+
+
+def test_stages_take_names_that_clash(spark):
+    """Names that differ in case from text, or that the stages use themselves; which of repeated rows stays is fixed."""
+    text = "token = abcdef0123 and more words of one text"
+    rows = [(1, text, "B", i, "x", 0.5, "d") for i in (9, 3, 7)] + [(2, text, "A", 1, "y", 0.1, "e"), (4, "other words here", None, 5, "z", 0.2, None)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, TEXT string, n_chars long, source string, score double, digest string").selectExpr("*", "1 as id", "2 as `__stage_id`", "3 as c0", "'q' as row")
+    labels = spark.createDataFrame([(i, i % 2, "t", 5) for i in range(5)], "doc_id long, quality int, text string, Quality int")
+    spark.conf.set("spark.sql.caseSensitive", "true")
+    try:
+        good, kept, clean = stages.keep_good(df, labels, threshold=0.0), stages.keep_one_of_each(df), stages.redacted(df)
+        assert good.columns == kept.columns == clean.columns == df.columns
+        assert sorted(map(tuple, good.collect()), key=str) == sorted(map(tuple, df.collect()), key=str)
+        assert sorted((r.doc_id, r.n_chars, r.TEXT) for r in kept.collect()) == [(1, 3, "B"), (4, 5, None)]
+        assert {(r.doc_id, r.text, r.TEXT, r.n_chars) for r in clean.collect()} == {(i, "[SECRET] and more words of one text", t, 35) for i, t in ((1, "B"), (2, "A"))} | {(4, "other words here", None, 16)}
+        assert stages.packed(df, tokenizer_path()).count() >= 5
+        upper = df.select("doc_id", "text", "n_chars", "source").toDF("DOC_ID", "TEXT", "N_CHARS", "Source")
+    finally:
+        spark.conf.set("spark.sql.caseSensitive", "false")
+    assert stages.keep_one_of_each(df).count() == 2 and stages.redacted(df).count() == 5  # by position, so clashes do not matter
+    assert stages.keep_one_of_each(upper).columns == stages.redacted(upper).columns == upper.columns
+    assert stages.keep_one_of_each(upper).count() == 2
