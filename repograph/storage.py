@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import os
 import tempfile
+import uuid
 
 from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession
@@ -20,19 +21,39 @@ def ready(spark: SparkSession) -> SparkSession:
     return spark
 
 
-def cut(df: DataFrame) -> DataFrame:
-    """A reliable checkpoint in ``spark.checkpoint.dir``, or in local mode in a folder of our own where that is unset."""
-    context = df.sparkSession.sparkContext
+def shared_dir(spark: SparkSession) -> str:
+    """The folder all executors share: ``spark.checkpoint.dir``, or in local mode one of our own where that is unset."""
+    context = spark.sparkContext
+    told = context.getConf().get("spark.checkpoint.dir") or context.getCheckpointDir()
+    if not told:
+        if not context.master.startswith("local") or context.master.startswith("local-cluster"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        told = tempfile.mkdtemp(prefix="repograph-")
     if not context.getCheckpointDir():
-        told = context.getConf().get("spark.checkpoint.dir")
-        if not told:
-            if not context.master.startswith("local") or context.master.startswith("local-cluster"):
-                raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
-            told = tempfile.mkdtemp(prefix="repograph-")
         context.setCheckpointDir(told)
+    return told.rstrip("/")
+
+
+def cut(df: DataFrame) -> DataFrame:
+    """A reliable checkpoint in the shared folder."""
+    shared_dir(df.sparkSession)
     return df.checkpoint(eager=True)
 
 
+def table(df: DataFrame, label: str, by: list[str] | None = None) -> DataFrame:
+    """``df`` written once as Parquet in the shared folder, in folders by the columns ``by``, and read again."""
+    spark = df.sparkSession
+    path = f"{shared_dir(spark)}/repograph-{label}-{uuid.uuid4().hex}"
+    writer = df.write.option("compression", "zstd")
+    (writer.partitionBy(*by) if by else writer).parquet(path)
+    return spark.read.parquet(path) if by else spark.read.schema(df.schema).parquet(path)
+
+
+def written(df: DataFrame) -> DataFrame:
+    """Cuts the lineage by a written table: for loops, as a checkpoint keeps what the planner has inferred of its columns, which grows in each round."""
+    return table(df, "step")
+
+
 def keep(df: DataFrame) -> DataFrame:
     """Held in memory and on disk while plans read it; lost parts are computed again."""
     return df.persist(StorageLevel.MEMORY_AND_DISK)
