@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from .functions.text import STOP_WORDS
 from .testdata import PATH_SQL
 
 SQL: dict[str, str] = {}
@@ -162,6 +163,19 @@ SQL["instability_avg"] = f"""WITH {NATIONS}, n AS (SELECT s AS id FROM e UNION S
 SQL["inheritance_depth"] = """WITH RECURSIVE c AS (SELECT p_partkey AS id, p_partkey // 2 AS parent, 1 AS depth FROM part WHERE p_partkey > 1 UNION ALL SELECT c.id, c.parent // 2, depth + 1 FROM c WHERE c.parent > 1)
   SELECT CAST(id AS VARCHAR) AS id, CAST(max(depth) AS INTEGER) AS depth FROM c GROUP BY 1"""
 
+# The least node on any cycle, how far all nodes are from it, and the first by names of the shortest ways back.
+SQL["first_cycle_steps"] = f"""WITH RECURSIVE {NATIONS}, r AS (SELECT s, t FROM e UNION SELECT r.s, e.t FROM r JOIN e ON r.t = e.s),
+  root AS (SELECT min(s) AS root FROM r WHERE s = t), far AS (SELECT root AS node, 0 AS n FROM root UNION SELECT e.t, n + 1 FROM far JOIN e ON e.s = far.node WHERE n < 30),
+  near AS (SELECT node, min(n) AS n FROM far GROUP BY 1), size AS (SELECT min(n) + 1 AS n FROM near JOIN e ON e.s = near.node JOIN root ON e.t = root),
+  way AS (SELECT [root] AS path FROM root UNION ALL SELECT list_append(path, near.node) FROM way JOIN e ON e.s = path[-1] JOIN near ON near.node = e.t AND near.n = len(path) WHERE len(path) < (SELECT n FROM size)),
+  found AS (SELECT list_append(path, root) AS cycle FROM way JOIN e ON e.s = path[-1] JOIN root ON e.t = root WHERE len(path) = (SELECT n FROM size) ORDER BY cycle LIMIT 1)
+  SELECT 'nations' AS job_id, CAST(i - 1 AS INTEGER) AS place, cycle[i] AS node FROM found, LATERAL (SELECT unnest(range(1, len(cycle) + 1)) AS i)"""
+SQL["click_chain_depth"] = """SELECT job_id, id, depth FROM (SELECT CAST(client_id AS VARCHAR) AS job_id, CAST(click_id AS VARCHAR) AS id, CAST(row_number() OVER (PARTITION BY client_id ORDER BY ts, click_id) - 1 AS INTEGER) AS depth
+  FROM (SELECT DISTINCT client_id, ts, click_id FROM clicks WHERE client_id IS NOT NULL AND ts IS NOT NULL AND click_id IS NOT NULL)) WHERE depth > 0"""
+SQL["single_parent_depth"] = """WITH RECURSIVE par AS (SELECT p_partkey AS k, (p_partkey * p_partkey + 1) % (SELECT max(p_partkey) FROM part) + 1 AS parent FROM part),
+  w AS (SELECT k, parent AS there, [k] AS seen FROM par UNION ALL SELECT w.k, par.parent, list_append(seen, w.there) FROM w JOIN par ON par.k = w.there WHERE NOT list_contains(seen, w.there))
+  SELECT CAST(k AS VARCHAR) AS id, max(CASE WHEN list_contains(seen, there) THEN len(seen) - 1 ELSE len(seen) END) AS depth FROM w GROUP BY 1"""
+
 # -- store, jobs, search ----------------------------------------------------------------------
 SQL["insert_if_absent"] = """SELECT c_custkey AS id, CASE WHEN c_custkey % 3 = 0 THEN 'old' ELSE 'new' END AS "from" FROM customer WHERE c_custkey % 3 = 0 OR c_custkey % 2 = 0"""
 SQL["upsert_last_wins"] = "SELECT c_custkey AS id, CASE WHEN c_custkey % 2 = 0 THEN 'new' ELSE 'old' END AS label, CASE WHEN c_custkey % 3 = 0 THEN 'first' ELSE 'later' END AS made FROM customer WHERE c_custkey % 3 = 0 OR c_custkey % 2 = 0"
@@ -182,6 +196,12 @@ WORDS = lambda words, parts: " + ".join(f"{w} * (CASE WHEN contains(lower({f}),
 SQL["keyword_search"] = f"""{REPO}, s AS (SELECT job_id, doc_id AS id, {WORDS(["order", "service", "test", "router"], [(NAME, 3), ("source", 2), ("path", 1)])} AS score FROM repo)
   SELECT job_id, id, CAST(score AS INTEGER) AS score, CAST(rn AS INTEGER) AS rank FROM (SELECT *, row_number() OVER (PARTITION BY job_id ORDER BY score DESC, id) AS rn FROM s WHERE score > 0) WHERE rn <= 8"""
 SQL["fact_search"] = f"WITH s AS (SELECT doc_id AS id, {WORDS(['src1', 'the', 'router'], [('source', 3), ('text', 2), (PATH_SQL, 1)])} AS score FROM documents) SELECT id, CAST(score AS INTEGER) AS score FROM s WHERE score > 0 ORDER BY score DESC, id LIMIT 10"
+STOPPED = ", ".join(f"'{w}'" for w in STOP_WORDS)
+SQL["indexed_facts"] = f"""WITH q AS (SELECT item_id, unnest(list_filter(regexp_split_to_array(lower(regexp_replace(text, '[?,]', '', 'g')), '\\s+'), lambda w: length(w) > 2 AND NOT list_contains([{STOPPED}], w))) AS w FROM benchmark),
+  d AS (SELECT doc_id, lang, lower(coalesce(text, '')) AS t, lower(coalesce(source, '')) AS s, lower({PATH_SQL}) AS p FROM documents),
+  s AS (SELECT item_id AS question, lang AS repo_url, doc_id AS id, sum(3 * contains(s, w)::INT + 2 * contains(t, w)::INT + contains(p, w)::INT) AS score FROM q, d GROUP BY ALL HAVING score > 0)
+  SELECT question, repo_url, id, CAST(score AS INTEGER) AS score, CAST(rank AS INTEGER) AS rank FROM (SELECT *, row_number() OVER (PARTITION BY question, repo_url ORDER BY score DESC, id) AS rank FROM s) WHERE rank <= 10"""
+SQL["streamed_job_states"] = SQL["job_transitions"]
 SQL["chat_window"] = "SELECT conv_id AS session_id, turn AS id, role, CAST(rn AS INTEGER) AS back FROM (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn DESC) AS rn FROM conversations) WHERE rn BETWEEN 2 AND 6"
 SQL["intent_routing"] = "SELECT conv_id, turn, CASE WHEN regexp_matches(lower(text), 'what|describe|explain') THEN 'context' WHEN regexp_matches(lower(text), 'how many|count|total') THEN 'counts' ELSE 'context' END AS intent FROM conversations WHERE role = 'user'"
 SQL["page_braces"] = """SELECT page_id, CAST(coalesce(list_max(list_transform(range(1, length(b) + 1), lambda i: length(replace(b[1:i], '}', '')) - length(replace(b[1:i], '{', '')))), 0) AS INTEGER) AS depth, CAST(len(regexp_extract_all(html, '&&|\\|\\|')) AS INTEGER) AS tokens

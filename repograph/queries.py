@@ -8,11 +8,13 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from . import storage
 from . import testdata as T
 from .functions import rules, text
-from .operators import coupling, graphalgos, jobs, lint, parsers, search, selectors
+from .operators import coupling, graphalgos, jobs, lint, parsers, retrieval, search, selectors
 from .plans import graph, insights, memory, render
 from .sources import repository, store
+from .streaming import jobs as live
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 
@@ -293,6 +295,21 @@ def inheritance_depth(spark, d):
     return graphalgos.chain_depth(T.inheritance(spark, d)).select("id", "depth")
 
 
+@query
+def first_cycle_steps(spark, d):
+    return graphalgos.first_cycle(T.nation_graph(spark, d)).select("job_id", F.posexplode("cycle").alias("place", "node"))
+
+
+@query
+def click_chain_depth(spark, d):
+    return graphalgos.chain_depth(T.click_chain(spark, d)).select("job_id", "id", "depth")
+
+
+@query
+def single_parent_depth(spark, d):
+    return graphalgos.single_parent_depth(T.parent_parts(spark, d)).select("id", "depth")
+
+
 # -- store, jobs, memory, search --------------------------------------------------------------------
 
 
@@ -361,6 +378,20 @@ def fact_search(spark, d):
     return search.search_facts(T.facts(spark, d), text.search_tokens(F.lit("SRC1 the router an")), k=10).select("id", "score")
 
 
+@query
+def indexed_facts(spark, d):
+    index = retrieval.build(T.facts(spark, d), {"source_symbol": 3, "text": 2, "source_file": 1}, group_col="repo_url")
+    return retrieval.search(index, T.questions(spark, d), k=10).select("question", F.col("group").alias("repo_url"), "id", "score", "rank")
+
+
+@query
+def streamed_job_states(spark, d):
+    """The events table as a stream of micro-batches, folded with timers and a watermark that covers its disorder."""
+    source = storage.table(T.job_events(spark, d).withColumn("at", F.col("at").cast("timestamp")), "events")
+    events = live.read_events(spark, source.written_to)
+    return live.run_states(events, late="60 days")
+
+
 @query
 def chat_window(spark, d):
     m = T.table(spark, d, "conversations").select(F.col("conv_id").alias("session_id"), F.col("turn").alias("created_at"), F.col("turn").alias("id"), "role", F.col("text").alias("content"))

@@ -46,7 +46,9 @@ def table(df: DataFrame, label: str, by: list[str] | None = None) -> DataFrame:
     path = f"{shared_dir(spark)}/repograph-{label}-{uuid.uuid4().hex}"
     writer = df.write.option("compression", "zstd")
     (writer.partitionBy(*by) if by else writer).parquet(path)
-    return spark.read.parquet(path) if by else spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out.written_to = path
+    return out
 
 
 def written(df: DataFrame) -> DataFrame:

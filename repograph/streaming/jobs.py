@@ -87,7 +87,7 @@ class JobFold(StatefulProcessor):
         for at, seq, _ in final:
             self.waiting.removeKey((at, seq))
         state = folded(state, [e[2] for e in final])
-        if not final and passed >= last + self.expiry_ms and state[0] in TERMINAL:
+        if not self.waiting.exists() and passed >= last + self.expiry_ms and state[0] in TERMINAL:
             self.settled.clear()
         else:
             self.settled.update((*state, last))

@@ -9,8 +9,11 @@ from __future__ import annotations
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from .functions import text
+
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
@@ -125,3 +128,24 @@ def job_events(spark: SparkSession, d: str) -> DataFrame:
 
 def facts(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "documents").select(F.col("doc_id").alias("id"), F.col("lang").alias("repo_url"), "text", F.col("source").alias("source_symbol"), F.expr(PATH_SQL).alias("source_file"))
+
+
+def click_chain(spark: SparkSession, d: str) -> DataFrame:
+    """Each click leads to its client's click before it: a chain for each client, the job."""
+    rows = table(spark, d, "clicks").where("client_id is not null and ts is not null and click_id is not null").select("client_id", "ts", "click_id").distinct()
+    before = F.lag("click_id").over(W.partitionBy("client_id").orderBy("ts", "click_id"))
+    pairs = rows.select(F.col("client_id").cast("string").alias("job_id"), F.col("click_id").cast("string").alias("source_id"), before.cast("string").alias("target_id"))
+    return pairs.where("target_id is not null")
+
+
+def parent_parts(spark: SparkSession, d: str) -> DataFrame:
+    """Part p descends from part p * p + 1 modulo the number of parts: ways that end in loops."""
+    p = table(spark, d, "part")
+    most = p.agg(F.max("p_partkey").alias("most"))
+    parent = (F.col("p_partkey") * F.col("p_partkey") + 1) % F.col("most") + 1
+    return p.join(F.broadcast(most)).select(F.lit("parts").alias("job_id"), F.col("p_partkey").cast("string").alias("source_id"), parent.cast("string").alias("target_id"))
+
+
+def questions(spark: SparkSession, d: str) -> DataFrame:
+    """The passages of ``benchmark`` as questions: question and its words."""
+    return table(spark, d, "benchmark").select(F.col("item_id").alias("question"), text.keywords(F.col("text")).alias("words"))
