@@ -86,6 +86,15 @@ over_view(
   UNION ALL SELECT f.job_id, path, CASE WHEN ce > 10 THEN 1 ELSE 2 END FROM files f JOIN coupling c ON c.job_id = f.job_id AND c.id = f.id WHERE ce > 7
   UNION ALL SELECT f.job_id, path, 2 FROM files f JOIN coupling c ON c.job_id = f.job_id AND c.id = f.id WHERE ca > 20) GROUP BY 1, 2""",
 )
+over_view(
+    "issue_ranks",
+    """SELECT job_id, rule, severity, file_path, row_number() OVER (PARTITION BY job_id ORDER BY r, file_path, rule) AS place FROM (
+  SELECT job_id, 'I13' AS rule, 'high' AS severity, 1 AS r, path AS file_path FROM files WHERE lines > 500 UNION ALL SELECT job_id, 'I14', 'low', 3, path FROM files WHERE lines > 300 AND lines <= 500
+  UNION ALL SELECT job_id, 'I15', 'medium', 2, path FROM files WHERE classes > 5
+  UNION ALL SELECT f.job_id, 'I10', 'high', 1, path FROM files f JOIN coupling c ON c.job_id = f.job_id AND c.id = f.id WHERE ce > 10
+  UNION ALL SELECT f.job_id, 'I11', 'medium', 2, path FROM files f JOIN coupling c ON c.job_id = f.job_id AND c.id = f.id WHERE ce > 7 AND ce <= 10
+  UNION ALL SELECT f.job_id, 'I12', 'medium', 2, path FROM files f JOIN coupling c ON c.job_id = f.job_id AND c.id = f.id WHERE ca > 20)""",
+)
 PUBLIC = "public AS (SELECT job_id, has_docstring FROM classes UNION ALL SELECT job_id, has_docstring FROM functions WHERE lines > 5)"
 over_view("doc_coverage", "SELECT job_id, count(*) AS n_public, CAST(sum(CASE WHEN has_docstring THEN 0 ELSE 1 END) AS BIGINT) AS n_undocumented, round(1.0::DOUBLE - sum(CASE WHEN has_docstring THEN 0 ELSE 1 END) / greatest(1, count(*)), 6) AS coverage FROM public GROUP BY 1", PUBLIC)
 over_view("worst_undocumented", "SELECT job_id, id, lines, CAST(rn AS INTEGER) AS rank FROM (SELECT *, row_number() OVER (PARTITION BY job_id ORDER BY lines DESC, id) AS rn FROM classes WHERE NOT has_docstring) WHERE rn <= 5")

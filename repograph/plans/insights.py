@@ -14,8 +14,8 @@ from pyspark.sql import functions as F
 
 from ..functions import rules
 from ..functions.text import grade
-from ..operators import coupling, graphalgos
-from ..storage import cut, keep
+from ..operators import coupling, graphalgos, ordering
+from ..storage import cut, keep, table
 
 # -- Fixed values: thresholds and weights ------------------------------------------------------
 CYCLOMATIC_CRITICAL, CYCLOMATIC_HIGH, CYCLOMATIC_MEDIUM = 15, 10, 5
@@ -338,12 +338,21 @@ def stats(s: Scope, issues: DataFrame) -> DataFrame:
     return j.na.fill(0).join(dominant_language(s.files), "job_id", "left").withColumn("dominant_language", F.coalesce("dominant_language", F.lit("unknown")))
 
 
-def sorted_issues(issues: DataFrame) -> DataFrame:
-    """By severity, then path; ties by rule and symbol."""
+def issue_order() -> list[Column]:
+    """By severity, then path; ties by rule, symbol and line."""
     rank = F.lit(5)
     for name, r in SEVERITY_RANK.items():
         rank = F.when(F.col("severity") == name, r).otherwise(rank)
-    return issues.orderBy("job_id", rank, F.coalesce("file_path", F.lit("")), "rule", F.coalesce("affected_symbol", F.lit("")), "line_start")
+    return [rank, F.coalesce(F.col("file_path"), F.lit("")), F.col("rule"), F.coalesce(F.col("affected_symbol"), F.lit("")), F.col("line_start")]
+
+
+def sorted_issues(issues: DataFrame) -> DataFrame:
+    return issues.orderBy("job_id", *issue_order())
+
+
+def ranked_issues(issues: DataFrame) -> DataFrame:
+    """The issues with their ``place`` in their job's order, numbered by ranges: a job's issues may span any number of tasks."""
+    return ordering.numbered(table(issues, "issues"), issue_order(), "place", within=["job_id"])
 
 
 def report(files: DataFrame, classes: DataFrame, functions: DataFrame, edges: DataFrame) -> Report:

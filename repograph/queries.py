@@ -262,6 +262,14 @@ def issue_groups(spark, d):
     return i.groupBy("job_id", F.coalesce(F.nullif("file_path", F.lit("")), F.lit("(no file)")).alias("file")).agg(F.count(F.lit(1)).alias("n"), F.min(rank).alias("worst"))
 
 
+@query
+def issue_ranks(spark, d):
+    """Issues of size and coupling with their place in their job's order."""
+    v = T.view(spark, d)
+    i = insights.size_issues(v.files).unionByName(insights.coupling_issues(v.files, coupling.coupling(v.files, v.edges)))
+    return insights.ranked_issues(i).select("job_id", "rule", "severity", "file_path", "place")
+
+
 @query
 def doc_coverage(spark, d):
     v = T.view(spark, d)
