@@ -1,19 +1,31 @@
 """Tables of the engine as Parquet folders: scans by job, appends, upserts and deletes without MERGE.
 
-Tables are partitioned by job, so a scan or a ``delete_job`` touches that job's files only.  An upsert,
-update or delete by condition writes a new version of the table beside the old one and then moves a
-pointer file in one step, so readers never see half of it; versions are kept until ``vacuum``.
+Tables are partitioned by job, so a scan or a ``delete_job`` touches that job's files only.  An upsert, update or
+delete by condition finds the jobs that it touches, writes these anew beside the table and puts their folders in place of
+the old ones; other jobs' files stay as they are.  A ``replace``, or a change of more than ``MANY`` jobs, writes a new version of
+the whole table and moves a pointer file in one step; versions are kept until ``vacuum``.
+
+Changes are numbered.  A writer notes the number before it reads and must be the one that makes the next; of two writers that
+have read the same state the second one raises ``LostRace`` and leaves nothing behind, so no update is lost.
 """
 
 from __future__ import annotations
 
 import uuid
 
+from py4j.protocol import Py4JJavaError
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 
+MANY = 1000  # jobs whose folders are put in place one by one
+
+
+class LostRace(RuntimeError):
+    """Another writer has changed the table since it was read."""
+
+
 class Table:
     """A versioned Parquet table."""
 
@@ -25,15 +37,30 @@ class Table:
         path = jvm.org.apache.hadoop.fs.Path(f"{self.path}/_current")
         return path.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()), path, jvm
 
-    def _version(self) -> str | None:
+    def _state(self) -> tuple[str | None, int]:
+        """The current version's folder, and the number of the last change."""
         fs, path, _ = self._fs()
         if not fs.exists(path):
-            return None
+            return None, 0
         stream = fs.open(path)
         try:
-            return bytes(stream.readAllBytes()).decode()
+            folder, _, number = bytes(stream.readAllBytes()).decode().partition(" ")
         finally:
             stream.close()
+        return folder, int(number or 0)
+
+    def _version(self) -> str | None:
+        return self._state()[0]
+
+    def _claim(self, number: int, staged: str | None = None) -> None:
+        """Makes the change of this number ours, or removes what was staged and raises."""
+        fs, _, jvm = self._fs()
+        try:
+            fs.create(jvm.org.apache.hadoop.fs.Path(f"{self.path}/_changes/{number}"), False).close()
+        except Py4JJavaError as e:
+            if staged:
+                fs.delete(jvm.org.apache.hadoop.fs.Path(staged), True)
+            raise LostRace(f"{self.path}: change {number} is another writer's") from e
 
     def _point_to(self, version: str) -> None:
         fs, path, jvm = self._fs()
@@ -57,10 +84,35 @@ class Table:
         writer = rows.write.mode(mode)
         (writer.partitionBy(self.partition) if self.partition else writer).parquet(folder)
 
-    def replace(self, rows: DataFrame) -> None:
+    def replace(self, rows: DataFrame, number: int | None = None) -> None:
+        """A new version of the whole table; ``number``: that of the last change when ``rows`` were read, or now."""
+        number = self._state()[1] if number is None else number
         version = f"v-{uuid.uuid4().hex}"
         self._write(rows, f"{self.path}/{version}", "errorifexists")
-        self._point_to(version)
+        self._claim(number + 1, f"{self.path}/{version}")
+        self._point_to(f"{version} {number + 1}")
+
+    def _change(self, touched: DataFrame, changed) -> None:
+        """Rewrites the jobs of ``touched`` (job_id): ``changed`` turns their rows, or all, into what they shall be."""
+        version, number = self._state()
+        jobs = [r[0] for r in touched.distinct().limit(MANY + 1).collect()] if version and self.partition == "job_id" else [None]
+        if not jobs:
+            return
+        if None in jobs or len(jobs) > MANY:
+            self.replace(changed(self.read()), number)
+            return
+        staged = f"{self.path}/s-{uuid.uuid4().hex}"
+        self._write(changed(self.read().where(F.col("job_id").isin(jobs))), staged, "errorifexists")
+        self._claim(number + 1, staged)
+        fs, _, jvm = self._fs()
+        hadoop = jvm.org.apache.hadoop.fs.Path
+        for job in jobs:
+            name = jvm.org.apache.spark.sql.catalyst.catalog.ExternalCatalogUtils.getPartitionPathString("job_id", job)
+            fs.delete(hadoop(f"{self.path}/{version}", name), True)
+            if fs.exists(hadoop(staged, name)):
+                fs.rename(hadoop(staged, name), hadoop(f"{self.path}/{version}", name))
+        fs.delete(hadoop(staged), True)
+        self._point_to(f"{version} {number + 1}")
 
     def append(self, rows: DataFrame) -> None:
         version = self._version()
@@ -68,28 +120,44 @@ class Table:
             self.replace(rows)
         else:
             self._write(rows, f"{self.path}/{version}", "append")
+            if self._version() != version:
+                raise LostRace(f"{self.path}: the table was replaced while rows were added")
 
     def insert_if_absent(self, rows: DataFrame, key: str = "id") -> None:
         """The first row of a key stays."""
         self.append(absent(self.read(), rows, key))
 
     def upsert(self, rows: DataFrame, keys: tuple[str, ...] = ("id",), keep: tuple[str, ...] = ("job_id", "created_at")) -> None:
-        self.replace(merged(self.read(), rows, keys, keep))
+        if "job_id" not in rows.columns or self.partition != "job_id":
+            number = self._state()[1]
+            self.replace(merged(self.read(), rows, keys, keep), number)
+            return
+        known = self.read().join(rows.select(*keys).distinct(), list(keys), "left_semi").select("job_id")
+        self._change(known.unionByName(rows.select("job_id")), lambda old: merged(old, rows, keys, keep))
 
     def update(self, condition: Column, **values) -> None:
-        rows = self.read()
-        for name, value in values.items():
-            rows = rows.withColumn(name, F.when(condition, value if isinstance(value, Column) else F.lit(value)).otherwise(F.col(name)).cast(rows.schema[name].dataType))
-        self.replace(rows)
+        def changed(rows: DataFrame) -> DataFrame:
+            for name, value in values.items():
+                rows = rows.withColumn(name, F.when(condition, value if isinstance(value, Column) else F.lit(value)).otherwise(F.col(name)).cast(rows.schema[name].dataType))
+            return rows
+
+        if self.partition in values:  # rows move to other jobs
+            number = self._state()[1]
+            self.replace(changed(self.read()), number)
+        else:
+            self._change(self._jobs_of(condition), changed)
 
     def delete(self, condition: Column) -> int:
         """Removes rows; returns how many."""
-        rows = self.read()
-        n = rows.where(condition).count()
+        n = self.read().where(condition).count()
         if n:
-            self.replace(rows.where(~F.coalesce(condition, F.lit(False))))
+            self._change(self._jobs_of(condition), lambda rows: rows.where(~F.coalesce(condition, F.lit(False))))
         return n
 
+    def _jobs_of(self, condition: Column) -> DataFrame:
+        rows = self.read().where(condition)
+        return rows.select("job_id") if self.partition == "job_id" else rows.select(F.lit(None).alias("job_id"))
+
     def delete_job(self, job_id: str) -> int:
         """Removes the folder of one job from the current version; returns how many rows it had.
 
