@@ -34,15 +34,31 @@ def shared_dir(spark: SparkSession) -> str:
     return told.rstrip("/")
 
 
+def cores(spark: SparkSession) -> int | None:
+    """The cores that the cluster may have; None where it may grow without a bound that is set."""
+    conf = spark.sparkContext.getConf()
+    of_one = int(conf.get("spark.executor.cores", "1"))
+    known = max(spark.sparkContext.defaultParallelism, int(conf.get("spark.executor.instances", "0")) * of_one)
+    if conf.get("spark.dynamicAllocation.enabled", "false").lower() != "true":
+        return known
+    most = conf.get("spark.dynamicAllocation.maxExecutors")
+    return max(known, int(most) * of_one) if most else None
+
+
 def fewer(df: DataFrame) -> DataFrame:
-    """The frame in at most two partitions for each core of the cluster, so that small ones are not written as very many files."""
-    return df.coalesce(2 * df.sparkSession.sparkContext.defaultParallelism)
+    """The frame in at most two partitions for each core that the cluster may have, so that small ones are not written as very many files.
+
+    The limit reaches back into the stage before it, so this is for what comes from an exchange of narrow rows, not for scans.
+    """
+    most = cores(df.sparkSession)
+    return df.coalesce(2 * most) if most else df
 
 
-def cut(df: DataFrame) -> DataFrame:
-    """Cut the lineage with a reliable checkpoint: for narrow tables that several plans read."""
+def cut(df: DataFrame, scans: bool = False) -> DataFrame:
+    """Cut the lineage with a reliable checkpoint: for narrow tables that several plans read.  ``scans``: the frame's stage reads a
+    table, and keeps as many tasks as that has partitions."""
     shared_dir(df.sparkSession)
-    return fewer(df).checkpoint(eager=True)
+    return (df if scans else fewer(df)).checkpoint(eager=True)
 
 
 def table(df: DataFrame, label: str) -> DataFrame:

@@ -202,7 +202,7 @@ def topk(data: DataFrame, is_query, k: int = 5, scale: float = 256.0, bits: int
             if len(ids):
                 block[size] = ids[first], vectors[first]
         if block:
-            parts.append(support.cut(answers(file, block, k)))
+            parts.append(support.cut(answers(file, block, k), scans=True))
     support.remove(file)
     found = parts[0] if parts else spark.createDataFrame([], SCHEMA)
     for more in parts[1:]:
