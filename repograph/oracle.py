@@ -205,6 +205,10 @@ WORDS = lambda words, parts: " + ".join(f"{w} * (CASE WHEN contains(lower({f}),
 SQL["keyword_search"] = f"""{REPO}, s AS (SELECT job_id, doc_id AS id, {WORDS(["order", "service", "test", "router"], [(NAME, 3), ("source", 2), ("path", 1)])} AS score FROM repo)
   SELECT job_id, id, CAST(score AS INTEGER) AS score, CAST(rn AS INTEGER) AS rank FROM (SELECT *, row_number() OVER (PARTITION BY job_id ORDER BY score DESC, id) AS rn FROM s WHERE score > 0) WHERE rn <= 8"""
 SQL["fact_search"] = f"WITH s AS (SELECT doc_id AS id, {WORDS(['src1', 'the', 'router'], [('source', 3), ('text', 2), (PATH_SQL, 1)])} AS score FROM documents) SELECT id, CAST(score AS INTEGER) AS score FROM s WHERE score > 0 ORDER BY score DESC, id LIMIT 10"
+SQL["context_text"] = f"""{REPO}, s AS (SELECT job_id, {NAME} AS label, source AS file, CAST(doc_id AS VARCHAR) AS id, {WORDS(["order", "service", "router"], [(NAME, 3), ("source", 2), ("path", 1)])} AS score FROM repo),
+  r AS (SELECT *, row_number() OVER (PARTITION BY job_id ORDER BY score DESC, id) AS rn FROM s WHERE score > 0)
+  SELECT job_id, concat('## Relevant code context from the repository:', chr(10), chr(10), '### File nodes:', chr(10),
+    string_agg(concat('- `', label, '`', CASE WHEN length(file) > 0 THEN concat(' in `', file, '`') ELSE '' END), chr(10) ORDER BY rn)) AS context FROM r WHERE rn <= 8 GROUP BY 1"""
 STOPPED = ", ".join(f"'{w}'" for w in STOP_WORDS)
 SQL["indexed_facts"] = f"""WITH q AS (SELECT item_id, unnest(list_filter(regexp_split_to_array(lower(regexp_replace(text, '[?,]', '', 'g')), '\\s+'), lambda w: length(w) > 2 AND NOT list_contains([{STOPPED}], w))) AS w FROM benchmark),
   d AS (SELECT doc_id, lang, lower(coalesce(text, '')) AS t, lower(coalesce(source, '')) AS s, lower({PATH_SQL}) AS p FROM documents),

@@ -516,7 +516,9 @@ def module_breakdown(spark, d):
 @query
 def interview_questions(spark, d):
     v = T.view(spark, d)
-    depths = spark.createDataFrame([], "job_id string, id string, depth int")
+    line = W.partitionBy("job_id", "file_id").orderBy(F.length("id"), "id")  # an order's class inherits from its customer's order before it
+    inherits = v.classes.select("job_id", F.col("id").alias("source_id"), F.lag("id").over(line).alias("target_id")).where("target_id is not null")
+    depths = graphalgos.single_parent_depth(inherits).withColumn("depth", F.col("depth").cast("int"))
     return render.interview_questions(v.files, v.classes, v.functions, v.edges, depths, graphalgos.cycles(coupling.internal_dependencies(v.files, v.edges)))
 
 
