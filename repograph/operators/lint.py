@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 FLAGS = ("job_id", "pattern", "severity", "file_path", "line", "symbol", "value")
@@ -15,6 +15,33 @@ MESSAGES = {
     "no_error_handling": "File has {value} functions but no error handling imports or exception classes.",
     "duplicate_logic": "Function `{symbol}` appears {value} times.",
 }
+# What to do about each.
+FIXES = {
+    "god_function": "Split it into functions that each do one thing.",
+    "long_parameter_list": "Pass one object that holds the values that belong together.",
+    "missing_docstrings": "Say in a docstring what it is for, what it takes and what it returns.",
+    "inconsistent_naming": "Choose the style that the language's convention names and rename the others.",
+    "no_error_handling": "Decide which failures can occur and handle or declare them.",
+    "duplicate_logic": "Keep one definition in a shared module and import it.",
+}
+
+
+def filled(texts: dict[str, str]) -> Column:
+    """The text of a flag's pattern with its symbol and value."""
+    out = F.lit(None).cast("string")
+    for pattern, template in texts.items():
+        text = F.replace(F.replace(F.lit(template), F.lit("{symbol}"), F.coalesce("symbol", F.lit(""))), F.lit("{value}"), F.coalesce(F.col("value").cast("string"), F.lit("")))
+        out = F.when(F.col("pattern") == pattern, text).otherwise(out)
+    return out
+
+
+def described(flags: DataFrame) -> DataFrame:
+    """The flags with ``message`` and ``fix``."""
+    return flags.withColumns({"message": filled(MESSAGES), "fix": filled(FIXES)})
+
+
+def of_pattern(flags: DataFrame, pattern: str) -> DataFrame:
+    return flags.where(F.col("pattern") == pattern)
 
 
 def all_functions(parsed: DataFrame) -> DataFrame:
@@ -66,7 +93,7 @@ def no_error_handling(parsed: DataFrame) -> DataFrame:
 
 
 def duplicate_names(parsed: DataFrame, least: int = 3) -> DataFrame:
-    """job_id, name, many, paths (ordered, the first three) of top-level functions that occur often enough."""
+    """job_id, name, many and path (the least) of top-level functions that occur often enough."""
     fns = parsed.select("job_id", "path", F.explode("functions").alias("f")).select("job_id", "path", F.col("f.name").alias("name"), F.col("f.line_start").alias("line"))
     grouped = fns.where(~F.col("name").startswith("_")).groupBy("job_id", "name").agg(F.count(F.lit(1)).alias("many"), F.min("path").alias("path"))
     return grouped.where(F.col("many") >= least)

@@ -225,6 +225,8 @@ SQL["parse_metrics"] = """SELECT CASE p_partkey % 3 WHEN 0 THEN concat('pkg/mod_
   CAST(1 + p_size % 5 + 1 + CASE p_partkey % 3 WHEN 2 THEN 0 ELSE 1 END AS INTEGER) AS cyclomatic, 1 AS nesting, 2 AS parameters FROM part"""
 SQL["lint_flags"] = "SELECT 'duplicate_logic' AS pattern, 'medium' AS severity, 3 AS n WHERE (SELECT count(*) FROM part) >= 9 UNION ALL SELECT 'missing_docstrings', 'low', (SELECT count(*) FROM part WHERE p_partkey % 3 <> 0) + (SELECT count(*) FROM part WHERE p_partkey % 3 = 0 AND p_size % 5 >= 4)"
 SQL["duplicate_names"] = "SELECT CASE p_partkey % 3 WHEN 0 THEN 'get_part' WHEN 1 THEN 'load' ELSE 'size' END AS name, count(*) AS many FROM part GROUP BY 1 HAVING count(*) >= 3"
+SQL["duplicate_messages"] = """SELECT 'synthetic' AS job_id, name AS symbol, 'medium' AS severity, concat('Function `', name, '` appears ', count(*), ' times.') AS message, 'Keep one definition in a shared module and import it.' AS fix
+  FROM (SELECT CASE p_partkey % 3 WHEN 0 THEN 'get_part' WHEN 1 THEN 'load' ELSE 'size' END AS name FROM part) GROUP BY 2 HAVING count(*) >= 3"""
 SQL["graph_nodes"] = """WITH p AS (SELECT p_partkey AS k, CASE p_partkey % 3 WHEN 0 THEN concat('pkg/mod_', p_partkey % 7) WHEN 1 THEN 'web' ELSE 'java/acme' END AS dir FROM part)
   SELECT 'Repository' AS node_type, 1 AS n UNION ALL SELECT 'File', count(*) FROM p UNION ALL SELECT 'Class', count(*) FROM p UNION ALL SELECT 'Function', sum(CASE k % 3 WHEN 2 THEN 1 ELSE 2 END)::BIGINT FROM p
   UNION ALL SELECT 'Module', count(*) FROM (SELECT dir FROM p UNION SELECT split_part(dir, '/', 1) FROM p)"""

@@ -468,6 +468,13 @@ def duplicate_names(spark, d):
     return lint.duplicate_names(p).select("name", "many")
 
 
+@query
+def duplicate_messages(spark, d):
+    """Flags of one pattern, as a reader sees them."""
+    flags = lint.of_pattern(lint.detect(parsers.parse_files(T.sources(spark, d))), "duplicate_logic")
+    return lint.described(flags).select("job_id", "symbol", "severity", "message", "fix")
+
+
 @query
 def lint_markdown(spark, d):
     p = parsers.parse_files(T.sources(spark, d))
