@@ -186,15 +186,15 @@ SQL["single_parent_depth"] = """WITH RECURSIVE par AS (SELECT p_partkey AS k, (p
   SELECT CAST(k AS VARCHAR) AS id, max(CASE WHEN list_contains(seen, there) THEN len(seen) - 1 ELSE len(seen) END) AS depth FROM w GROUP BY 1"""
 
 # -- store, jobs, search ----------------------------------------------------------------------
-SQL["insert_if_absent"] = """SELECT c_custkey AS id, CASE WHEN c_custkey % 3 = 0 THEN 'old' ELSE 'new' END AS "from" FROM customer WHERE c_custkey % 3 = 0 OR c_custkey % 2 = 0"""
-SQL["upsert_last_wins"] = "SELECT c_custkey AS id, CASE WHEN c_custkey % 2 = 0 THEN 'new' ELSE 'old' END AS label, CASE WHEN c_custkey % 3 = 0 THEN 'first' ELSE 'later' END AS made FROM customer WHERE c_custkey % 3 = 0 OR c_custkey % 2 = 0"
+SQL["insert_if_absent"] = """SELECT DISTINCT o_custkey AS id, 'old' AS "from" FROM orders UNION ALL SELECT c_custkey, 'new' FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders)"""
+SQL["upsert_last_wins"] = "SELECT coalesce(c_custkey, o_custkey) AS id, CASE WHEN c_custkey IS NULL THEN 'old' ELSE 'new' END AS label, CASE WHEN o_custkey IS NULL THEN 'later' ELSE 'first' END AS made FROM customer FULL JOIN (SELECT DISTINCT o_custkey FROM orders) ON c_custkey = o_custkey"
 SQL["insert_parties_if_absent"] = """SELECT s_suppkey AS id, 'supplier' AS "from" FROM supplier UNION ALL SELECT c_custkey, 'customer' FROM customer WHERE c_custkey NOT IN (SELECT s_suppkey FROM supplier)"""
 SQL["upsert_parties"] = "SELECT coalesce(c_custkey, s_suppkey) AS id, coalesce(c_name, s_name) AS label, CASE WHEN s_suppkey IS NULL THEN 'customer' ELSE 'supplier' END AS made FROM customer FULL JOIN supplier ON c_custkey = s_suppkey"
 LOG = "log AS (SELECT CAST(user_id AS VARCHAR) AS job_id, ts AS moment, event_id AS seq, CASE event_type WHEN 'signup' THEN 'pending' WHEN 'view' THEN 'running' WHEN 'click' THEN 'running' WHEN 'purchase' THEN 'completed' WHEN 'error' THEN 'failed' END AS status FROM events)"
 LAST = "last AS (SELECT job_id, status FROM (SELECT *, row_number() OVER (PARTITION BY job_id ORDER BY moment DESC, seq DESC) AS rn FROM log) WHERE rn = 1)"
 SQL["latest_state"] = f"WITH {LOG}, {LAST} SELECT job_id, status FROM last"
 SQL["orphan_reset"] = f"WITH {LOG}, {LAST} SELECT CASE WHEN status IN ('pending', 'running') THEN 'failed' ELSE status END AS status, count(*) AS n, count(*) FILTER (status IN ('pending', 'running')) AS n_errors FROM last GROUP BY 1"
-SQL["status_counts_zero_filled"] = f"WITH {LOG} SELECT s AS status, (SELECT count(*) FROM log WHERE log.status = s AND s <> 'pending') AS n FROM (SELECT unnest(['pending', 'running', 'completed', 'failed', 'cancelled']) AS s)"
+SQL["status_counts_zero_filled"] = f"WITH {LOG} SELECT s AS status, (SELECT count(*) FROM log WHERE log.status = s) AS n FROM (SELECT unnest(['pending', 'running', 'completed', 'failed', 'cancelled']) AS s)"
 SQL["job_transitions"] = f"""WITH RECURSIVE {LOG}, o AS (SELECT *, row_number() OVER (PARTITION BY job_id ORDER BY moment, seq) AS i FROM log),
   f AS (SELECT DISTINCT job_id, CAST(0 AS BIGINT) AS i, 'pending' AS status, 0 AS accepted, 0 AS rejected FROM log
     UNION ALL SELECT f.job_id, o.i, CASE WHEN ok THEN o.status ELSE f.status END, accepted + ok::INT, rejected + (NOT ok)::INT

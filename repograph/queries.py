@@ -70,7 +70,7 @@ def incident_edges(spark, d):
 
 @query
 def status_counts_zero_filled(spark, d):
-    return jobs.status_counts(T.job_events(spark, d).where("status <> 'pending'"))
+    return jobs.status_counts(T.job_events(spark, d))  # no event cancels a job
 
 
 @query
@@ -323,17 +323,16 @@ def single_parent_depth(spark, d):
 
 @query
 def insert_if_absent(spark, d):
-    c = T.table(spark, d, "customer")
-    old = c.where("c_custkey % 3 = 0").select(F.col("c_custkey").alias("id"), F.lit("old").alias("from"))
-    new = c.where("c_custkey % 2 = 0").select(F.col("c_custkey").alias("id"), F.lit("new").alias("from"))
+    """Customers with orders are there first; all customers come in where they are not."""
+    old = T.table(spark, d, "orders").select(F.col("o_custkey").alias("id"), F.lit("old").alias("from")).distinct()
+    new = T.table(spark, d, "customer").select(F.col("c_custkey").alias("id"), F.lit("new").alias("from"))
     return old.unionByName(store.absent(old, new))
 
 
 @query
 def upsert_last_wins(spark, d):
-    c = T.table(spark, d, "customer")
-    old = c.where("c_custkey % 3 = 0").select(F.col("c_custkey").alias("id"), F.lit("old").alias("label"), F.lit("first").alias("made"))
-    new = c.where("c_custkey % 2 = 0").select(F.col("c_custkey").alias("id"), F.lit("new").alias("label"), F.lit("later").alias("made"))
+    old = T.table(spark, d, "orders").select(F.col("o_custkey").alias("id"), F.lit("old").alias("label"), F.lit("first").alias("made")).distinct()
+    new = T.table(spark, d, "customer").select(F.col("c_custkey").alias("id"), F.lit("new").alias("label"), F.lit("later").alias("made"))
     return store.merged(old, new, ("id",), ("made",))
 
 
