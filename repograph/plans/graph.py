@@ -1,7 +1,7 @@
 """Parsed files to a property graph: typed node frames, edges, and the generic nodes and edges.
 
-Every step is a projection, an explode or an equi-join; import targets that no exact name gives are
-the one theta join, over unmatched imports only.
+Every step is a projection, an explode or an equi-join; import targets that no exact name gives go by
+their exploded endings, over unmatched imports only.  The parsed frame is read in many branches: see ``parsers.parsed_once``.
 """
 
 from __future__ import annotations

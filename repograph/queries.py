@@ -429,13 +429,13 @@ def page_braces(spark, d):
 @query
 def parse_metrics(spark, d):
     """Per file: its language and the figures of its free function or method."""
-    p = parsers.parse_files(T.sources(spark, d))
+    p = parsers.parsed_once(T.sources(spark, d))
     f = F.coalesce(F.get(F.filter("functions", lambda x: x["name"].isin("get_part", "load", "size")), F.lit(0)))
     return p.select("path", "language", F.size("classes").alias("classes"), F.size("imports").alias("imports"), f["cyclomatic"].alias("cyclomatic"), f["nesting_depth"].alias("nesting"), F.size(f["parameters"]).alias("parameters"))
 
 
 def built(spark, d):
-    parsed = parsers.parse_files(T.sources(spark, d))
+    parsed = parsers.parsed_once(T.sources(spark, d))
     repo = spark.createDataFrame([("synthetic", "testbed", "https://host.example/owner/testbed")], "job_id string, name string, url string")
     return parsed, graph.build(parsed, repo)
 
@@ -452,31 +452,31 @@ def graph_edges(spark, d):
 
 @query
 def lint_flags(spark, d):
-    return lint.detect(parsers.parse_files(T.sources(spark, d))).groupBy("pattern", "severity").agg(F.count(F.lit(1)).alias("n"))
+    return lint.detect(parsers.parsed_once(T.sources(spark, d))).groupBy("pattern", "severity").agg(F.count(F.lit(1)).alias("n"))
 
 
 @query
 def lint_health(spark, d):
-    p = parsers.parse_files(T.sources(spark, d))
+    p = parsers.parsed_once(T.sources(spark, d))
     return lint.health(lint.detect(p), p)
 
 
 @query
 def duplicate_names(spark, d):
-    p = parsers.parse_files(T.sources(spark, d))
+    p = parsers.parsed_once(T.sources(spark, d))
     return lint.duplicate_names(p).select("name", "many")
 
 
 @query
 def duplicate_messages(spark, d):
     """Flags of one pattern, as a reader sees them."""
-    flags = lint.of_pattern(lint.detect(parsers.parse_files(T.sources(spark, d))), "duplicate_logic")
+    flags = lint.of_pattern(lint.detect(parsers.parsed_once(T.sources(spark, d))), "duplicate_logic")
     return lint.described(flags).select("job_id", "symbol", "severity", "message", "fix")
 
 
 @query
 def lint_markdown(spark, d):
-    p = parsers.parse_files(T.sources(spark, d))
+    p = parsers.parsed_once(T.sources(spark, d))
     flags = lint.detect(p)
     names = spark.createDataFrame([("synthetic", "testbed")], "job_id string, repo_name string")
     return render.lint_markdown(flags, lint.health(flags, p), p, names)
