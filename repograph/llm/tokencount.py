@@ -56,8 +56,12 @@ def special_strings(path: str) -> list[str]:
 
 
 @functools.lru_cache(1)
-def unassigned() -> re.Pattern:
-    """Matches a character that this Python's Unicode tables do not know."""
+def unassigned():
+    """Tells whether a text has a character that this Python's Unicode tables do not know.
+
+    A class of characters below U+10000 alone is a bitmap, one that goes beyond is a list of ranges that is searched for
+    each character: the ranges beyond are only looked at where a text has such characters.
+    """
     ranges, last = [], None
     for c in range(sys.maxunicode + 1):
         if unicodedata.category(chr(c)) == "Cn":
@@ -66,7 +70,11 @@ def unassigned() -> re.Pattern:
             else:
                 ranges.append([c, c])
             last = c
-    return re.compile("[" + "".join(f"\\U{a:08x}-\\U{b:08x}" for a, b in ranges) + "]")
+    of = lambda some: re.compile("[" + "".join(f"\\U{a:08x}-\\U{b:08x}" for a, b in some) + "]")
+    low = of([(a, min(b, 0xFFFF)) for a, b in ranges if a <= 0xFFFF])
+    high = of([(max(a, 0x10000), b) for a, b in ranges if b > 0xFFFF])
+    far = re.compile("[\U00010000-\U0010FFFF]")
+    return lambda text: bool(low.search(text) or (far.search(text) and high.search(text)))
 
 
 def cutter(path: str):
@@ -84,7 +92,7 @@ def cutter(path: str):
         return Tokenizer.from_file(path).pre_tokenizer
 
     def plain(text: str) -> list[str]:
-        if not text.isascii() and odd.search(text):
+        if not text.isascii() and odd(text):
             return [text[a:b] for _, (a, b) in library().pre_tokenize_str(text)]
         return pattern.findall(text)
 
