@@ -27,6 +27,7 @@ CE_CRITICAL, CE_HIGH, CA_HIGH = 10, 7, 20
 FILE_LINES_CRITICAL, FILE_LINES_HIGH, CLASSES_PER_FILE = 500, 300, 5
 INHERIT_DEPTH = 5
 GOD_SCORE, LARGE_SCORE = 0.55, 0.35
+SLACK = 1e-12  # a sum of weighted doubles may lie this far below the threshold that it equals in decimals
 WEIGHTS = {"lines": 0.20, "cyclomatic": 0.30, "params": 0.20, "nesting": 0.15, "calls": 0.15}
 DIMENSIONS = (("Complexity", 0.22), ("Coupling", 0.22), ("Size", 0.15), ("Architecture", 0.20), ("Documentation", 0.12), ("Naming", 0.09))
 SEVERITY_RANK = {"critical": 0, "high": 1, "medium": 2, "low": 3, "info": 4}
@@ -80,8 +81,8 @@ def judged_functions(functions: DataFrame) -> DataFrame:
     """Adds composite, outlier, is_god, is_large and many_params."""
     c = lambda name: F.coalesce(F.col(name), F.lit(0))
     scored = line_outliers(functions, 20, FN_LINES_CRITICAL).withColumn("composite", composite(c("lines"), c("cyclomatic"), c("param_count"), c("nesting_depth"), c("call_count")))
-    god = (F.col("composite") >= GOD_SCORE) | F.col("outlier")
-    return scored.withColumn("is_god", god).withColumn("is_large", ~god & ((F.col("composite") >= LARGE_SCORE) | (c("lines") > FN_LINES_HIGH))).withColumn("many_params", c("param_count") > FN_PARAMS_CRITICAL)
+    god = (F.col("composite") >= GOD_SCORE - SLACK) | F.col("outlier")
+    return scored.withColumn("is_god", god).withColumn("is_large", ~god & ((F.col("composite") >= LARGE_SCORE - SLACK) | (c("lines") > FN_LINES_HIGH))).withColumn("many_params", c("param_count") > FN_PARAMS_CRITICAL)
 
 
 def judged_classes(classes: DataFrame) -> DataFrame:
