@@ -13,6 +13,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions.text import ancestors, last_segment, node_id, normal_path, parent_path, path_parts
+from ..storage import shuffled
 
 
 @dataclass
@@ -67,18 +68,21 @@ def resolve_imports(imports: DataFrame, targets: DataFrame) -> DataFrame:
     """job_id, source, module and job_id, target, name -> distinct job_id, source, module, target.
 
     First by the module's name or its last part; imports without any such target meet the
-    names of their job that end with the module, or that the module ends with.
+    names of their job that end with the module, or that the module ends with.  Modules and names are met once each, whoever
+    asks for them, and the joins are by shuffles: either side grows with the files, and a broadcast would pass it whole through the driver.
     """
     plain = F.regexp_replace("module", r"^\.+|\.+$", "")
     asked = imports.select("job_id", "source", plain.alias("module")).distinct()
     keys = asked.withColumn("name", F.explode(F.array_distinct(F.array("module", F.element_at(F.split("module", r"\."), -1))))).where("name <> ''")
-    exact = keys.join(targets, ["job_id", "name"]).select("job_id", "source", "module", "target").distinct()
-    left = asked.join(exact.select("job_id", "source", "module").distinct(), ["job_id", "source", "module"], "left_anti")
+    exact = shuffled(keys, targets, ["job_id", "name"]).select("job_id", "source", "module", "target").distinct()
+    left = shuffled(asked, exact.select("job_id", "source", "module").distinct(), ["job_id", "source", "module"], "left_anti")
     # Names and modules are short, so each way round is an equi-join on all endings of one side (the empty one included).
     endings = lambda c: F.explode(F.transform(F.sequence(F.lit(1), F.length(c) + 1), lambda i: F.substr(F.col(c), i)))
-    by_name = targets.select("job_id", "target", endings("name").alias("module")).distinct().join(left, ["job_id", "module"])
-    by_module = left.select("job_id", "source", "module", endings("module").alias("name")).join(targets, ["job_id", "name"])
-    loose = by_name.select("job_id", "source", "module", "target").unionByName(by_module.select("job_id", "source", "module", "target"))
+    modules, names = left.select("job_id", "module").distinct(), targets.select("job_id", "name").distinct()
+    by_name = shuffled(names.select("job_id", "name", endings("name").alias("module")), modules, ["job_id", "module"])
+    by_module = shuffled(modules.select("job_id", "module", endings("module").alias("name")), names, ["job_id", "name"])
+    met = by_name.select("job_id", "module", "name").unionByName(by_module.select("job_id", "module", "name")).distinct()
+    loose = shuffled(shuffled(met, left, ["job_id", "module"]), targets, ["job_id", "name"]).select("job_id", "source", "module", "target")
     return exact.unionByName(loose).where("source <> target").distinct()
 
 
@@ -126,7 +130,7 @@ def build(parsed: DataFrame, repositories: DataFrame) -> Graph:
     # A base class is found by its bare name; of several the last by (file, line).
     last = W.partitionBy("job_id", "label").orderBy(F.desc("file"), F.desc("line"), F.desc("id"))
     known = classes.withColumn("rn", F.row_number().over(last)).where("rn = 1").select("job_id", F.col("label").alias("base"), F.col("id").alias("base_id"))
-    bases = with_id.select("job_id", "class_id", F.explode(c["base_classes"]).alias("base")).join(known, ["job_id", "base"])
+    bases = shuffled(with_id.select("job_id", "class_id", F.explode(c["base_classes"]).alias("base")), known, ["job_id", "base"])
     edges = edges.unionByName(edge(bases.where("class_id <> base_id"), "class_id", "base_id", "INHERITS"))
     return Graph(repos, modules, files, classes, functions, edges)
 

@@ -59,3 +59,8 @@ def written(df: DataFrame) -> DataFrame:
 def keep(df: DataFrame) -> DataFrame:
     """Held in memory and on disk while plans read it; lost parts are computed again."""
     return df.persist(StorageLevel.MEMORY_AND_DISK)
+
+
+def shuffled(left: DataFrame, right: DataFrame, on, how: str = "inner") -> DataFrame:
+    """A join of frames that both grow with the input, so that neither is ever sent through the driver: a file of keys is small, but not what is made of it."""
+    return left.join(right.hint("merge"), on, how)
