@@ -64,3 +64,11 @@ def keep(df: DataFrame) -> DataFrame:
 def shuffled(left: DataFrame, right: DataFrame, on, how: str = "inner") -> DataFrame:
     """A join of frames that both grow with the input, so that neither is ever sent through the driver: a file of keys is small, but not what is made of it."""
     return left.join(right.hint("merge"), on, how)
+
+
+def spread(df: DataFrame, *keys: str) -> DataFrame:
+    """``df`` dealt by ``keys`` to four tasks for each core that the cluster has: for costly work on rows whose own file is small, as that is read by a task or two."""
+    context = df.sparkSession.sparkContext
+    conf = context.getConf()
+    cores = max(context.defaultParallelism, int(conf.get("spark.executor.instances", "0")) * int(conf.get("spark.executor.cores", "1")))
+    return df.repartition(4 * cores, *keys)

@@ -15,3 +15,25 @@ def test_imports_meet_files_by_shuffles(spark):
     found = graph.resolve_imports(asked, targets)
     assert sorted((r.source, r.target) for r in found.collect()) == [("a", "t1"), ("b", "t2"), ("c", "t3")]
     assert "Broadcast" not in plan_of(found)
+
+
+def test_parsing_is_dealt_to_all_cores(spark):
+    """Rows of one small file are parsed by more than one task."""
+    from repograph.operators import parsers
+
+    files = spark.createDataFrame([("j", f"m{i}.py", f"def f{i}(a):\n    return a\n") for i in range(200)], "job_id string, path string, content string").coalesce(1)
+    parsed = parsers.parsed_once(files)
+    assert parsed.count() == 200 and len(parsed.inputFiles()) > 1
+
+
+def test_parts_of_a_text_are_the_text(spark):
+    """Parts of three lines, joined in order, equal the text in one piece; no part holds more."""
+    from repograph.plans import render
+
+    lines = [spark.createDataFrame([(j, n, f"{i:03d}", f"line {i * 7 % 5}") for j in ("a", "b") for i in range(10)], "job_id string, section int, seq string, line string") for n in (1, 0)]
+    whole = {r.job_id: r.text for r in render.document(lines).collect()}
+    parts: dict = {}
+    for r in render.in_parts(lines, most=3).orderBy("job_id", "part").collect():
+        assert r.text.count("\n") < 3
+        parts.setdefault(r.job_id, []).append(r.text)
+    assert {j: "\n".join(p) for j, p in parts.items()} == whole and len(parts["a"]) == 7
