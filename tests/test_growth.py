@@ -37,3 +37,15 @@ def test_parts_of_a_text_are_the_text(spark):
         assert r.text.count("\n") < 3
         parts.setdefault(r.job_id, []).append(r.text)
     assert {j: "\n".join(p) for j, p in parts.items()} == whole and len(parts["a"]) == 7
+
+
+def test_pointers_double_by_shuffles(spark, monkeypatch):
+    """No round of the doubling broadcasts its nodes."""
+    from repograph.operators import graphalgos
+
+    plans, cut = [], graphalgos.cut
+    monkeypatch.setattr(graphalgos, "cut", lambda df: (plans.append(df._jdf.queryExecution().executedPlan().toString()), cut(df))[1])
+    parents = spark.createDataFrame([("j", str(i), str(i - 1)) for i in range(1, 9)], "job_id string, id string, next string")
+    ends, _ = graphalgos.pointers(parents)
+    assert {(r.id, r.at, r.hops) for r in ends.collect()} == {(str(i), "0", i) for i in range(1, 9)}
+    assert any("SortMergeJoin" in p for p in plans) and not any("Broadcast" in p for p in plans)
