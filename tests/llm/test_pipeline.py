@@ -118,3 +118,17 @@ def test_stages_take_names_that_clash(spark):
     assert stages.keep_one_of_each(df).count() == 2 and stages.redacted(df).count() == 5  # by position, so clashes do not matter
     assert stages.keep_one_of_each(upper).columns == stages.redacted(upper).columns == upper.columns
     assert stages.keep_one_of_each(upper).count() == 2
+
+
+def test_the_fit_holds_no_values_of_all_rows():
+    """Values are those that a list of them gave, one row's at a time; what comes to the driver is smaller than the numbers."""
+    import numpy as np
+
+    from repograph.llm import quality
+
+    rows = [quality.features(f"words {i} and {'more ' * i}") for i in range(20)] + [np.empty(0, np.int32)]
+    ratios = np.random.default_rng(1).normal(size=1 << quality.BITS)
+    scaled = quality.Scaled(rows, ratios)
+    assert len(scaled) == len(rows) and all((v == ratios[r] / np.sqrt(max(1, len(r)))).all() for r, v in zip(rows, scaled))
+    assert all((quality.unpacked(quality.packed(r)) == r).all() for r in rows)
+    assert sum(len(quality.packed(r)) for r in rows) < sum(r.nbytes for r in rows)
