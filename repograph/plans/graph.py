@@ -111,12 +111,13 @@ def build(parsed: DataFrame, repositories: DataFrame) -> Graph:
     )
 
     # Containment: a module's or file's parent is the directory above it, the repository at the top.
-    places = modules.select("job_id", F.col("path").alias("parent"), F.col("id").alias("parent_id"))
-    top = repos.select("job_id", F.col("id").alias("repo_id"))
+    # Modules are all directories above the parsed files, so a parent's id needs no join; only what has none meets its repository.
+    top = repos.select("job_id", F.col("id").alias("holder"))
 
     def contained(frame: DataFrame, parent) -> DataFrame:
-        placed = frame.withColumn("parent", parent).join(places, ["job_id", "parent"], "left").join(top, "job_id", "left")
-        return edge(placed.withColumn("holder", F.coalesce("parent_id", "repo_id")).where("holder is not null"), "holder", "id", "CONTAINS")
+        placed = frame.select("job_id", "id", parent.alias("parent"))
+        inside = placed.where("parent is not null").select("job_id", "id", node_id(F.col("job_id"), "module", F.col("parent")).alias("holder")).where("holder is not null")
+        return edge(inside.unionByName(placed.where("parent is null").join(top, "job_id").select("job_id", "id", "holder")), "holder", "id", "CONTAINS")
 
     parts = path_parts(F.col("path"))
     nearest = F.when(F.size(parts) > 1, F.array_join(F.slice(parts, 1, F.least(F.size(parts) - 1, F.lit(4))), "/"))

@@ -49,3 +49,15 @@ def test_pointers_double_by_shuffles(spark, monkeypatch):
     ends, _ = graphalgos.pointers(parents)
     assert {(r.id, r.at, r.hops) for r in ends.collect()} == {(str(i), "0", i) for i in range(1, 9)}
     assert any("SortMergeJoin" in p for p in plans) and not any("Broadcast" in p for p in plans)
+
+
+def test_er_diagram_broadcasts_no_models(spark, monkeypatch):
+    """What is made of a small file of parsed classes and methods meets by shuffles, and relations need no order of all models."""
+    import __spark_entry__
+    from repograph import storage
+
+    plans, table = [], storage.table
+    monkeypatch.setattr(storage, "table", lambda df, label, *more: (plans.append(df._jdf.queryExecution().executedPlan().toString()) if label == "models" else None, table(df, label, *more))[1])
+    out = __spark_entry__.queries()["er_diagram"](spark, "/root/testdata/sf0.001")
+    assert len(plans) == 1 and "SortMergeJoin" in plans[0] and "Broadcast" not in plans[0]
+    assert "erDiagram" in out.first().text
