@@ -117,7 +117,7 @@ def build(parsed: DataFrame, repositories: DataFrame) -> Graph:
     def contained(frame: DataFrame, parent) -> DataFrame:
         placed = frame.select("job_id", "id", parent.alias("parent"))
         inside = placed.where("parent is not null").select("job_id", "id", node_id(F.col("job_id"), "module", F.col("parent")).alias("holder")).where("holder is not null")
-        return edge(inside.unionByName(placed.where("parent is null").join(top, "job_id").select("job_id", "id", "holder")), "holder", "id", "CONTAINS")
+        return edge(inside.unionByName(shuffled(placed.where("parent is null"), top, "job_id").select("job_id", "id", "holder")), "holder", "id", "CONTAINS")
 
     parts = path_parts(F.col("path"))
     nearest = F.when(F.size(parts) > 1, F.array_join(F.slice(parts, 1, F.least(F.size(parts) - 1, F.lit(4))), "/"))
