@@ -66,6 +66,11 @@ def shuffled(left: DataFrame, right: DataFrame, on, how: str = "inner") -> DataF
     return left.join(right.hint("merge"), on, how)
 
 
+def tasks(rows: int, most: int = 250_000) -> int:
+    """How many tasks hold ``rows`` rows when none is to hold more than about ``most``: a count told to repartition is not coalesced, so what a task sorts does not grow with the input."""
+    return max(1, -(-rows // most))
+
+
 def spread(df: DataFrame, *keys: str) -> DataFrame:
     """``df`` dealt by ``keys`` to four tasks for each core that the cluster has: for costly work on rows whose own file is small, as that is read by a task or two."""
     context = df.sparkSession.sparkContext

@@ -13,6 +13,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from .functions import text
+from .storage import shuffled, tasks
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -35,23 +36,28 @@ def customers(spark: SparkSession, d: str) -> DataFrame:
 
 def imports(spark: SparkSession, d: str) -> DataFrame:
     """Distinct job_id, source_id, target_id: a customer's file and the suppliers of its large orders."""
-    lines = table(spark, d, "lineitem").where("l_quantity >= 40").select("l_orderkey", "l_suppkey")
-    orders = table(spark, d, "orders").select("o_orderkey", "o_custkey")
-    met = lines.join(orders, F.col("l_orderkey") == F.col("o_orderkey")).select(F.col("o_custkey").alias("c_custkey"), "l_suppkey").distinct()
-    return met.join(customers(spark, d).select("c_custkey", "job_id", "id"), "c_custkey").select("job_id", F.col("id").alias("source_id"), F.concat(F.lit("s"), "l_suppkey").alias("target_id"))
+    items = table(spark, d, "lineitem")
+    n = tasks(items.count())
+    lines = items.where("l_quantity >= 40").select("l_orderkey", "l_suppkey").repartition(n, "l_orderkey")
+    orders = table(spark, d, "orders").select("o_orderkey", "o_custkey").repartition(n, "o_orderkey")
+    met = shuffled(lines, orders, F.col("l_orderkey") == F.col("o_orderkey")).select(F.col("o_custkey").alias("c_custkey"), "l_suppkey").repartition(n, "c_custkey").distinct()
+    return shuffled(met, customers(spark, d).select("c_custkey", "job_id", "id").repartition(n, "c_custkey"), "c_custkey").select("job_id", F.col("id").alias("source_id"), F.concat(F.lit("s"), "l_suppkey").alias("target_id"))
 
 
 def view(spark: SparkSession, d: str) -> View:
     c = customers(spark, d)
     orders, items = table(spark, d, "orders"), table(spark, d, "lineitem")
-    placed = orders.join(c.select("c_custkey", "job_id", F.col("id").alias("file_id"), F.col("path").alias("file")), F.col("o_custkey") == F.col("c_custkey"))
+    n = tasks(items.count())  # both sides of a join of orders are dealt to as many tasks
+    of_customer = c.select("c_custkey", "job_id", F.col("id").alias("file_id"), F.col("path").alias("file")).repartition(n, "c_custkey")
+    placed = shuffled(orders.repartition(n, "o_custkey"), of_customer, F.col("o_custkey") == F.col("c_custkey")).repartition(n, "o_orderkey")
+    items = items.repartition(n, "l_orderkey")
     counts = items.groupBy("l_orderkey").agg(F.count(F.lit(1)).cast("int").alias("n"))
-    classes = placed.join(counts, F.col("o_orderkey") == F.col("l_orderkey"), "left").select(
+    classes = shuffled(placed, counts, F.col("o_orderkey") == F.col("l_orderkey"), "left").select(
         "job_id", F.concat(F.lit("o"), "o_orderkey").alias("id"), F.concat(F.when(F.col("o_orderkey") % 7 == 0, "order_").otherwise("Order"), F.col("o_orderkey").cast("string")).alias("label"), "file", "file_id", F.lit(1).alias("line"),
         (F.col("o_totalprice") / 500).cast("int").alias("lines"), (F.coalesce("n", F.lit(0)) * 3).alias("methods"), (F.col("o_orderstatus") == "P").alias("is_abstract"), (F.col("o_orderpriority") < "3").alias("has_docstring"), F.lit("python").alias("language"),
     )
     number = F.col("l_linenumber")
-    functions = items.join(placed.select("o_orderkey", "job_id", "file"), F.col("l_orderkey") == F.col("o_orderkey")).select(
+    functions = shuffled(items, placed.select("o_orderkey", "job_id", "file"), F.col("l_orderkey") == F.col("o_orderkey")).select(
         "job_id", F.concat_ws("_", F.concat(F.lit("l"), "l_orderkey"), number.cast("string")).alias("id"), F.when(number % 3 == 0, F.concat(F.lit("getItem"), number)).otherwise(F.concat(F.lit("get_item_"), F.col("l_partkey") % 50)).alias("label"), "file", F.concat(F.lit("o"), "o_orderkey").alias("class_id"),
         number.alias("line"), (F.col("l_quantity") * 2).cast("int").alias("lines"), (number + 5).alias("param_count"), F.lit(True).alias("is_method"), (F.col("l_linestatus") == "O").alias("is_async"), (F.col("l_orderkey") % 20).cast("int").alias("cyclomatic"),
         (F.col("l_partkey") % 7).cast("int").alias("nesting_depth"), (F.col("l_suppkey") % 20).cast("int").alias("call_count"), (F.col("l_returnflag") == "N").alias("has_docstring"), F.lit("python").alias("language"),

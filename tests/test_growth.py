@@ -61,3 +61,11 @@ def test_er_diagram_broadcasts_no_models(spark, monkeypatch):
     out = __spark_entry__.queries()["er_diagram"](spark, "/root/testdata/sf0.001")
     assert len(plans) == 1 and "SortMergeJoin" in plans[0] and "Broadcast" not in plans[0]
     assert "erDiagram" in out.first().text
+
+
+def test_joins_of_the_view_are_dealt_by_the_number_of_rows(spark):
+    """The tasks of a join are told by its rows and not coalesced, so one of them holds no more when there are more rows."""
+    from repograph import storage, testdata
+
+    assert [storage.tasks(n) for n in (0, 250_000, 250_001, 10_000_000)] == [1, 1, 2, 40]
+    assert "REPARTITION_BY_NUM" in plan_of(testdata.view(spark, "/root/testdata/sf0.001").edges.groupBy("job_id", "relationship").count())
