@@ -69,3 +69,18 @@ def test_joins_of_the_view_are_dealt_by_the_number_of_rows(spark):
 
     assert [storage.tasks(n) for n in (0, 250_000, 250_001, 10_000_000)] == [1, 1, 2, 40]
     assert "REPARTITION_BY_NUM" in plan_of(testdata.view(spark, "/root/testdata/sf0.001").edges.groupBy("job_id", "relationship").count())
+
+
+def test_files_that_only_import_count_for_no_size(spark, monkeypatch):
+    """Imports from one set of files to another have no cycle, so no job is solved over frames, however many they are."""
+    from repograph.operators import graphalgos
+
+    def never(edges):
+        raise AssertionError("solved over frames")
+
+    monkeypatch.setattr(graphalgos, "by_propagation", never)
+    schema = "job_id string, source_id string, target_id string"
+    apart = [(j, f"c{i}", f"s{k}") for j in ("a", None) for i in range(6) for k in range(4)]
+    assert graphalgos.cycles(spark.createDataFrame(apart[:24], schema), small=3).count() == 0
+    with_one = [*apart, ("a", "x", "y"), ("a", "y", "x"), (None, "p", "q"), (None, "q", "p")]
+    assert sorted((str(r.job_id), r.scc) for r in graphalgos.cycles(spark.createDataFrame(with_one, schema), small=3).collect()) == [("None", "p"), ("a", "x")]
