@@ -15,12 +15,12 @@ def internal_dependencies(files: DataFrame, edges: DataFrame) -> DataFrame:
     return wanted.select("job_id", "source_id", "target_id")
 
 
-def coupling(files: DataFrame, edges: DataFrame) -> DataFrame:
-    """job_id, id, ce, ca, instability (null without any dependency) of each file.
+def coupling(files: DataFrame, edges: DataFrame, pairs: DataFrame | None = None) -> DataFrame:
+    """job_id, id, ce, ca, instability (null without any dependency) of each file; ``pairs``: the internal dependencies, where they are known.
 
     One union of both ends and one aggregation; dependencies are distinct, so counts are distinct counts.
     """
-    pairs = internal_dependencies(files, edges)
+    pairs = internal_dependencies(files, edges) if pairs is None else pairs
     ends = pairs.select("job_id", F.col("source_id").alias("id"), F.lit(1).alias("out"), F.lit(0).alias("into")).unionAll(pairs.select("job_id", F.col("target_id").alias("id"), F.lit(0), F.lit(1)))
     counts = files.select("job_id", "id", F.lit(0).alias("out"), F.lit(0).alias("into")).unionAll(ends).groupBy("job_id", "id").agg(F.sum("out").alias("ce"), F.sum("into").alias("ca"))
     total = F.col("ce") + F.col("ca")

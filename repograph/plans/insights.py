@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from ..functions import rules
 from ..functions.text import grade
 from ..operators import coupling, graphalgos, ordering
-from ..storage import cut, keep, table
+from ..storage import cut, shuffled, table
 
 # -- Fixed values: thresholds and weights ------------------------------------------------------
 CYCLOMATIC_CRITICAL, CYCLOMATIC_HIGH, CYCLOMATIC_MEDIUM = 15, 10, 5
@@ -32,6 +32,9 @@ WEIGHTS = {"lines": 0.20, "cyclomatic": 0.30, "params": 0.20, "nesting": 0.15, "
 DIMENSIONS = (("Complexity", 0.22), ("Coupling", 0.22), ("Size", 0.15), ("Architecture", 0.20), ("Documentation", 0.12), ("Naming", 0.09))
 SEVERITY_RANK = {"critical": 0, "high": 1, "medium": 2, "low": 3, "info": 4}
 
+FILE_COLUMNS = ("job_id", "id", "label", "path", "language", "lines", "classes")
+CLASS_COLUMNS = ("job_id", "id", "label", "file", "line", "lines", "methods", "is_abstract", "has_docstring")
+FUNCTION_COLUMNS = ("job_id", "label", "file", "line", "lines", "param_count", "is_method", "is_async", "cyclomatic", "nesting_depth", "call_count", "has_docstring")  # no issue names a function by its id
 ISSUE_COLUMNS = ("job_id", "rule", "category", "severity", "title", "file_path", "line_start", "affected_symbol", "value", "confidence")
 
 
@@ -50,11 +53,16 @@ def scope(files: DataFrame, classes: DataFrame, functions: DataFrame, edges: Dat
     """Classifies files and keeps the symbols of source files; a symbol belongs to the file of its path."""
     sorted_ = files.withColumn("category", rules.category(F.col("path")))
     source = sorted_.where("category = 'source'")
-    owner = source.select("job_id", F.col("path").alias("file"), F.col("language").alias("file_language")).distinct()
-    of_source = lambda frame: frame.drop("language").join(owner, ["job_id", "file"]).withColumnRenamed("file_language", "language")
+    owner = owners(source)
+    of_source = lambda frame: shuffled(frame.drop("language"), owner, ["job_id", "file"]).withColumnRenamed("file_language", "language")
     return Scope(sorted_, source, of_source(classes), of_source(functions), edges)
 
 
+def owners(source: DataFrame) -> DataFrame:
+    """job_id, file, file_language of the source files' paths."""
+    return source.select("job_id", F.col("path").alias("file"), F.col("language").alias("file_language")).distinct()
+
+
 def clamp01(x: Column) -> Column:
     return F.least(F.lit(1.0), F.greatest(F.lit(0.0), x))
 
@@ -72,9 +80,12 @@ def composite(lines: Column, cyclomatic: Column, params: Column, nesting: Column
 
 
 def line_outliers(frame: DataFrame, least_n: int, over: int) -> DataFrame:
-    """Adds ``outlier``: at or above the job's 95th percentile of positive line counts, in jobs with enough of them."""
+    """Adds ``outlier``: at or above the job's 95th percentile of positive line counts, in jobs with enough of them.
+
+    One row for each job is broadcast: a shuffle by job would put all symbols of a job into one task.
+    """
     p95 = frame.where("lines > 0").groupBy("job_id").agg(F.percentile("lines", F.lit(0.95)).alias("p95"), F.count(F.lit(1)).alias("n_lines"))
-    return frame.join(p95, "job_id", "left").withColumn("outlier", F.coalesce((F.col("lines") >= F.col("p95")) & (F.col("n_lines") >= least_n) & (F.col("lines") > over), F.lit(False)))
+    return frame.join(F.broadcast(p95), "job_id", "left").withColumn("outlier", F.coalesce((F.col("lines") >= F.col("p95")) & (F.col("n_lines") >= least_n) & (F.col("lines") > over), F.lit(False)))
 
 
 def judged_functions(functions: DataFrame) -> DataFrame:
@@ -172,7 +183,8 @@ def architecture_issues(s: Scope, facts: DataFrame, sccs: DataFrame, depths: Dat
 def public_symbols(s: Scope) -> DataFrame:
     """job_id, kind, id, label, file, line, lines, has_docstring of what should be documented."""
     public = lambda frame: frame.where(~F.col("label").startswith("_") & rules.has_doc_support(F.col("language")))
-    pick = lambda frame, kind: frame.select("job_id", F.lit(kind).alias("kind"), "id", "label", "file", "line", "lines", F.coalesce("has_docstring", F.lit(False)).alias("has_docstring"))
+    id_ = lambda frame: F.col("id") if "id" in frame.columns else F.lit(None).cast("string").alias("id")
+    pick = lambda frame, kind: frame.select("job_id", F.lit(kind).alias("kind"), id_(frame), "label", "file", "line", "lines", F.coalesce("has_docstring", F.lit(False)).alias("has_docstring"))
     return pick(public(s.classes), "class").unionByName(pick(public(s.functions).where("lines > 5"), "function"))
 
 
@@ -180,6 +192,16 @@ def doc_coverage(public: DataFrame) -> DataFrame:
     return public.groupBy("job_id").agg(F.count(F.lit(1)).alias("n_public"), F.count_if(~F.col("has_docstring")).alias("n_undocumented"), F.count_if(~F.col("has_docstring") & (F.col("kind") == "class")).alias("n_undocumented_classes")).withColumn("coverage", 1.0 - F.col("n_undocumented") / F.greatest(F.lit(1), F.col("n_public")))
 
 
+def doc_coverage_by_file(files: DataFrame, classes: DataFrame, functions: DataFrame) -> DataFrame:
+    """``doc_coverage`` of the public symbols of source files, whose numbers meet the files: no symbol is shuffled to its file."""
+    public = lambda frame, kind: frame.where(~F.col("label").startswith("_")).select("job_id", "file", F.lit(kind).alias("kind"), (~F.coalesce("has_docstring", F.lit(False))).alias("bare"))
+    every = public(classes, "class").unionByName(public(functions.where("lines > 5"), "function"))
+    counts = every.groupBy("job_id", "file").agg(F.count(F.lit(1)).alias("n"), F.count_if("bare").alias("n_bare"), F.count_if(F.col("bare") & (F.col("kind") == "class")).alias("n_bare_classes"))
+    source = owners(files.where(rules.category(F.col("path")) == "source")).where(rules.has_doc_support(F.col("file_language")))
+    met = shuffled(counts, source, ["job_id", "file"]).groupBy("job_id").agg(F.sum("n").alias("n_public"), F.sum("n_bare").alias("n_undocumented"), F.sum("n_bare_classes").alias("n_undocumented_classes"))
+    return met.withColumn("coverage", 1.0 - F.col("n_undocumented") / F.greatest(F.lit(1), F.col("n_public")))
+
+
 def documentation_issues(public: DataFrame, coverage: DataFrame) -> DataFrame:
     from pyspark.sql import Window as W
 
@@ -226,7 +248,7 @@ def dimensions(s: Scope, metrics: DataFrame, facts: DataFrame, coverage: DataFra
     c = judged_classes(s.classes).groupBy("job_id").agg(F.count(F.lit(1)).alias("cls"), n(F.col("is_god")).alias("god_cls"))
     k = metrics.groupBy("job_id").agg(n(F.col("ce") > CE_CRITICAL).alias("fanout"), n(F.col("ca") > CA_HIGH).alias("hubs"))
     z = s.files.groupBy("job_id").agg(F.count(F.lit(1)).alias("files"), n(F.col("lines") > FILE_LINES_CRITICAL).alias("oversized"), n(F.col("lines") > 0).alias("files_with_lines"))
-    ends = s.edges.select("job_id", F.col("source_id").alias("id")).unionAll(s.edges.select("job_id", F.col("target_id").alias("id"))).distinct()
+    ends = s.edges.select("job_id", F.explode(F.array("source_id", "target_id")).alias("id")).distinct()
     touched = s.files.select("job_id", "id").join(ends, ["job_id", "id"], "left_semi").groupBy("job_id").agg(F.count(F.lit(1)).alias("touched"))
     y = symbols.groupBy("job_id").agg(n(F.col("supported")).alias("supported"), n(~F.col("ok")).alias("bad"), F.count(F.lit(1)).alias("symbols"))
     jobs = s.all_files.select("job_id").distinct()
@@ -357,11 +379,12 @@ def ranked_issues(issues: DataFrame) -> DataFrame:
 
 
 def report(files: DataFrame, classes: DataFrame, functions: DataFrame, edges: DataFrame) -> Report:
-    s = scope(files, classes, functions, edges)
-    s = Scope(keep(s.all_files), keep(s.files), keep(s.classes), keep(s.functions), keep(edges))  # six dimensions read them
-    edges = s.edges
-    pairs = coupling.internal_dependencies(s.files, edges)
-    metrics = keep(coupling.coupling(s.files, edges))
+    """The report's frames.  Files and the symbols of source files are written once, by the columns that it reads; edges are read where they are
+    wanted, by their relationship, as their ends are as many as all symbols."""
+    s = scope(table(files.select(*FILE_COLUMNS), "files"), classes.select(*CLASS_COLUMNS), functions.select(*FUNCTION_COLUMNS), edges)
+    s = Scope(s.all_files, s.files, table(s.classes, "classes"), table(s.functions, "functions"), edges)
+    pairs = table(coupling.internal_dependencies(s.files, edges), "pairs")
+    metrics = table(coupling.coupling(s.files, edges, pairs), "coupling")
     sccs = cut(graphalgos.cycles(pairs))
     facts = cut(architecture_facts(s, sccs))
     depths = graphalgos.chain_depth(edges.where("relationship = 'INHERITS'"))

@@ -84,3 +84,27 @@ def test_files_that_only_import_count_for_no_size(spark, monkeypatch):
     assert graphalgos.cycles(spark.createDataFrame(apart[:24], schema), small=3).count() == 0
     with_one = [*apart, ("a", "x", "y"), ("a", "y", "x"), (None, "p", "q"), (None, "q", "p")]
     assert sorted((str(r.job_id), r.scc) for r in graphalgos.cycles(spark.createDataFrame(with_one, schema), small=3).collect()) == [("None", "p"), ("a", "x")]
+
+
+def test_outliers_are_marked_without_a_shuffle_by_job(spark):
+    """A job's 95th percentile comes to its symbols; they do not all go to one task."""
+    from repograph.plans import insights
+
+    told = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        marked = insights.line_outliers(spark.createDataFrame([("j", i) for i in range(1, 41)], "job_id string, lines int"), 20, 10)
+        assert "SortMergeJoin" not in plan_of(marked)
+        assert sorted(r.lines for r in marked.where("outlier").collect()) == [39, 40]
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", told)
+
+
+def test_the_report_holds_no_frame_in_memory(spark):
+    """Symbols are written by the columns that the report reads; only files' and classes' ids are among them."""
+    from repograph.plans import insights
+    from repograph import testdata
+
+    v = testdata.view(spark, "/root/testdata/sf0.001")
+    for frame in (insights.report(v.files, v.classes, v.functions, v.edges).metrics,):
+        assert "InMemoryTableScan" not in plan_of(frame)
