@@ -273,8 +273,7 @@ def issue_ranks(spark, d):
 @query
 def doc_coverage(spark, d):
     v = T.view(spark, d)
-    public = insights.public_symbols(insights.scope(v.files, v.classes, v.functions, v.edges))
-    return insights.doc_coverage(public).select("job_id", "n_public", "n_undocumented", F.round("coverage", 6).alias("coverage"))
+    return insights.doc_coverage_by_file(v.files, v.classes, v.functions).select("job_id", "n_public", "n_undocumented", F.round("coverage", 6).alias("coverage"))
 
 
 @query

@@ -108,3 +108,17 @@ def test_the_report_holds_no_frame_in_memory(spark):
     v = testdata.view(spark, "/root/testdata/sf0.001")
     for frame in (insights.report(v.files, v.classes, v.functions, v.edges).metrics,):
         assert "InMemoryTableScan" not in plan_of(frame)
+
+
+def test_coverage_by_file_equals_that_by_symbol(spark):
+    """Numbers by file, met with the source files, give what symbols met with them give."""
+    from repograph.plans import insights
+
+    files = spark.createDataFrame([("j", "f1", "src/a.py", "python"), ("j", "f2", "tests/test_a.py", "python"), ("j", "f3", "src/b.go", "go"), ("k", "f4", "src/a.py", "python"), ("k", "f5", "src/a.py", "java")], "job_id string, id string, path string, language string")
+    symbol = "job_id string, id string, label string, file string, line int, lines int, has_docstring boolean"
+    rows = [(j, f"{n}", label, file, 1, lines, doc) for n, (j, label, file, lines, doc) in enumerate((j, label, file, lines, doc) for j in "jk" for label in ("a", "_b") for file in ("src/a.py", "tests/test_a.py", "src/b.go", "src/none.py") for lines in (5, 6, None) for doc in (True, False, None))]
+    symbols = spark.createDataFrame(rows, symbol)
+    edges = spark.createDataFrame([], "job_id string, source_id string, target_id string, relationship string")
+    want = insights.doc_coverage(insights.public_symbols(insights.scope(files, symbols, symbols, edges)))
+    got = insights.doc_coverage_by_file(files, symbols, symbols)
+    assert sorted(map(tuple, got.collect())) == sorted(map(tuple, want.collect())) and got.count() == 2
