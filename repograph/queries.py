@@ -492,6 +492,8 @@ def insights_markdown(spark, d):
 @query
 def memory_facts(spark, d):
     r = whole_report(spark, d)
+    r.dimensions = storage.table(r.dimensions, "dimensions")  # read five times
+    r.overall = insights.overall(r.dimensions)
     names = r.overall.select("job_id", F.lower("job_id").alias("repo_name"))
     return memory.facts(memory.headlines(r.overall, r.dimensions, r.issues, names), r.dimensions, r.issues)
 
