@@ -524,6 +524,8 @@ def module_breakdown(spark, d):
 @query
 def interview_questions(spark, d):
     v = T.view(spark, d)
+    # The rules read each frame many times; of the functions a label and a number.
+    v = T.View(storage.table(v.files, "files"), storage.table(v.classes.select("job_id", "id", "label", "file", "file_id", "line", "methods"), "classes"), storage.table(v.functions.select("job_id", "id", "label", "param_count"), "functions"), storage.table(v.edges, "edges"))
     line = W.partitionBy("job_id", "file_id").orderBy(F.length("id"), "id")  # an order's class inherits from its customer's order before it
     inherits = v.classes.select("job_id", F.col("id").alias("source_id"), F.lag("id").over(line).alias("target_id")).where("target_id is not null")
     depths = graphalgos.single_parent_depth(inherits).withColumn("depth", F.col("depth").cast("int"))
