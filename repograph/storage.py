@@ -71,9 +71,13 @@ def tasks(rows: int, most: int = 250_000) -> int:
     return max(1, -(-rows // most))
 
 
-def spread(df: DataFrame, *keys: str) -> DataFrame:
-    """``df`` dealt by ``keys`` to four tasks for each core that the cluster has: for costly work on rows whose own file is small, as that is read by a task or two."""
+def slots(df: DataFrame) -> int:
+    """Four tasks for each core that the cluster has."""
     context = df.sparkSession.sparkContext
     conf = context.getConf()
-    cores = max(context.defaultParallelism, int(conf.get("spark.executor.instances", "0")) * int(conf.get("spark.executor.cores", "1")))
-    return df.repartition(4 * cores, *keys)
+    return 4 * max(context.defaultParallelism, int(conf.get("spark.executor.instances", "0")) * int(conf.get("spark.executor.cores", "1")))
+
+
+def spread(df: DataFrame, *keys: str) -> DataFrame:
+    """``df`` dealt by ``keys`` to ``slots`` tasks: for costly work on rows whose own file is small, as that is read by a task or two."""
+    return df.repartition(slots(df), *keys)
