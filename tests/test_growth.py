@@ -1,6 +1,8 @@
 """Steps whose tables grow with the input: none goes whole through the driver, one task or one group."""
 
-from repograph.plans import graph
+from pyspark.sql import functions as F
+
+from repograph.plans import graph, insights, render
 
 
 def plan_of(df) -> str:
@@ -122,3 +124,45 @@ def test_coverage_by_file_equals_that_by_symbol(spark):
     want = insights.doc_coverage(insights.public_symbols(insights.scope(files, symbols, symbols, edges)))
     got = insights.doc_coverage_by_file(files, symbols, symbols)
     assert sorted(map(tuple, got.collect())) == sorted(map(tuple, want.collect())) and got.count() == 2
+
+
+def test_parts_in_one_range_are_not_shuffled(spark, monkeypatch):
+    """Rows are sorted as they are, not as texts; parts over the ends of ranges, equal seqs, null lines and null jobs are those of the whole text."""
+    from repograph.operators import ordering
+
+    rows = [(j, "b" if i % 3 else "a", i % 4 if i % 5 else None) for j in ("x", "y", None) for i in range(300)]
+    late = spark.createDataFrame(rows, "job_id string, name string, n int").withColumn("section", F.lit(4))
+    line = F.concat(F.lit("issue "), F.col("name"), F.lit("\n no "), F.col("n"))  # null where n is
+    made = render.Late(late, F.col("name"), line, [F.col("n")])
+    heads = [spark.createDataFrame([(j, 0, f"{i}", f"head {i}" if i else None) for j in ("x", "y") for i in range(4)], "job_id string, section int, seq string, line string")]
+    whole = {r.job_id: r.text for r in render.document(heads, late=made).collect()}
+    wide = {r.job_id: r.n for r in heads[0].select("job_id").unionByName(late.select("job_id")).groupBy("job_id").count().withColumnRenamed("count", "n").collect()}
+    monkeypatch.setattr(render, "tasks", lambda rows: 7)
+    for few, many in ((ordering.FEW, True), (0, False)):
+        monkeypatch.setattr(ordering, "FEW", few)
+        parts = render.in_parts(heads, late=made, most=10)
+        got: dict = {}
+        for r in parts.orderBy("job_id", "part").collect():
+            got.setdefault(r.job_id, []).append((r.part, r.text))
+        assert {j: "\n".join(t for _, t in p if t) for j, p in got.items()} == whole
+        assert all([n for n, _ in p] == list(range(-(-wide[j] // 10))) for j, p in got.items())
+        plan = parts._jdf.queryExecution().executedPlan().toString()
+        assert "MapInArrow" in plan and (not many or "BroadcastHashJoin" in plan)
+    assert parts.where("text is null").count() == 0
+
+
+def test_touched_files_are_those_at_an_end_of_an_edge(spark):
+    files = spark.createDataFrame([("j", "a"), ("j", "b"), ("j", "c"), ("j", "c"), ("k", "a"), ("l", "z")], "job_id string, id string")
+    edges = spark.createDataFrame([("j", "a", "c"), ("j", "a", "f9"), ("j", "f9", "c"), ("k", "b", "a"), ("l", "a", "b")], "job_id string, source_id string, target_id string")
+    for deals in (None, 3):
+        s = insights.Scope(files, files, None, None, edges, deals)
+        assert {tuple(r) for r in insights.touched_files(s).collect()} == {("j", 3), ("k", 1)}
+
+
+def test_no_case_of_a_rule_is_interpreted(spark):
+    """A filter by a lambda has no generated code, nor has what it filters."""
+    frame = spark.createDataFrame([("j", "p", 1, "s", 5), ("j", "q", 2, "t", 50)], "job_id string, path string, line int, label string, n int")
+    cases = [(F.col("n") > 3, "A", "c", "low", "few", 1.0, F.col("n")), (F.col("n") > 9, "B", "c", "high", "many", 0.5, F.col("n")), (F.lit(None).cast("boolean"), "C", "c", "high", "none", 0.5, F.col("n"))]
+    issues = insights.exploded_rules(frame, cases, "path", "line", "label")
+    assert {(r.rule, r.file_path, r.value, r.confidence) for r in issues.collect()} == {("A", "p", 5.0, 1.0), ("A", "q", 50.0, 1.0), ("B", "q", 50.0, 0.5)}
+    assert "lambda" not in issues._jdf.queryExecution().executedPlan().toString()
